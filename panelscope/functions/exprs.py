@@ -14,18 +14,19 @@ from panelscope import config as C
 
 # -- time --------------------------------------------------------------------
 
+_EPOCH = "1970-01-01 00:00:00"
+
+
 def event_second(ts: str | Column) -> Column:
     """Whole seconds since 1970 of a timestamp without zone, whatever the session zone."""
     ts = F.col(ts) if isinstance(ts, str) else ts
-    days = F.datediff(F.to_date(ts), F.lit("1970-01-01").cast("date")).cast("long")
-    return days * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
+    return (ts - F.lit(_EPOCH).cast("timestamp_ntz")).cast("interval second").cast("bigint")
 
 
 def second_to_ts(sec: str | Column) -> Column:
     """Inverse of :func:`event_second`."""
     sec = F.col(sec) if isinstance(sec, str) else sec
-    interval = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), sec.cast("decimal(18,6)"))
-    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + interval
+    return F.lit(_EPOCH).cast("timestamp_ntz") + F.make_dt_interval(secs=sec.cast("decimal(18,6)"))
 
 
 # -- hosts -------------------------------------------------------------------

@@ -88,9 +88,10 @@ def hop_clicks(hops: DataFrame, landing_clicks: DataFrame, events: DataFrame) ->
     page_rows = events.where("is_brand_page").select(
         "brand", "user_id", event_second("created_time").alias("sec"), no_hop.cast(hop_type).alias("hop"),
         F.lit(False).alias("landing"), F.lit(True).alias("page"))
-    others = landing_rows.unionByName(page_rows).join(who, ["brand", "user_id"], "left_semi")
-    seconds = hop_rows.unionByName(others).groupBy(*keys).agg(
-        F.min("hop").alias("hop"), F.bool_or("landing").alias("landing"), F.bool_or("page").alias("page"))
+    # The filter on persons with a hop comes after the rows have collapsed; the windows need its shuffle anyway.
+    seconds = hop_rows.unionByName(landing_rows).unionByName(page_rows).groupBy(*keys).agg(
+        F.min("hop").alias("hop"), F.bool_or("landing").alias("landing"), F.bool_or("page").alias("page")
+    ).join(who, ["brand", "user_id"], "left_semi")
 
     w = W.partitionBy("brand", "user_id").orderBy("sec")
     up_to_previous = w.rowsBetween(W.unboundedPreceding, -1)

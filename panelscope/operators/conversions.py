@@ -70,12 +70,11 @@ def click_outcomes(clicks: DataFrame, conversions: DataFrame, funnel_events: Dat
     and the others get nothing: their interval up to the next click is empty.
     """
     keys = ["brand", "user_id", "sec"]
-    who = clicks.select("brand", "user_id").distinct()
     click_rows = clicks.select("brand", "user_id", event_second("click_time").alias("sec"), "click_key")
     order_rows = conversions.select(
         "brand", "user_id", event_second("conversion_time").alias("sec"), F.lit(True).alias("ordered"))
     funnel_rows = funnel_events.select("brand", "user_id", event_second("created_time").alias("sec"), *FLAGS)
-    after = order_rows.unionByName(funnel_rows, allowMissingColumns=True).join(who, ["brand", "user_id"], "left_semi")
+    after = order_rows.unionByName(funnel_rows, allowMissingColumns=True)
     seconds = click_rows.unionByName(after, allowMissingColumns=True).groupBy(*keys).agg(
         F.max("click_key").alias("click_key"), F.bool_or("ordered").alias("ordered"),
         *[F.bool_or(f).alias(f) for f in FLAGS])

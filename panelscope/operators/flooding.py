@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelscope import config as C
 from panelscope.functions.exprs import count_where, ratio, round_half
+from panelscope.functions.joins import keep_members
 from panelscope.operators.summary import pct1, pct2
 
 
@@ -20,7 +21,7 @@ def _per_person(us_clicks: DataFrame) -> DataFrame:
 def click_flood_behaviour(us_clicks: DataFrame, events: DataFrame) -> DataFrame:
     """How people browse, by clicks per day."""
     people = _per_person(us_clicks)
-    browsing = events.join(people.select("user_id").distinct(), "user_id", "left_semi")
+    browsing = keep_members(events, us_clicks.select("user_id").distinct(), "user_id", spread_by="event_id")
     sites = browsing.select("user_id", "host").distinct().groupBy("user_id").agg(F.count("*").alias("sites"))
     hours = (
         browsing.select("user_id", F.date_trunc("hour", "created_time").alias("hour")).distinct()
@@ -39,7 +40,10 @@ def click_flood_behaviour(us_clicks: DataFrame, events: DataFrame) -> DataFrame:
         F.median("active_hours").alias("median_active_hours"),
         # the middle of two one-decimal numbers has two decimals
         round_half(F.median(per_hour), 2).alias("median_clicks_per_active_hour"),
-    ).withColumn("cr_pct", pct2(F.col("converted_clicks"), F.col("clicks")))
+    ).select(
+        "brand", "clicks_per_day", "people", "clicks", "converted_clicks",
+        pct2(F.col("converted_clicks"), F.col("clicks")).alias("cr_pct"),
+        "median_sites_visited", "median_active_hours", "median_clicks_per_active_hour")
 
 
 def click_flooding(us_clicks: DataFrame, scale: DataFrame) -> DataFrame:

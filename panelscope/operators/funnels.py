@@ -8,9 +8,9 @@ from pyspark.sql import Window as W
 
 from panelscope import config as C
 from panelscope.functions.exprs import (
-    count_where, event_second, host_in, is_cart_path, is_checkout_path, ratio, registered_domain, round_half, url_path,
+    count_where, event_second, host_in, is_cart_path, is_checkout_path, pct, ratio, registered_domain, round_half,
+    url_path,
 )
-from panelscope.functions.exprs import pct
 from panelscope.operators.summary import pct1, pct2
 
 
@@ -118,11 +118,10 @@ def click_stage(us_clicks: DataFrame, events: DataFrame) -> DataFrame:
     """
     keys = ["brand", "user_id", "sec"]
     at = us_clicks.select("brand", "user_id", event_second("click_time").alias("sec")).distinct()
-    who = at.select("brand", "user_id").distinct()
     path = url_path("url")
     stages = ("page", "product", "cart", "checkout")
     pages = (
-        events.where("is_brand_page").join(who, ["brand", "user_id"], "left_semi")
+        events.where("is_brand_page")
         .select("brand", "user_id", event_second("created_time").alias("sec"), F.lit(True).alias("page"),
                 path.rlike(C.PRODUCT_PATH_RE).alias("product"), is_cart_path(path).alias("cart"),
                 is_checkout_path(path).alias("checkout"))
@@ -164,4 +163,4 @@ def click_funnel_stage(click_stage: DataFrame) -> DataFrame:
         "pct_clicks": pct1(F.col("clicks"), F.sum("clicks").over(brand)),
         "pct_orders": pct1(F.col("orders"), F.sum("orders").over(brand)),
         "conversion_pct": pct2(F.col("orders"), F.col("clicks")),
-    })
+    }).select("brand", "stage_at_click", "clicks", "pct_clicks", "orders", "pct_orders", "conversion_pct")

@@ -68,7 +68,10 @@ def panel_profile(panel_users: DataFrame, alias: DataFrame, events: DataFrame) -
     ).withColumns({"mirror_ids_merged_brand_users": mirrors, "x": sessions.scalar()}).withColumns({
         "pct_us": pct1(F.col("us_user_ids"), F.col("panel_user_ids")),
         "sessions_per_brand_user": round_half(ratio(F.col("x.s"), F.col("x.u")), 2),
-    }).drop("x")
+    }).select(
+        "panel_user_ids", "mirror_ids_merged_brand_users", "us_user_ids", "pct_us", "events_p50", "events_p90",
+        "events_p99", "events_max", "pct_events_top1pct_users", "pct_events_top10pct_users", "users_over_5000_events",
+        "sessions_per_brand_user")
 
 
 def coverage_sites(spark: SparkSession) -> DataFrame:
@@ -118,7 +121,7 @@ def hijack_by_segment(us_clicks: DataFrame, coupon_users: DataFrame, activity: D
         .withColumns({
             "pct_clicks_flagged": pct1(F.col("flagged"), F.col("clicks")),
             "pct_orders_flagged": pct1(F.col("flagged_orders"), F.col("orders")),
-        }).drop("flagged", "flagged_orders")
+        }).select("dimension", "segment", "users", "clicks", "pct_clicks_flagged", "orders", "pct_orders_flagged")
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from panelscope import config as C
 from panelscope.functions.exprs import count_where, event_second, host_in, registered_domain, url_section
+from panelscope.functions.joins import keep_members
 from panelscope.operators.summary import pct1
 
 
@@ -53,114 +54,130 @@ def monitor_clicks(us_clicks: DataFrame, click_stage: DataFrame, named_sites: Da
     return _masked(facts, "prev_host", named_sites, "prev_site").drop("prev_host")
 
 
-def click_journey(us_clicks: DataFrame, events: DataFrame) -> DataFrame:
-    """The last six sites before each click and the first two after it, repeats of one site and section merged.
-
-    Events of the click's own second count as before, except the click's own rows.
+def site_steps(us_clicks: DataFrame, events: DataFrame) -> DataFrame:
+    """Events of click users as places (host, and section on the brand's own site), one row per second and place.
 
-    Clicks are not joined with all events around them. Per (brand, person) the events
-    become numbered changes of site; a click then looks up the six changes before it and
-    the two after it by number. A run of one site that reaches into the window from
-    outside is added by its first second in the window. All ordering inside a second stays
-    in groups of one second, and groups over time hold one row per second.
+    Built once per brand that a person clicked for, since only that brand's site is split
+    into sections. ``change`` marks a place that differs from the one before it (``carried``:
+    the last place of the previous second ``prev_sec``), ``first`` the first place of its
+    second, ``own`` rows that may be the click itself. ``up`` and ``down`` number the
+    changes of a second from its first and from its last place.
     """
     second = ["brand", "user_id", "sec"]
-    at = us_clicks.select("brand", "user_id", event_second("click_time").alias("sec")).distinct()
-    who = at.select("brand", F.col("user_id")).distinct()
-
-    own_page = (F.col("e.brand") == F.col("w.brand")) & F.col("e.is_brand_page")
-    labels = (
-        events.alias("e").join(who.alias("w"), "user_id")
-        .select(
-            F.col("w.brand").alias("brand"), "user_id", event_second("e.created_time").alias("sec"), "e.host",
-            F.when(own_page, url_section("e.url")).alias("section"),
-            F.coalesce((F.col("e.hop_brand") == F.col("w.brand")) | own_page, F.lit(False)).alias("own"))
+    who = us_clicks.select(F.col("brand").alias("clicked"), "user_id").distinct()
+    seen = (
+        keep_members(events, us_clicks.select("user_id").distinct(), "user_id", spread_by="event_id")
+        .select("user_id", event_second("created_time").alias("sec"), "host", "hop_brand",
+                F.when(F.col("is_brand_page"), F.col("brand")).alias("site_brand"),
+                F.when(F.col("is_brand_page"), url_section("url")).alias("part")).distinct()
+    )
+    on_site = F.col("site_brand") == F.col("clicked")
+    places = (
+        seen.join(who, "user_id")
+        .select(F.col("clicked").alias("brand"), "user_id", "sec", "host", F.when(on_site, F.col("part")).alias("section"),
+                F.coalesce((F.col("hop_brand") == F.col("clicked")) | on_site, F.lit(False)).alias("own"))
         .groupBy(*second, "host", "section").agg(F.bool_and("own").alias("own"))
+        .withColumn("place", F.struct("host", F.coalesce("section", F.lit("")).alias("part")))
     )
-    label = F.struct("host", F.coalesce("section", F.lit("")).alias("part"))
-    rows = labels.withColumn("label", label)
-    in_second = W.partitionBy(*second).orderBy("label")
-    rows = rows.withColumn("prev_in_second", F.lag("label").over(in_second))
-
-    # Last label of the second before, from one row per second.
-    ends = rows.groupBy(*second).agg(F.max("label").alias("last_label"))
     over_time = W.partitionBy("brand", "user_id").orderBy("sec")
-    ends = ends.select(*second, F.lag("last_label").over(over_time).alias("carried"),
-                       F.lag("sec").over(over_time).alias("prev_sec"))
-    rows = rows.join(ends, second).withColumn("first", F.col("prev_in_second").isNull())
-    previous = F.coalesce("prev_in_second", "carried")
-    rows = rows.withColumn("change", F.coalesce(F.col("label") != previous, F.lit(True)))
-
-    # Number the changes: backwards inside a second for the steps before, forwards for those after.
-    changes = rows.where("change")
-    up, down = (W.partitionBy(*second).orderBy(o) for o in ("label", F.desc("label")))
-    changes = changes.select(*second, "host", "section", F.row_number().over(up).alias("up"),
-                             F.row_number().over(down).alias("down"))
-    edge = at.select("brand", "user_id", (F.col("sec") - C.CONTEXT_BEFORE_S).alias("sec"))
-    per_second = rows.groupBy(*second).agg(count_where(F.col("change")).alias("n"), F.lit(True).alias("events"))
-    timeline = (
-        per_second.unionByName(edge, allowMissingColumns=True)
-        .groupBy(*second).agg(F.sum("n").alias("n"), F.bool_or("events").alias("events"))
+    ends = places.groupBy(*second).agg(F.max("place").alias("last_place")).select(
+        *second, F.lag("last_place").over(over_time).alias("carried"), F.lag("sec").over(over_time).alias("prev_sec"))
+    in_second = W.partitionBy(*second).orderBy("place")
+    before_it = F.lag("place").over(in_second)
+    marked = places.join(ends, second).select(
+        "*", before_it.isNull().alias("first"),
+        F.coalesce(F.col("place") != F.coalesce(before_it, "carried"), F.lit(True)).alias("change"))
+    upto, everything = (W.partitionBy(*second).orderBy("place").rowsBetween(W.unboundedPreceding, end)
+                        for end in (W.currentRow, W.unboundedFollowing))
+    changes = F.when(F.col("change"), 1).otherwise(0).cast("long")
+    up = F.sum(changes).over(upto)
+    return marked.select(
+        "*", up.alias("up"), (F.sum(changes).over(everything) - up + 1).alias("down"))
+
+
+def site_timeline(us_clicks: DataFrame, site_steps: DataFrame) -> DataFrame:
+    """One row per (brand, person, second) with events, and per second 30 minutes before a click.
+
+    ``n`` changes of place in the second and ``base`` before it, the first second with
+    events ``from_here`` on, and the ``next_sec`` with events after it.
+    """
+    second = ["brand", "user_id", "sec"]
+    edges = us_clicks.select(
+        "brand", "user_id", (event_second("click_time") - C.CONTEXT_BEFORE_S).alias("sec")).distinct()
+    seconds = (
+        site_steps.select(*second, F.col("change").cast("int").alias("n"), F.lit(True).alias("active"))
+        .unionByName(edges, allowMissingColumns=True)
+        .groupBy(*second).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.bool_or("active").alias("active"))
     )
-    so_far = over_time.rowsBetween(W.unboundedPreceding, -1)
-    backwards = W.partitionBy("brand", "user_id").orderBy(F.desc("sec"))
-    event_sec = F.when(F.col("events"), F.col("sec"))
-    timeline = timeline.select(
-        *second,
-        F.coalesce(F.col("n"), F.lit(0)).alias("n"),
-        F.coalesce(F.sum("n").over(so_far), F.lit(0)).alias("base"),
-        F.min(event_sec).over(backwards.rowsBetween(W.unboundedPreceding, 0)).alias("from_here"),
-        F.min(event_sec).over(backwards.rowsBetween(W.unboundedPreceding, -1)).alias("next_sec"),
+    forwards, backwards = (W.partitionBy("brand", "user_id").orderBy(o) for o in ("sec", F.desc("sec")))
+    active = F.when(F.col("active"), F.col("sec"))
+    return seconds.select(
+        *second, "n",
+        F.coalesce(F.sum("n").over(forwards.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"),
+        F.min(active).over(backwards.rowsBetween(W.unboundedPreceding, W.currentRow)).alias("from_here"),
+        F.min(active).over(backwards.rowsBetween(W.unboundedPreceding, -1)).alias("next_sec"),
     )
-    numbered = changes.join(timeline.select(*second, "base"), second).select(
+
+
+def click_journey(us_clicks: DataFrame, site_steps: DataFrame, timeline: DataFrame) -> DataFrame:
+    """The last six sites before each click and the first two after it, repeats of one site and section merged.
+
+    Events of the click's own second count as before, except the click's own rows.
+
+    Clicks are not joined with all events around them. The changes of place of a (brand,
+    person) are numbered over time; a click looks up the six changes before it and the two
+    after it by number. A run of one place that reaches into the window from outside is
+    added by its first second in the window. All ordering inside a second stays in groups
+    of one second, and groups over time hold one row per second.
+    """
+    second = ["brand", "user_id", "sec"]
+    at = us_clicks.select("brand", "user_id", event_second("click_time").alias("sec")).distinct()
+    numbered = site_steps.where("change").join(timeline.select(*second, "base"), second).select(
         *second, "host", "section", (F.col("base") + F.col("up")).alias("up"),
         (F.col("base") + F.col("down")).alias("down"))
-
     window_start = timeline.select("brand", "user_id", (F.col("sec") + C.CONTEXT_BEFORE_S).alias("sec"),
                                    F.col("from_here").alias("first_sec"))
-    points = at.join(timeline, second).join(window_start, second, "left").select(
-        "brand", "user_id", F.col("sec").alias("click_sec"), "n", "base", "next_sec", "first_sec")
+    points = at.join(timeline, second).join(window_start, second).withColumnRenamed("sec", "click_sec")
 
     def step(df: DataFrame, before: bool) -> DataFrame:
-        return df.select("brand", "user_id", "click_sec", "host", "section", F.col("sec"), F.lit(before).alias("before"))
-
-    base = F.col("base")
-    wanted_before = points.where(base > 0).select(
-        "brand", "user_id", "click_sec",
-        F.explode(F.sequence(F.greatest(base - (C.JOURNEY_STEPS_BEFORE - 1), F.lit(1)), base)).alias("down"))
-    earlier = step(
-        wanted_before.join(numbered.drop("up"), ["brand", "user_id", "down"])
-        .where(F.col("sec") >= F.col("click_sec") - C.CONTEXT_BEFORE_S), True)
-    upto = base + F.col("n")
-    wanted_after = points.select(
-        "brand", "user_id", "click_sec",
-        F.explode(F.sequence(upto + 1, upto + C.JOURNEY_STEPS_AFTER)).alias("up"))
-    in_reach = F.col("sec") <= F.col("click_sec") + C.CONTEXT_AFTER_S
-    later = step(wanted_after.join(numbered.drop("down"), ["brand", "user_id", "up"]).where(in_reach), False)
+        return df.select("brand", "user_id", "click_sec", "host", "section", "sec", F.lit(before).alias("before"))
 
+    base, upto = F.col("base"), F.col("base") + F.col("n")
+    last_changes = F.explode(F.sequence(F.greatest(base - (C.JOURNEY_STEPS_BEFORE - 1), F.lit(1)), base))
+    next_changes = F.explode(F.sequence(upto + 1, upto + C.JOURNEY_STEPS_AFTER))
+    in_window = F.col("sec") >= F.col("click_sec") - C.CONTEXT_BEFORE_S
+    in_reach = F.col("sec") <= F.col("click_sec") + C.CONTEXT_AFTER_S
+    earlier = (
+        points.where(base > 0).select("brand", "user_id", "click_sec", last_changes.alias("down"))
+        .join(numbered.drop("up"), ["brand", "user_id", "down"]).where(in_window)
+    )
+    later = (
+        points.select("brand", "user_id", "click_sec", next_changes.alias("up"))
+        .join(numbered.drop("down"), ["brand", "user_id", "up"]).where(in_reach)
+    )
     # First rows of a side that continue a run begun outside it.
-    carried = rows.where("first AND NOT change").select(*second, "host", "section")
-    reach_in = step(
-        points.where(F.col("first_sec") < F.col("click_sec"))
-        .select("brand", "user_id", "click_sec", F.col("first_sec").alias("sec")).join(carried, second), True)
-    reach_out = step(
-        points.select("brand", "user_id", "click_sec", F.col("next_sec").alias("sec")).join(carried, second)
-        .where(in_reach), False)
-
+    running_on = site_steps.where("first AND NOT change").select(*second, "host", "section")
+    reach_in = points.where("first_sec < click_sec").select(
+        "brand", "user_id", "click_sec", F.col("first_sec").alias("sec")).join(running_on, second)
+    reach_out = points.select(
+        "brand", "user_id", "click_sec", F.col("next_sec").alias("sec")).join(running_on, second).where(in_reach)
     # The click's own second, without the click's own rows.
-    here = rows.join(at, second, "left_semi").where(~F.col("own"))
+    in_second = W.partitionBy(*second).orderBy("place")
     recent = F.when(F.col("prev_sec") >= F.col("sec") - C.CONTEXT_BEFORE_S, F.col("carried"))
-    here = here.withColumn("before_label", F.coalesce(F.lag("label").over(in_second), recent))
-    here = here.where(F.coalesce(F.col("label") != F.col("before_label"), F.lit(True)))
-    here = here.withColumn("k", F.row_number().over(in_second)).where(F.col("k") <= C.JOURNEY_STEPS_BEFORE)
-    same_second = step(here.withColumn("click_sec", F.col("sec")), True)
-
-    steps = earlier.unionByName(reach_in).unionByName(same_second).unionByName(later).unionByName(reach_out)
-    distance = F.abs(F.col("sec") - F.col("click_sec"))
-    order = W.partitionBy("brand", "user_id", "click_sec", "before").orderBy(
-        distance, "host", F.col("section").asc_nulls_last())
+    before_it = F.coalesce(F.lag("place").over(in_second), recent)
+    same_second = (
+        site_steps.where(~F.col("own")).join(at, second, "left_semi")
+        .withColumn("before_it", before_it).where(F.coalesce(F.col("place") != F.col("before_it"), F.lit(True)))
+        .withColumn("click_sec", F.col("sec"))
+    )
+
+    steps = step(earlier, True)
+    for part, before in ((reach_in, True), (same_second, True), (later, False), (reach_out, False)):
+        steps = steps.unionByName(step(part, before))
+    nearest = W.partitionBy("brand", "user_id", "click_sec", "before").orderBy(
+        F.abs(F.col("sec") - F.col("click_sec")), "host", F.col("section").asc_nulls_last())
     limit = F.when(F.col("before"), C.JOURNEY_STEPS_BEFORE).otherwise(C.JOURNEY_STEPS_AFTER)
-    top = steps.withColumn("k", F.row_number().over(order)).where(F.col("k") <= limit)
+    top = steps.withColumn("k", F.row_number().over(nearest)).where(F.col("k") <= limit)
     keys = us_clicks.select("brand", "user_id", "click_key", event_second("click_time").alias("click_sec"))
     return keys.join(top, ["brand", "user_id", "click_sec"]).select(
         "brand", "click_key", "host", "section", (F.col("click_sec") - F.col("sec")).alias("secs_before"), "before")

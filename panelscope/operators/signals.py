@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from panelscope import config as C
 from panelscope.functions.exprs import event_second, has_affiliate_marker, host_in, url_param, url_path
+from panelscope.functions.joins import keep_members
 
 
 def _age_within(latest: str, limit: int):
@@ -46,9 +47,7 @@ def click_context(clicks: DataFrame, events: DataFrame) -> DataFrame:
     over those rows give the latest second of each kind of event, and each click looks up
     its own second. Groups are bounded by the seconds in the data, not by their events.
     """
-    clickers = clicks.select("user_id").distinct()
-    brand_clickers = clicks.select("brand", "user_id").distinct()
-    events = events.join(clickers, "user_id", "left_semi")
+    events = keep_members(events, clicks.select("user_id").distinct(), "user_id", spread_by="event_id")
     sec = event_second("created_time").alias("sec")
     edges = advertiser_presence(events)
     at = clicks.select("brand", "user_id", event_second("click_time").alias("sec")).distinct()
@@ -91,7 +90,6 @@ def click_context(clicks: DataFrame, events: DataFrame) -> DataFrame:
     own_edges = edges.where(F.col("brand").isNotNull())
     branded = (
         pages.unionByName(searches, allowMissingColumns=True).unionByName(own_edges, allowMissingColumns=True)
-        .join(brand_clickers, ["brand", "user_id"], "left_semi")
         .unionByName(at.select("brand", "user_id", "sec", is_click), allowMissingColumns=True)
         .groupBy("brand", "user_id", "sec").agg(
             F.bool_or("page").alias("page"), F.bool_or("checkout").alias("checkout"),

@@ -148,7 +148,8 @@ def publisher_summary(us_clicks: DataFrame) -> DataFrame:
     ).withColumns({
         "clicks_per_user": round_half(ratio(_COL("clicks"), _COL("users")), 1),
         "pct_strong_signal": pct1(_COL("strong"), _COL("clicks")),
-    }).drop("strong")
+    }).select(*key, "clicks", "users", "clicks_per_user", *[f for f in flags if f not in ("strong", "flood_clicks")],
+              "pct_strong_signal", "flood_clicks", "example_sub_id", "example_coupon")
 
 
 def signal_summary(us_clicks: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from panelscope import config as C
 from panelscope.functions.exprs import brand_of_domain, decoded_or_raw, extract, host_in, registered_domain
+from panelscope.functions.joins import keep_members
 
 _DOMAINS = tuple(b.domain for b in C.BRANDS)
 _HOP_TARGET_RE = r"\b(" + "|".join(re.escape(d) for d in _DOMAINS) + r")\b"
@@ -45,23 +46,39 @@ def brand_users(tagged: DataFrame) -> DataFrame:
 def brand_user_events_raw(tagged: DataFrame, users: DataFrame) -> DataFrame:
     """All events of the brand users, one per (user, second, URL): the one with the lowest event id.
 
-    The lowest row is an aggregate rather than a rank, so copies of one event collapse
-    before the shuffle, however many there are.
+    With a small list of brand users only their events are shuffled. The lowest row is an
+    aggregate rather than a rank, so copies of one event collapse before the shuffle.
     """
     rest = ["event_id", "session_id", "host", "brand_domain", "hop_brand_domain"]
     lowest = (
-        tagged.join(users, "user_id", "left_semi")
+        keep_members(tagged, users, "user_id", spread_by="event_id")
         .groupBy("user_id", *_TOKEN).agg(F.min(F.struct(*rest)).alias("e"))
     )
     return lowest.select("e.event_id", "user_id", "e.session_id", "created_time", "e.host", "url",
                          "e.brand_domain", "e.hop_brand_domain")
 
 
-def user_alias(events: DataFrame, pair_limit: int = C.MIRROR_PAIR_LIMIT) -> DataFrame:
+def shared_events(events: DataFrame) -> DataFrame:
+    """Events that may tie two user ids together: same second and URL under two or more ids.
+
+    ``seen_by`` is the number of ids with the event and ``head`` the smallest of them. Ids
+    with fewer than three such events cannot be linked to anyone and are left out. What
+    remains is a small part of the working set, and every branch of the linking reads it.
+    """
+    tokens = (
+        events.groupBy(*_TOKEN).agg(F.count("*").alias("seen_by"), F.min("user_id").alias("head"))
+        .where("seen_by > 1")
+    )
+    shared = events.select("user_id", *_TOKEN).join(tokens, _TOKEN)
+    eligible = shared.groupBy("user_id").agg(F.count("*").alias("n")).where(
+        F.col("n") >= C.MIRROR_MIN_SHARED).select("user_id")
+    return shared.join(eligible, "user_id", "left_semi")
+
+
+def user_alias(shared: DataFrame, pair_limit: int = C.MIRROR_PAIR_LIMIT) -> DataFrame:
     """Mirrored ids: ``user_id`` -> ``person_id``, the smallest id it shares three or more events with.
 
-    Two ids share an event when both have it with the same second and URL. One step only:
-    the person id may itself be an alias of a third id.
+    One step only: the person id may itself be an alias of a third id.
 
     Ids are paired one by one only inside events seen by at most ``pair_limit`` ids, so
     that part is linear in the input. Events seen by more ids ("hot") never produce pairs:
@@ -76,14 +93,6 @@ def user_alias(events: DataFrame, pair_limit: int = C.MIRROR_PAIR_LIMIT) -> Data
     events, so the result is the same for any ``pair_limit``.
     """
     need = C.MIRROR_MIN_SHARED
-    tokens = (
-        events.groupBy(*_TOKEN).agg(F.count("*").alias("seen_by"), F.min("user_id").alias("head"))
-        .where("seen_by > 1")
-    )
-    shared = events.select("user_id", *_TOKEN).join(tokens, _TOKEN)
-    eligible = shared.groupBy("user_id").agg(F.count("*").alias("n")).where(F.col("n") >= need).select("user_id")
-    shared = shared.join(eligible, "user_id", "left_semi")
-
     light = shared.where(F.col("seen_by") <= pair_limit).select("user_id", *_TOKEN)
     hot = shared.where(F.col("seen_by") > pair_limit).select("user_id", *_TOKEN, "head")
 

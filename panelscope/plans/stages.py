@@ -35,14 +35,18 @@ def _table(step, build, *inputs, stored=False, export=False) -> Table:
 # Inputs that a workspace is given rather than builds.
 SOURCES = ("raw_clicks", "google_trends")
 
+# Intermediate tables that are stored for their readers but are no result of their own.
+INTERNAL = ("shared_events", "us_users", "site_steps", "site_timeline")
+
 TABLES: dict[str, Table] = {
     "dq_profile": _table(2, quality.dq_profile, "raw_clicks", export=True),
     "dq_hourly": _table(2, quality.dq_hourly, "raw_clicks", export=True),
 
     "brand_tagging": _table(3, working_set.brand_tagging, "raw_clicks"),
-    "brand_users": _table(3, working_set.brand_users, "brand_tagging"),
+    "brand_users": _table(3, working_set.brand_users, "brand_tagging", stored=True),
     "brand_user_events_raw": _table(3, working_set.brand_user_events_raw, "brand_tagging", "brand_users", stored=True),
-    "user_alias": _table(3, working_set.user_alias, "brand_user_events_raw", stored=True),
+    "shared_events": _table(3, working_set.shared_events, "brand_user_events_raw", stored=True),
+    "user_alias": _table(3, working_set.user_alias, "shared_events", stored=True),
     "brand_user_events": _table(3, working_set.brand_user_events, "brand_user_events_raw", "user_alias", stored=True),
 
     "affiliate_landings": _table(4, clicks.affiliate_landings, "brand_user_events"),
@@ -115,7 +119,9 @@ TABLES: dict[str, Table] = {
 
     "named_sites": _table(16, publisher.named_sites, "brand_user_events", stored=True),
     "monitor_clicks": _table(16, publisher.monitor_clicks, "us_clicks", "click_stage", "named_sites"),
-    "click_journey": _table(16, publisher.click_journey, "us_clicks", "brand_user_events", stored=True),
+    "site_steps": _table(16, publisher.site_steps, "us_clicks", "brand_user_events", stored=True),
+    "site_timeline": _table(16, publisher.site_timeline, "us_clicks", "site_steps", stored=True),
+    "click_journey": _table(16, publisher.click_journey, "us_clicks", "site_steps", "site_timeline", stored=True),
     "masked_journey": _table(16, publisher.masked_journey, "click_journey", "named_sites"),
     "publisher_risk_status": _table(16, publisher.publisher_risk_status, "us_clicks"),
 }
@@ -134,10 +140,11 @@ class Workspace:
     """All tables of one input, built on demand."""
 
     def __init__(self, spark: SparkSession, raw_clicks: DataFrame, google_trends: DataFrame | None = None,
-                 store: TableStore | None = None, reuse: bool = False):
+                 store: TableStore | None = None, first_step: int = 0):
+        """``first_step``: stored tables of earlier steps are read from the store when it has them."""
         self.spark = spark
         self.store = store or TableStore(spark)
-        self.reuse = reuse
+        self.first_step = first_step
         self._ready: dict[str, DataFrame] = {"raw_clicks": raw_clicks}
         if google_trends is not None:
             self._ready["google_trends"] = google_trends
@@ -146,7 +153,7 @@ class Workspace:
         if name not in self._ready:
             if name in DIMENSIONS:
                 self._ready[name] = DIMENSIONS[name](self.spark)
-            elif self.reuse and name in TABLES and TABLES[name].stored and self.store.exists(name):
+            elif name in TABLES and TABLES[name].step < self.first_step and self.store.exists(name):
                 self._ready[name] = self.store.read(name)
             else:
                 self._ready[name] = self.build(name)
