@@ -1,20 +1,26 @@
-"""Time the whole analysis, table by table, and print one JSON line.
+"""Time the whole analysis and every table of it, and print one JSON line.
 
 Reads ``$BENCH_SF_DIR`` (default ``/root/testdata/sf0.1``) on ``local[$BENCH_CPUS]``. The
-clickstream is derived and written as Parquet first and is not part of the total: it stands
-for the delivered export. Every table is then built once, in dependency order, in a fresh
-store; ``queries`` holds the seconds each one added and ``value`` their sum.
+clickstream is derived and written as Parquet first and is not part of the times: it stands
+for the delivered export.
+
+``value``: wall time of one whole run, from the export to all stored tables and sorted CSV
+results, cold, independent tables side by side. ``queries``: afterwards, seconds of each
+table alone, reading stored inputs.
 """
 
 from __future__ import annotations
 
+import contextlib
 import json
 import os
+import sys
 import tempfile
 import time
 
 from pyspark.sql import SparkSession
 
+from panelscope.plans.pipeline import run
 from panelscope.plans.stages import INTERNAL, TABLES, Workspace
 from panelscope.plans.store import TableStore
 from panelscope.sources.synthetic import read_clickstream
@@ -43,17 +49,24 @@ def main() -> None:
     prepare = time.time() - start
     rows = store.row_counts["raw_clicks"]
 
-    work = Workspace(spark, raw, trends, store)
+    start = time.time()
+    with contextlib.redirect_stdout(sys.stderr):
+        run(spark, raw, trends, f"{store.root}/run", threads=2 * int(cpus))
+    total = time.time() - start
+
+    work = Workspace(spark, raw, trends, TableStore(spark, f"{store.root}/run/tables"), first_step=99)
+    again = TableStore(spark, f"{store.root}/again")
     seconds: dict[str, float] = {}
     for name, spec in TABLES.items():
         start = time.time()
-        df = work.table(name)
-        if not spec.stored:
+        df = spec.build(*[work.table(i) for i in spec.inputs])
+        if spec.stored:
+            again.write(name, df)
+        else:
             df.write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.time() - start, 3)
-    total = sum(seconds.values())
     print(json.dumps({
-        "metric": "whole analysis, all tables",
+        "metric": "whole analysis, export to results",
         "value": round(total, 3),
         "unit": "sec",
         "queries": seconds,
@@ -62,6 +75,7 @@ def main() -> None:
         "rows_per_sec": round(rows / total),
         "tables": len(TABLES) - len(INTERNAL),
         "prepare_sec": round(prepare, 3),
+        "one_by_one_sec": round(sum(seconds.values()), 3),
         "cpus": int(cpus),
     }))
     spark.stop()

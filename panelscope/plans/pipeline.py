@@ -31,38 +31,36 @@ def export_csv(df: DataFrame, path: str) -> int:
     """
     seen = Observation()
     (
-        df.observe(seen, F.count(F.lit(1)).alias("rows")).orderBy(*df.columns)
+        df.orderBy(*df.columns).observe(seen, F.count(F.lit(1)).alias("rows"))
         .write.mode("overwrite").option("header", True).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(path)
     )
     return seen.get["rows"]
 
 
 def run(spark: SparkSession, raw: DataFrame, trends: DataFrame | None, out: str, first: int = 1, last: int = 99,
-        keep_all: bool = False) -> list[tuple[int, str, int, float]]:
-    """Build the tables of steps ``first`` to ``last``; returns (step, table, rows, seconds) of every written table."""
+        keep_all: bool = False, threads: int = 16) -> list[tuple[int, str, int, float]]:
+    """Build the tables of steps ``first`` to ``last``; returns (step, table, rows, seconds since start) of each written."""
     store = TableStore(spark, f"{out}/tables")
     work = Workspace(spark, raw, trends, store, first_step=first)
-    done = []
-    for name, spec in TABLES.items():
-        if not first <= spec.step <= last or (trends is None and _needs_trends(name)):
-            continue
-        start = time.time()
-        rows = None
-        df = work.table(name)
-        if spec.stored:
-            rows = store.row_counts[name]
-        elif keep_all:
-            store.write(name, df)
-            rows = store.row_counts[name]
-        if spec.export:
-            rows = export_csv(df, f"{out}/exports/{name}")
-        if rows is not None:
-            done.append((spec.step, name, rows, round(time.time() - start, 3)))
-            print(f"{spec.step:>3} {name:<26} {rows:>14,} rows {done[-1][3]:>8.1f} s", flush=True)
-    if done:
-        manifest = spark.createDataFrame(done, "step int, table string, rows long, seconds double")
+    start = time.time()
+
+    def write(name: str, df: DataFrame) -> tuple[int, str, int, float] | None:
+        spec = TABLES[name]
+        if keep_all and not spec.stored:
+            df = store.write(name, df)
+        rows = export_csv(df, f"{out}/exports/{name}") if spec.export else store.row_counts.get(name)
+        if rows is None:
+            return None
+        done = (spec.step, name, rows, round(time.time() - start, 3))
+        print(f"{spec.step:>3} {name:<26} {rows:>14,} rows, after {done[-1]:.1f} s", flush=True)
+        return done
+
+    names = [n for n, t in TABLES.items() if first <= t.step <= last and not (trends is None and _needs_trends(n))]
+    written = [r for r in work.each(names, write, threads).values() if r is not None]
+    if written:
+        manifest = spark.createDataFrame(written, "step int, table string, rows long, seconds double")
         manifest.coalesce(1).write.mode("append").json(f"{out}/manifest")
-    return done
+    return written
 
 
 def _needs_trends(name: str) -> bool:
@@ -76,11 +74,13 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--out", required=True, help="folder for tables, exports and manifest")
     ap.add_argument("--from", dest="first", type=int, default=1, help="first step to build")
     ap.add_argument("--to", dest="last", type=int, default=99, help="last step to build")
+    ap.add_argument("--threads", type=int, default=16, help="tables built at the same time")
     ap.add_argument("--keep-all", action="store_true", help="store every table, not only those other tables read")
     args = ap.parse_args(argv)
     spark = SparkSession.builder.appName("panelscope").getOrCreate()
     trends = read_trends(spark, args.trends) if args.trends else None
-    run(spark, read_export(spark, args.input), trends, args.out, args.first, args.last, args.keep_all)
+    run(spark, read_export(spark, args.input), trends, args.out, args.first, args.last, args.keep_all,
+        args.threads)
 
 
 if __name__ == "__main__":

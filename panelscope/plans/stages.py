@@ -7,8 +7,10 @@ are written once and shared, the others stay lazy and melt into the plan of thei
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -165,3 +167,26 @@ class Workspace:
         spec = TABLES[name]
         df = spec.build(*[self.table(i) for i in spec.inputs])
         return self.store.write(name, df) if spec.stored else df
+
+    def each(self, names: Iterable[str], action: Callable[[str, DataFrame], Any], threads: int = 8) -> dict[str, Any]:
+        """Build tables and call ``action(name, df)`` for each, several at a time.
+
+        Reports over small tables do not fill a cluster one by one. A table waits for its own
+        inputs only; ``TABLES`` lists inputs first, so whatever a table waits for has already
+        been started.
+        """
+        wanted = set(names)
+        jobs: dict[str, Future] = {}
+
+        def job(name: str):
+            for i in TABLES[name].inputs:
+                if i in jobs:
+                    jobs[i].result()
+            df = self.table(name)
+            return action(name, df) if name in wanted else None
+
+        with ThreadPoolExecutor(threads) as pool:
+            for name in TABLES:
+                if name in wanted:
+                    jobs[name] = pool.submit(job, name)
+            return {name: f.result() for name, f in jobs.items()}

@@ -141,4 +141,9 @@ def clickstream_from_events(events: DataFrame) -> DataFrame:
 
 
 def read_clickstream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clickstream_from_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    """The clickstream of an ``events`` table; a table of few files is first spread over all cores."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "event_type", "props")
+    cores = spark.sparkContext.defaultParallelism
+    if len(events.inputFiles()) < cores:
+        events = events.repartition(cores)
+    return clickstream_from_events(events)
