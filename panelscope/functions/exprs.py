@@ -83,11 +83,19 @@ def extract(text: Column, pattern: str) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
 
 
+def raw_param(url: Column, key: str) -> Column:
+    """Value of a query parameter (key in any case) as written; empty when absent."""
+    return F.regexp_extract(url, rf"(?i)[?&]{key}=([^&#]*)", 1)
+
+
+def param_value(raw: Column) -> Column:
+    """Decoded value of a raw parameter; NULL when empty."""
+    return F.when(raw.contains("%"), F.nullif(decoded_or_raw(raw), F.lit(""))).when(raw != "", raw)
+
+
 def url_param(url: Column, key: str) -> Column:
     """Decoded value of a query parameter (key in any case); NULL when absent or empty."""
-    raw = F.regexp_extract(url, rf"(?i)[?&]{key}=([^&#]*)", 1)
-    value = F.when(raw.contains("%"), decoded_or_raw(raw)).otherwise(raw)
-    return F.nullif(value, F.lit(""))
+    return param_value(raw_param(url, key))
 
 
 def url_path(url: str | Column) -> Column:

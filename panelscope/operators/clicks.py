@@ -8,22 +8,33 @@ from pyspark.sql import Window as W
 
 from panelscope import config as C
 from panelscope.functions.exprs import (
-    event_second, extract, first_by, first_match, has_affiliate_marker, host_in, second_to_ts, url_param,
+    event_second, extract, first_by, first_match, has_affiliate_marker, host_in, param_value, raw_param,
+    second_to_ts,
 )
 
 
 def affiliate_landings(events: DataFrame) -> DataFrame:
-    """Brand pages whose URL carries an affiliate network's parameters."""
+    """Brand pages whose URL carries an affiliate network's parameters.
+
+    Every parameter is cut out of the URL once; the second step only decodes and chooses.
+    """
     url = F.col("url")
-    partner = F.concat(F.lit("impact:"), extract(url, C.RETAIL_PARTNER_RE))
-    return events.where("is_brand_page").where(has_affiliate_marker(url)).select(
+    names = (*C.CLICK_ID_PARAMS, "utm_source", "ransiteid", "utm_sharedid", "sharedid", "coupon")
+    cut = events.where("is_brand_page").where(has_affiliate_marker(url)).select(
+        "brand", "user_id", "session_id", "created_time", "url",
+        extract(url, C.RETAIL_PARTNER_RE).alias("_partner"), *[raw_param(url, n).alias(f"_{n}") for n in names])
+
+    def param(name: str):
+        return param_value(F.col(f"_{name}"))
+
+    return cut.select(
         "brand", "user_id", "session_id", "created_time", "url",
-        F.coalesce(*[url_param(url, p) for p in C.CLICK_ID_PARAMS]).alias("network_click_id"),
+        F.coalesce(*[param(n) for n in C.CLICK_ID_PARAMS]).alias("network_click_id"),
         first_match(url, C.LANDING_NETWORKS, C.LANDING_NETWORK_DEFAULT).alias("network"),
-        F.lower(F.coalesce(partner, url_param(url, "utm_source"), url_param(url, "ransiteid"), F.lit("unknown")))
-        .alias("publisher"),
-        F.coalesce(url_param(url, "utm_sharedid"), url_param(url, "sharedid")).alias("publisher_sub_id"),
-        url_param(url, "coupon").alias("coupon"),
+        F.lower(F.coalesce(F.concat(F.lit("impact:"), "_partner"), param("utm_source"), param("ransiteid"),
+                           F.lit("unknown"))).alias("publisher"),
+        F.coalesce(param("utm_sharedid"), param("sharedid")).alias("publisher_sub_id"),
+        param("coupon").alias("coupon"),
         url.rlike(C.PAID_SEARCH_ID_RE).alias("has_paid_search_click_id"),
     )
 

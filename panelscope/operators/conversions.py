@@ -40,7 +40,7 @@ def funnel_events(events: DataFrame) -> DataFrame:
     One pass: every event yields at most one row for its own brand and one for each brand
     that a lender's URL names.
     """
-    path = url_path("url")
+    path = F.col("path")
     yes, no = F.lit(True), F.lit(False)
 
     def row(brand, *flags):
@@ -50,11 +50,12 @@ def funnel_events(events: DataFrame) -> DataFrame:
         F.col("brand").isNotNull(),
         row(F.col("brand"), is_cart_path(path), is_checkout_path(path), path.rlike(C.REGISTRATION_RE), no),
     )
-    decoded = F.lower(decoded_or_raw(F.col("url")))
+    financing = [F.when(F.col("lender_url").contains(b.name), row(F.lit(b.brand), no, no, no, yes)) for b in C.BRANDS]
     lender = host_in("host", C.FINANCING_DOMAINS)
-    financing = [F.when(lender & decoded.contains(b.name), row(F.lit(b.brand), no, no, no, yes)) for b in C.BRANDS]
     return (
         events.where(F.col("brand").isNotNull() | lender)
+        .select("brand", "user_id", "created_time", url_path("url").alias("path"),
+                F.when(lender, F.lower(decoded_or_raw(F.col("url")))).alias("lender_url"))
         .select("user_id", "created_time", F.explode(F.array_compact(F.array(own_site, *financing))).alias("f"))
         .select("f.brand", "user_id", "created_time", *[f"f.{n}" for n in FLAGS])
         .where(" OR ".join(FLAGS))

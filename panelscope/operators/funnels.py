@@ -20,7 +20,7 @@ def category_events(raw: DataFrame, alias: DataFrame, us_users: DataFrame) -> Da
     mattress = F.when(site.isin(*[f"{b}.com" for b in C.MATTRESS_BRANDS]), F.substring_index(site, ".", 1))
     article = F.lower("url").contains("mattress")
     on_brand = F.col("mbrand").isNotNull()
-    path = url_path("url")
+    path = F.col("path")
     kept = (
         raw.select("user_id", "created_time", "host", "url", mattress.alias("mbrand"))
         .where(on_brand | (host_in("host", C.REVIEW_DOMAINS) & article))
@@ -29,10 +29,11 @@ def category_events(raw: DataFrame, alias: DataFrame, us_users: DataFrame) -> Da
         kept.join(alias, "user_id", "left")
         .withColumn("user_id", F.coalesce("person_id", "user_id")).drop("person_id")
         .join(us_users, "user_id", "left_semi")
+        .select("user_id", "created_time", "host", "mbrand", article.alias("article"), url_path("url").alias("path"))
     )
     return persons.select(
         "user_id", "created_time", "host", "mbrand",
-        (~on_brand & article).alias("is_review"),
+        (~on_brand & F.col("article")).alias("is_review"),
         (on_brand & path.rlike(C.PRODUCT_PATH_RE)).alias("is_product"),
         (on_brand & is_cart_path(path)).alias("is_cart"),
         (on_brand & is_checkout_path(path)).alias("is_checkout"),
@@ -118,11 +119,12 @@ def click_stage(us_clicks: DataFrame, events: DataFrame) -> DataFrame:
     """
     keys = ["brand", "user_id", "sec"]
     at = us_clicks.select("brand", "user_id", event_second("click_time").alias("sec")).distinct()
-    path = url_path("url")
+    path = F.col("path")
     stages = ("page", "product", "cart", "checkout")
     pages = (
         events.where("is_brand_page")
-        .select("brand", "user_id", event_second("created_time").alias("sec"), F.lit(True).alias("page"),
+        .select("brand", "user_id", event_second("created_time").alias("sec"), url_path("url").alias("path"))
+        .select("brand", "user_id", "sec", F.lit(True).alias("page"),
                 path.rlike(C.PRODUCT_PATH_RE).alias("product"), is_cart_path(path).alias("cart"),
                 is_checkout_path(path).alias("checkout"))
     )
