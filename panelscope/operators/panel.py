@@ -43,16 +43,15 @@ def panel_profile(panel_users: DataFrame, alias: DataFrame, events: DataFrame) -
         taken = F.greatest(F.lit(0), F.least(users, quota - above))
         return round_half(pct(F.sum(F.when(taken > 0, taken * F.col("events"))), F.max("total")), 1)
 
-    def percentile(q: int) -> Column:
-        """Continuous percentile: between the two users around rank (n - 1) q / 100."""
-        rank = (n - 1) * q
-        below, rest = F.floor(rank / 100), F.max(rank % 100) / 100.0
+    def percentile(q: float) -> Column:
+        """Continuous percentile: the two users around rank (n - 1) q, weighted by their distance to it."""
+        rank = (n - 1).cast("double") * q
+        share = F.max(rank - F.floor(rank))
 
         def value_at(r: Column) -> Column:
             return F.max(F.when((upto - users <= r) & (r < upto), F.col("events"))).cast("double")
 
-        low, high = value_at(below), value_at(below + F.when(rank % 100 > 0, 1).otherwise(0))
-        return low + (high - low) * rest
+        return value_at(F.floor(rank)) * (F.lit(1.0) - share) + value_at(F.ceil(rank)) * share
 
     sessions = (
         events.select("user_id", "session_id").distinct()
@@ -62,7 +61,7 @@ def panel_profile(panel_users: DataFrame, alias: DataFrame, events: DataFrame) -
     return bars.agg(
         F.coalesce(F.sum("users"), F.lit(0)).alias("panel_user_ids"),
         F.coalesce(F.sum("us"), F.lit(0)).alias("us_user_ids"),
-        percentile(50).alias("events_p50"), percentile(90).alias("events_p90"), percentile(99).alias("events_p99"),
+        percentile(0.5).alias("events_p50"), percentile(0.9).alias("events_p90"), percentile(0.99).alias("events_p99"),
         F.max("events").alias("events_max"),
         top_share(1).alias("pct_events_top1pct_users"), top_share(10).alias("pct_events_top10pct_users"),
         F.coalesce(F.sum(F.when(F.col("events") > C.EXTREME_EVENTS, users)), F.lit(0)).alias("users_over_5000_events"),
