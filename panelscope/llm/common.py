@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Callable
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,3 +34,12 @@ def word_count(text: Column) -> Column:
 def tasks(df: DataFrame) -> int:
     """Shuffle partitions of the session, which the operator of a cluster sizes to the input."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def map_batches(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+    """``mapInArrow``, with this package on the path of Python workers of this machine; clusters get it by ``--py-files``."""
+    environment, root = df.sparkSession.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    path = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in path:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, path)])
+    return df.mapInArrow(function, schema)

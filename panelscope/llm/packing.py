@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelscope.llm.common import stored, whole_text
+from panelscope.llm.common import map_batches, stored, whole_text
 
 #: Words whose ids a worker remembers, before it starts afresh.
 WORD_CACHE = 300_000
@@ -99,7 +99,7 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int,
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=schema)
 
-    return docs.select(F.col(id_col).cast("long"), whole_text(text_col).cast("binary")).mapInArrow(run, PIECES)
+    return map_batches(docs.select(F.col(id_col).cast("long"), whole_text(text_col).cast("binary")), run, PIECES)
 
 
 def differencing(sizes: np.ndarray, windows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -191,7 +191,7 @@ def pack_documents(
         table = table.take(order).append_column("sequence_id", pa.array(window[order] + (task << 32), pa.int64()))
         yield from table.append_column("offset", pa.array(offset, pa.int64())).combine_chunks().to_batches(max_chunksize=10_000)
 
-    mixed = pieces.where(short).repartition(groups).mapInArrow(group, PACKED)
+    mixed = map_batches(pieces.where(short).repartition(groups), group, PACKED)
     # full windows need no partner: numbered apart, above all groups
     alone = pieces.where(~short).withColumns({"sequence_id": F.lit(1 << 62) + F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
     return mixed.unionByName(alone)

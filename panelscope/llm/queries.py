@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from panelscope.llm.langid import language_query
+from panelscope.llm.mixing import mix_counts
 from panelscope.llm.packing import pack_documents
 from panelscope.llm.sharding import shard_documents
 from panelscope.llm.simhash import near_duplicates
@@ -27,6 +29,14 @@ def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_query(documents(spark, sf_dir))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_counts(documents(spark, sf_dir))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(documents(spark, sf_dir))
 
@@ -36,7 +46,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_dedup, op9_sharding, op10_packing)
+    f.__name__: f for f in (op1_simhash_dedup, op4_language_id, op5_mixing, op9_sharding, op10_packing)
 }
 
 ORACLE_SQL: dict[str, str] = {}

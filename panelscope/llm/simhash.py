@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelscope.llm.common import stored, whole_text
+from panelscope.llm.common import map_batches, stored, whole_text
 
 BITS = 64
 FANOUT = 16
@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, id_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["_id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("_id"), whole_text(text_col).cast("binary")).mapInArrow(run, f"_id {kind}, fp long")
+    return map_batches(docs.select(F.col(id_col).alias("_id"), whole_text(text_col).cast("binary")), run, f"_id {kind}, fp long")
 
 
 # -- the index ---------------------------------------------------------------
@@ -196,8 +196,8 @@ def segments_of(fps: DataFrame, radius: int, segment: int) -> DataFrame:
         if held:
             yield row(of, np.concatenate(held))
 
-    lines = fps.mapInArrow(turn, "turn int, rank long").repartitionByRange("turn", "rank").sortWithinPartitions("turn", "rank")
-    cuts = lines.mapInArrow(cut, "turn int, low long, high long, codes binary")
+    lines = map_batches(fps, turn, "turn int, rank long").repartitionByRange("turn", "rank").sortWithinPartitions("turn", "rank")
+    cuts = map_batches(lines, cut, "turn int, low long, high long, codes binary")
     return stored(cuts.withColumn("seg", F.monotonically_increasing_id()), "gray_segments")
 
 
@@ -227,7 +227,7 @@ def links(fps: DataFrame, radius: int = 3, segment: int = SEGMENT) -> DataFrame:
     across = pairs.join(one, "one").join(two, "two").select("turn", "codes", "others")
     inside = segments.select("turn", "codes", F.lit(None).cast("binary").alias("others"))
     jobs = inside.unionByName(across)
-    return jobs.repartition(F.xxhash64("codes", "others")).mapInArrow(search, "a long, b long")
+    return map_batches(jobs.repartition(F.xxhash64("codes", "others")), search, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
