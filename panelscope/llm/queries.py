@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from panelscope.llm.langid import language_query
+from panelscope.llm.linecrf import quality_query
 from panelscope.llm.mixing import mix_counts
 from panelscope.llm.packing import pack_documents
 from panelscope.llm.sharding import shard_documents
@@ -37,6 +38,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_counts(documents(spark, sf_dir))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_query(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(documents(spark, sf_dir))
 
@@ -46,7 +51,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_dedup, op4_language_id, op5_mixing, op9_sharding, op10_packing)
+    f.__name__: f for f in (op1_simhash_dedup, op4_language_id, op5_mixing, op6_quality_classifier, op9_sharding, op10_packing)
 }
 
 ORACLE_SQL: dict[str, str] = {}
