@@ -11,8 +11,10 @@ from __future__ import annotations
 
 import heapq
 import os
+import re
+import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,43 +24,76 @@ from pyspark.sql import functions as F
 
 from panelscope.llm.common import map_batches, stored, whole_text
 
-#: Words whose ids a worker remembers, before it starts afresh.
-WORD_CACHE = 300_000
+#: Pieces whose ids a worker remembers, twice: those met lately and those met before.
+PIECE_CACHE = 300_000
+#: The tokenizer's own split of text into pieces, written out for lower-case text of ASCII and Latin letters
+#: (fixed by its vocabulary file), and the characters beyond those, whose texts take the tokenizer's own way.
+PLAIN_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u024f]+|[0-9]|[^\t\n\r a-z0-9\u00df-\u00f6\u00f8-\u024f]+")
+BEYOND = re.compile("[^\t\n\r -~\u00df-\u00f6\u00f8-\u024f]")
+PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+CONTROLS = re.compile(rb"[\x00-\x1f\x7f]")
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = f"{PIECES}, sequence_id long, offset long"
 
 _ENCODERS: dict[str, "WordEncoder"] = {}
 
 
+def printable_bytes() -> dict[int, int]:
+    """The characters that stand for bytes in a byte-level vocabulary: printable ones for themselves, others from 256 up."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in shown]
+    return {b: 256 + i for i, b in enumerate(rest)}
+
+
+class Recent(dict):
+    """Values made on demand; the ones met lately are kept, in two generations of bounded size."""
+
+    def __init__(self, make: Callable[[str], bytes], size: int):
+        super().__init__()
+        self.make, self.size, self.before = make, size, {}
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= self.size:
+            self.before = dict(self)
+            self.clear()
+        value = self.before.get(key)
+        self[key] = value = self.make(key) if value is None else value
+        return value
+
+
 class WordEncoder:
-    """Ids of a text, word by word.
+    """Ids of a text, piece by piece.
 
-    The tokenizer drops white space before its merges and never joins across it, so the ids of a
-    text are those of its blank-separated words in turn; equal words are encoded once.
+    The tokenizer normalises a text, splits it into pieces without white space and merges inside pieces only, so the ids of a
+    text are those of its pieces in turn; equal pieces are encoded once.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[bytes, bytes] = {}
+        tokenizer = Tokenizer.from_file(path)
+        self.model, self.normalizer, self.splitter = tokenizer.model, tokenizer.normalizer, tokenizer.pre_tokenizer
+        self.shown = printable_bytes()
+        self.of_piece = Recent(self.piece, PIECE_CACHE)
+
+    def piece(self, piece: str) -> bytes:
+        mapped = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.shown)
+        return self.merged(mapped)
+
+    def merged(self, mapped: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(mapped)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
-    def ids(self, texts: list[bytes]) -> Iterator[bytes]:
+    def ids(self, texts: Iterable[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         for text in texts:
-            words = text.split()
-            missing = [w for w in dict.fromkeys(words) if w not in self.known]
-            if missing:
-                if len(self.known) + len(missing) > WORD_CACHE:
-                    self.known.clear()
-                    missing = list(dict.fromkeys(words))
-                for at in range(0, len(missing), 4096):
-                    part = missing[at:at + 4096]
-                    encoded = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-                    self.known.update((w, np.asarray(e.ids, "<u4").tobytes()) for w, e in zip(part, encoded, strict=True))
-            yield b"".join(map(self.known.__getitem__, words))
+            low = text.lower()
+            if BEYOND.search(low):
+                found = self.splitter.pre_tokenize_str(self.normalizer.normalize_str(text))
+                yield b"".join(self.merged(mapped) for mapped, _ in found)
+            else:
+                yield b"".join(map(self.of_piece.__getitem__, PLAIN_PIECES.findall(low)))
 
 
 def encoder(path: str) -> WordEncoder:
@@ -99,7 +134,7 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int,
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=schema)
 
-    return map_batches(docs.select(F.col(id_col).cast("long"), whole_text(text_col).cast("binary")), run, PIECES)
+    return map_batches(docs.select(F.col(id_col).cast("long"), whole_text(text_col)), run, PIECES)
 
 
 def differencing(sizes: np.ndarray, windows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -150,7 +185,7 @@ def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
     """The window of every item; no window exceeds the capacity, if no item does."""
     if not len(sizes):
         return np.zeros(0, np.int64)
-    windows = -(-int(sizes.sum()) // capacity)
+    windows = -(-int(sizes.sum()) * 501 // (capacity * 500))  # a little room saves most second attempts
     while True:
         window, loads = differencing(sizes, windows)
         if loads.max() <= capacity:
@@ -159,7 +194,7 @@ def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
 
 
 def pack_documents(
-    docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = 2048, piece: int = 384,
+    docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = 2048, piece: int = 512,
     group_tokens: int = 1_000_000, group_pieces: int = 8_192, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """Pieces of all documents with their window and place: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
