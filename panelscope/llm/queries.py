@@ -11,6 +11,7 @@ from panelscope.llm.linecrf import quality_query
 from panelscope.llm.mixing import mix_counts
 from panelscope.llm.packing import pack_documents
 from panelscope.llm.pii import find_spans
+from panelscope.llm.quality_rules import quality_rules
 from panelscope.llm.sharding import shard_documents
 from panelscope.llm.simhash import near_duplicates
 
@@ -31,6 +32,10 @@ def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_spans(documents(spark, sf_dir))
 
@@ -56,7 +61,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_dedup, op3_pii, op4_language_id, op5_mixing, op6_quality_classifier, op9_sharding, op10_packing)
+    f.__name__: f for f in (op1_simhash_dedup, op2_quality_rules, op3_pii, op4_language_id, op5_mixing, op6_quality_classifier, op9_sharding, op10_packing)
 }
 
 ORACLE_SQL: dict[str, str] = {}
