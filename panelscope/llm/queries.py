@@ -15,6 +15,7 @@ from panelscope.llm.pii import find_spans
 from panelscope.llm.quality_rules import quality_rules
 from panelscope.llm.sharding import shard_documents
 from panelscope.llm.simhash import near_duplicates
+from panelscope.llm.suffix_dedup import remove_repeats
 from panelscope.llm.topk import top_k
 
 TOKENIZER = "word_bpe_49k.json"
@@ -54,6 +55,10 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_query(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(documents(spark, sf_dir)).drop("kept")
+
+
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
 
@@ -67,7 +72,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_dedup, op2_quality_rules, op3_pii, op4_language_id, op5_mixing, op6_quality_classifier, op8_topk, op9_sharding, op10_packing)
+    f.__name__: f for f in (op1_simhash_dedup, op2_quality_rules, op3_pii, op4_language_id, op5_mixing, op6_quality_classifier, op7_suffix_dedup, op8_topk, op9_sharding, op10_packing)
 }
 
 ORACLE_SQL: dict[str, str] = {
