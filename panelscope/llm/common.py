@@ -8,6 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from panelscope.plans.store import TableStore
 
@@ -36,7 +37,7 @@ def tasks(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def map_batches(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+def map_batches(df: DataFrame, function: Callable, schema: str | StructType) -> DataFrame:
     """``mapInArrow``, with this package on the path of Python workers of this machine; clusters get it by ``--py-files``."""
     environment, root = df.sparkSession.sparkContext.environment, str(Path(__file__).resolve().parents[2])
     path = environment.get("PYTHONPATH", "").split(os.pathsep)

@@ -171,6 +171,37 @@ def judged(texts: list[str], model: LanguageModel) -> tuple[list[str], np.ndarra
     return [UNKNOWN if n else model.languages[b] for n, b in zip(none, best, strict=True)], np.where(none, 0.0, np.clip(score, 0, 1)), known
 
 
+def judged_batch(texts: list[str], model: LanguageModel) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """``judged``, for a bounded number of symbols at a time."""
+    langs, scores, shares = [], [np.zeros(0)], [np.zeros(0)]
+    first, held = 0, 0
+    for i, text in enumerate(texts):
+        held += len(text)
+        if held >= AT_ONCE or i + 1 == len(texts):
+            found = judged(texts[first:i + 1], model)
+            langs += found[0]
+            scores.append(found[1])
+            shares.append(found[2])
+            first, held = i + 1, 0
+    return langs, np.concatenate(scores), np.concatenate(shares)
+
+
+def accepted(docs: DataFrame, model: LanguageModel, least_known: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose text is in a learned language.
+
+    Rejected are texts without a letter (null and empty ones too), and texts of which less than ``least_known`` of the letters occur in
+    the samples, such as other scripts. A model without languages rejects all.
+    """
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs, _, known = judged_batch([t or "" for t in batch.column(at).to_pylist()], model)
+            yield batch.filter(pa.array([lang != UNKNOWN and share >= least_known for lang, share in zip(langs, known, strict=True)], pa.bool_()))
+
+    return map_batches(docs, run, docs.schema)
+
+
 def learn(
     docs: DataFrame, usable: Column, sample_symbols: int = 40_000, sample_docs: int = 96, longest: int = 8_000,
     max_languages: int = 64, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text",
@@ -209,20 +240,8 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            langs, scores, shares = [], [np.zeros(0)], [np.zeros(0)]
-            part, held = [], 0
-            for i, text in enumerate(texts):
-                part.append(text)
-                held += len(text)
-                if held >= AT_ONCE or i + 1 == len(texts):
-                    found = judged(part, model)
-                    langs += found[0]
-                    scores.append(found[1])
-                    shares.append(found[2])
-                    part, held = [], 0
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(langs, pa.string()), pa.array(np.concatenate(scores)), pa.array(np.concatenate(shares))], names=["_id", "lang_pred", "score", "known"])
+            langs, scores, known = judged_batch(batch.column(1).to_pylist(), model)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores), pa.array(known)], names=["_id", "lang_pred", "score", "known"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     out = map_batches(docs.select(F.col(id_col).alias("_id"), whole_text(text_col)), run, f"_id {kind}, lang_pred string, score double, known double")

@@ -275,3 +275,15 @@ def near_duplicates(
     named = placed.join(names, "_root").select("fp", "component_id")
     return found.join(named, "fp").select(
         F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, all columns, less near-duplicates: of each component the row with the smallest id stays.
+
+    A null id is greater than all others. Rows that share an id are told apart by their text, and identical rows are one.
+    """
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(whole_text(text_col)).alias("text"))
+    keyed = docs.select(key.alias("_key"), *[F.col(c) for c in docs.columns])
+    names = near_duplicates(docs.select(key.alias("_key"), F.col(text_col).alias("_text")), id_col="_key", text_col="_text", **options)
+    first = names.where("_key = component_id").select("_key").distinct()
+    return keyed.join(first, "_key").dropDuplicates(["_key"]).select(*docs.columns)
