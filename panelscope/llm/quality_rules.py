@@ -166,13 +166,14 @@ def learn(labelled: DataFrame, rules: int = 8, conditions: int = 3, precision: f
     quantiles = labelled.agg(*[F.percentile_approx(F.when(F.col("_bad") == side, F.col(s)), points, 5000).alias(f"{s}_{side}") for s in STATS for side in (True, False)]).first()
     cuts = {s: sorted({float(q) for side in (True, False) for q in (quantiles[f"{s}_{side}"] or [])}) for s in STATS}
     bins = F.array(*[F.struct(F.lit(i).alias("stat"), sum((F.when(F.col(s) > c, 1).otherwise(0) for c in cuts[s]), F.lit(0)).alias("bin")) for i, s in enumerate(STATS)])
-    binned = stored(labelled.select(*STATS, "_bad", "_prune", bins.alias("_bins")), "rule_bins")
+    # a row per labelled row and statistic, written once: each step filters and counts it
+    binned = stored(labelled.select(*STATS, "_bad", "_prune", F.explode(bins).alias("b")), "rule_bins")
     done: list[tuple[Condition, ...]] = []
     left = F.lit(True)
     while len(done) < rules:
         rule: list[Condition] = []
         while len(rule) < conditions:
-            open_ = binned.where(left & ~F.col("_prune") & _holds(rule)).select("_bad", F.explode("_bins").alias("b"))
+            open_ = binned.where(left & ~F.col("_prune") & _holds(rule))
             rows = open_.groupBy("b.stat", "b.bin").agg(F.count_if("_bad").alias("bad"), F.count_if(~F.col("_bad")).alias("good")).collect()
             if not any(r["good"] for r in rows) or (found := _best(rows, cuts, rule, least)) is None:
                 break
@@ -180,7 +181,7 @@ def learn(labelled: DataFrame, rules: int = 8, conditions: int = 3, precision: f
         if not rule:
             break
         held = [_holds(rule[:i]) for i in range(1, len(rule) + 1)]
-        counts = binned.where(left & F.col("_prune")).agg(*[F.count_if(h & F.col("_bad")).alias(f"bad{i}") for i, h in enumerate(held)], *[F.count_if(h & ~F.col("_bad")).alias(f"good{i}") for i, h in enumerate(held)]).first()
+        counts = binned.where(left & F.col("_prune") & (F.col("b.stat") == 0)).agg(*[F.count_if(h & F.col("_bad")).alias(f"bad{i}") for i, h in enumerate(held)], *[F.count_if(h & ~F.col("_bad")).alias(f"good{i}") for i, h in enumerate(held)]).first()
         worth = [((counts[f"bad{i}"] - counts[f"good{i}"]) / max(1, counts[f"bad{i}"] + counts[f"good{i}"]), -i) for i in range(len(held))]
         value, length = max(worth)
         length = 1 - length
