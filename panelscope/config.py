@@ -265,10 +265,3 @@ HOLD_MIN_ORDERS = 3
 HOLD_FLAGGED_PCT = 50
 REVIEW_FLAGGED_PCT = 20
 STATUS_LABELS = ("Hold payouts", "Review", "OK")
-
-# --------------------------------------------------------------------------
-# Scale knobs (no effect on results).
-# --------------------------------------------------------------------------
-
-# A (second, URL) seen by more users than this is never paired user by user.
-MIRROR_PAIR_LIMIT = 32

@@ -3,26 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-# Up to this many keys the list is sent to all executors (some tens of MB); beyond it, it is shuffled.
-BROADCAST_KEYS = 1_000_000
-# Pieces that the rows of one key are cut into when the list is too large to broadcast.
-SPREAD = 32
 
+def keep_members(rows: DataFrame, members: DataFrame, key: str) -> DataFrame:
+    """Rows whose ``key`` is in ``members``.
 
-def keep_members(rows: DataFrame, members: DataFrame, key: str, spread_by: str,
-                 broadcast_keys: int = BROADCAST_KEYS, spread: int = SPREAD) -> DataFrame:
-    """Rows whose ``key`` is in ``members`` (distinct keys).
-
-    The size of the list is checked first: counting stops as soon as it is known to be too
-    large to broadcast. A large list is joined in pieces: every row goes to one of
-    ``spread`` pieces by its ``spread_by`` column and the list is repeated once per piece, so
-    a key with a third of all rows fills ``spread`` tasks rather than one.
+    The lists of this analysis come from stored tables, so the planner knows their size in bytes and broadcasts one that is
+    below the session's threshold. A larger one is joined by key, and adaptive execution cuts the rows
+    of a hot key into several tasks, which a left semi join allows.
     """
-    small = members.limit(broadcast_keys + 1).count() <= broadcast_keys
-    if small:
-        return rows.join(F.broadcast(members), key, "left_semi")
-    pieces = members.select(key, F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("_piece"))
-    piece = F.pmod(F.xxhash64(spread_by), F.lit(spread)).cast("int")
-    return rows.withColumn("_piece", piece).join(pieces, [key, "_piece"], "left_semi").drop("_piece")
+    return rows.join(members, key, "left_semi")

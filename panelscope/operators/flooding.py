@@ -21,7 +21,7 @@ def _per_person(us_clicks: DataFrame) -> DataFrame:
 def click_flood_behaviour(us_clicks: DataFrame, events: DataFrame) -> DataFrame:
     """How people browse, by clicks per day."""
     people = _per_person(us_clicks)
-    browsing = keep_members(events, us_clicks.select("user_id").distinct(), "user_id", spread_by="event_id")
+    browsing = keep_members(events, us_clicks.select("user_id").distinct(), "user_id")
     sites = browsing.select("user_id", "host").distinct().groupBy("user_id").agg(F.count("*").alias("sites"))
     hours = (
         browsing.select("user_id", F.date_trunc("hour", "created_time").alias("hour")).distinct()

@@ -66,7 +66,7 @@ def site_steps(us_clicks: DataFrame, events: DataFrame) -> DataFrame:
     second = ["brand", "user_id", "sec"]
     who = us_clicks.select(F.col("brand").alias("clicked"), "user_id").distinct()
     seen = (
-        keep_members(events, us_clicks.select("user_id").distinct(), "user_id", spread_by="event_id")
+        keep_members(events, us_clicks.select("user_id").distinct(), "user_id")
         .select("user_id", event_second("created_time").alias("sec"), "host", "hop_brand",
                 F.when(F.col("is_brand_page"), F.col("brand")).alias("site_brand"),
                 F.when(F.col("is_brand_page"), url_section("url")).alias("part")).distinct()

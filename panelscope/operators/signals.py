@@ -47,7 +47,7 @@ def click_context(clicks: DataFrame, events: DataFrame) -> DataFrame:
     over those rows give the latest second of each kind of event, and each click looks up
     its own second. Groups are bounded by the seconds in the data, not by their events.
     """
-    events = keep_members(events, clicks.select("user_id").distinct(), "user_id", spread_by="event_id")
+    events = keep_members(events, clicks.select("user_id").distinct(), "user_id")
     sec = event_second("created_time").alias("sec")
     edges = advertiser_presence(events)
     at = clicks.select("brand", "user_id", event_second("click_time").alias("sec")).distinct()

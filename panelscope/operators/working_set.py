@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelscope import config as C
@@ -15,6 +16,9 @@ _DOMAINS = tuple(b.domain for b in C.BRANDS)
 _HOP_TARGET_RE = r"\b(" + "|".join(re.escape(d) for d in _DOMAINS) + r")\b"
 _TOKEN = ["created_time", "url"]
 
+# Ids of an event that are paired in one group.
+PAIR_BLOCK = 500
+
 
 def brands(spark: SparkSession) -> DataFrame:
     """The brand dimension; as many rows as ``config.BRANDS`` has entries."""
@@ -51,7 +55,7 @@ def brand_user_events_raw(tagged: DataFrame, users: DataFrame) -> DataFrame:
     """
     rest = ["event_id", "session_id", "host", "brand_domain", "hop_brand_domain"]
     lowest = (
-        keep_members(tagged, users, "user_id", spread_by="event_id")
+        keep_members(tagged, users, "user_id")
         .groupBy("user_id", *_TOKEN).agg(F.min(F.struct(*rest)).alias("e"))
     )
     return lowest.select("e.event_id", "user_id", "e.session_id", "created_time", "e.host", "url",
@@ -75,61 +79,52 @@ def shared_events(events: DataFrame) -> DataFrame:
     return shared.join(eligible, "user_id", "left_semi")
 
 
-def user_alias(shared: DataFrame, pair_limit: int = C.MIRROR_PAIR_LIMIT) -> DataFrame:
+def user_alias(shared: DataFrame) -> DataFrame:
     """Mirrored ids: ``user_id`` -> ``person_id``, the smallest id it shares three or more events with.
 
     One step only: the person id may itself be an alias of a third id.
 
-    Ids are paired one by one only inside events seen by at most ``pair_limit`` ids, so
-    that part is linear in the input. Events seen by more ids ("hot") never produce pairs:
-
-    * the smallest id of a hot event is known from its aggregate; three hot events with
-      the same smallest id settle most ids at once, in particular any group of copies;
-    * what is left can only be linked to a still smaller id, through hot events whose
-      smallest id is lower. Ids with three or more such events are matched on groups of
-      three events, and a group only keeps its smallest id.
-
-    A pair that meets in one or two ordinary events is completed by counting its hot
-    events, so the result is the same for any ``pair_limit``.
+    * The smallest id of an event is known from its aggregate; three events with the same smallest id
+      link an id to it. Nothing but a still smaller id can do better, so of an id that is settled so, only
+      events whose smallest id is lower stay open. Groups of copies are settled here without a pair.
+    * Of three events that two ids share, the rarest is outside the two most frequent events of either. So ids are
+      paired inside events other than their own two most frequent ones, and a pair with too few such
+      events is completed by looking those (at most four) up.
+    * An event seen by many ids is paired block by block: a block of its ids meets each other block in
+      a group of its own, so the pairs of one event are spread over as many groups.
     """
     need = C.MIRROR_MIN_SHARED
-    light = shared.where(F.col("seen_by") <= pair_limit).select("user_id", *_TOKEN)
-    hot = shared.where(F.col("seen_by") > pair_limit).select("user_id", *_TOKEN, "head")
-
-    left, right = (light.select(F.col("user_id").alias(name), *_TOKEN) for name in ("a", "b"))
-    pairs = left.join(right, _TOKEN).where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
-
-    hot_a, hot_b = (hot.select(F.col("user_id").alias(name), *_TOKEN) for name in ("a", "b"))
-    completed = (
-        pairs.where(F.col("n") < need).join(hot_a, "a").join(hot_b, ["b", *_TOKEN])
-        .groupBy("a", "b").agg(F.first("n").alias("n"), F.count("*").alias("hot_n"))
-        .where(F.col("n") + F.col("hot_n") >= need)
-    )
+    rarer = W.partitionBy("user_id").orderBy(F.desc("seen_by"), *_TOKEN)
+    ranked = shared.withColumn("nth", F.row_number().over(rarer))
 
     by_head = (
-        hot.where("head < user_id").groupBy("user_id", "head").agg(F.count("*").alias("n"))
+        shared.where("head < user_id").groupBy("user_id", "head").agg(F.count("*").alias("n"))
         .where(F.col("n") >= need)
         .groupBy("user_id").agg(F.min("head").alias("best"))
     )
-    open_events = (
-        hot.join(by_head, "user_id", "left").where(F.col("head") < F.coalesce("best", "user_id"))
-    )
-    open_users = open_events.groupBy("user_id").agg(F.count("*").alias("n")).where(F.col("n") >= need)
-    open_tokens = open_events.join(open_users, "user_id", "left_semi").select(*_TOKEN).distinct()
-    member = hot.join(open_tokens, _TOKEN, "left_semi").select("user_id", F.struct(*_TOKEN).alias("t"))
-    t1, t2, t3 = (member.withColumnRenamed("t", f"t{i}") for i in (1, 2, 3))
-    triples = t1.join(t2, "user_id").where("t1 < t2").join(t3, "user_id").where("t2 < t3")
-    heads = triples.groupBy("t1", "t2", "t3").agg(F.min("user_id").alias("a"))
-    by_triple = (
-        triples.join(open_users, "user_id", "left_semi").join(heads, ["t1", "t2", "t3"])
-        .where("a < user_id").select("a", F.col("user_id").alias("b"))
+    blocks = F.ceil(F.col("seen_by") / PAIR_BLOCK)
+    own, all_blocks = F.pmod(F.xxhash64("user_id"), blocks), F.sequence(F.lit(0).cast("long"), blocks - 1)
+    tail = ranked.where(F.col("nth") >= need).withColumn("own", own)
+    left = tail.select(F.col("user_id").alias("a"), *_TOKEN, F.col("own").alias("i"), F.explode(all_blocks).alias("j"))
+    right = (
+        tail.join(by_head, "user_id", "left").withColumn("limit", F.coalesce("best", "user_id")).where("head < limit")
+        .select(F.col("user_id").alias("b"), "limit", *_TOKEN, F.explode(all_blocks).alias("i"), F.col("own").alias("j"))
     )
+    pairs = left.join(right, [*_TOKEN, "i", "j"]).where("a < limit").groupBy("a", "b").agg(F.count("*").alias("n"))
 
+    token = F.struct(*_TOKEN)
+    top = ranked.where(F.col("nth") < need).groupBy("user_id").agg(F.collect_list(token).alias("top"))
+    top_of = lambda c: top.select(F.col("user_id").alias(c), F.col("top").alias(f"top_{c}"))
+    seen_by = lambda c: shared.select(F.col("user_id").alias(c), *_TOKEN)
+    completed = (
+        pairs.where(F.col("n") < need).join(top_of("a"), "a").join(top_of("b"), "b")
+        .select("a", "b", "n", F.explode(F.array_union("top_a", "top_b")).alias("t")).select("a", "b", "n", "t.*")
+        .join(seen_by("a"), ["a", *_TOKEN], "left_semi").join(seen_by("b"), ["b", *_TOKEN], "left_semi")
+        .groupBy("a", "b").agg((F.first("n") + F.count("*")).alias("n"))
+    )
     links = (
-        pairs.where(F.col("n") >= need).select("a", "b")
-        .unionByName(completed.select("a", "b"))
+        pairs.unionByName(completed).where(F.col("n") >= need).select("a", "b")
         .unionByName(by_head.select(F.col("best").alias("a"), F.col("user_id").alias("b")))
-        .unionByName(by_triple)
     )
     return links.groupBy(F.col("b").alias("user_id")).agg(F.min("a").alias("person_id"))
 

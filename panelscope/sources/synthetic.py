@@ -141,9 +141,6 @@ def clickstream_from_events(events: DataFrame) -> DataFrame:
 
 
 def read_clickstream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The clickstream of an ``events`` table; a table of few files is first spread over all cores."""
+    """The clickstream of an ``events`` table, dealt out by event as a delivered export is over its files."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "event_type", "props")
-    cores = spark.sparkContext.defaultParallelism
-    if len(events.inputFiles()) < cores:
-        events = events.repartition(cores)
-    return clickstream_from_events(events)
+    return clickstream_from_events(events.repartition("event_id"))

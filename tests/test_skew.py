@@ -39,20 +39,30 @@ def mirror_rows(seed):
     return [(i, u, day + dt.timedelta(seconds=s), url) for i, (u, s, url) in enumerate(sorted(keys))]
 
 
-@pytest.mark.parametrize("seed, pair_limit", [(1, 1), (1, 1000), (2, 5)])
-def test_user_alias(spark, seed, pair_limit):
+@pytest.mark.parametrize("seed, block", [(1, 3), (1, 1000), (2, 7), (3, 500)])
+def test_user_alias(spark, seed, block, monkeypatch):
+    monkeypatch.setattr(working_set, "PAIR_BLOCK", block)
     rows = mirror_rows(seed)
     shared = TableStore(spark).write("shared", working_set.shared_events(spark.createDataFrame(rows, EVENTS)))
-    got = {r["user_id"]: r["person_id"] for r in working_set.user_alias(shared, pair_limit).collect()}
+    got = {r["user_id"]: r["person_id"] for r in working_set.user_alias(shared).collect()}
     assert got == mirrors_by_hand(rows)
     assert len(got) > 5
 
 
-def test_large_lists_are_joined_in_pieces(spark):
+def test_one_event_of_many_ids_costs_no_pairs(spark):
+    """An event that 100,000 ids share, most of whose other events are their own."""
+    rows = spark.range(100_000).selectExpr(
+        "id AS event_id", "id AS user_id", "TIMESTAMP_NTZ'2026-05-01 00:00:00' AS created_time", "'/popular' AS url")
+    more = spark.range(300_000).selectExpr(
+        "id + 100000 AS event_id", "id % 100000 AS user_id", "TIMESTAMP_NTZ'2026-05-02 00:00:00' AS created_time",
+        "concat('/page', (id % 100000) div 2, '_', id div 100000) AS url")
+    shared = TableStore(spark).write("shared", working_set.shared_events(rows.unionByName(more)))
+    got = working_set.user_alias(shared)
+    assert got.count() == got.where("user_id = person_id + 1 AND person_id % 2 = 0").count() == 50_000
+
+
+def test_members_are_kept_with_their_rows(spark):
     rows = spark.range(5000).selectExpr("id AS event_id", "CASE WHEN id % 3 = 0 THEN 7 ELSE id % 100 END AS user_id")
     members = spark.range(5, 40).selectExpr("id AS user_id")
-    plain = rows.join(members, "user_id", "left_semi")
-    pieces = keep_members(rows, members, "user_id", "event_id", broadcast_keys=3, spread=4)
-    broadcast = keep_members(rows, members, "user_id", "event_id")
-    assert sorted(plain.collect()) == sorted(pieces.select(plain.columns).collect()) == sorted(
-        broadcast.select(plain.columns).collect())
+    assert sorted(keep_members(rows, members, "user_id").select("event_id").collect()) == sorted(
+        rows.where("user_id BETWEEN 5 AND 39").select("event_id").collect())
