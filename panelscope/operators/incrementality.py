@@ -86,7 +86,9 @@ def incrementality_summary(incrementality: DataFrame) -> DataFrame:
     total = stages.agg(
         F.sum("users").alias("injected_users"),
         F.sum("orders").alias("observed_orders"),
-        F.sum(F.col("users").cast("double") * F.col("rate")).alias("expected"),
+        # what to expect is known only if every stage with injected persons has a control rate
+        F.when(F.count_if((F.col("users") > 0) & F.col("rate").isNull()) == 0,
+               F.sum(F.col("users").cast("double") * F.col("rate"))).alias("expected"),
     )
     observed, expected = F.col("observed_orders"), F.col("expected")
     return total.select(

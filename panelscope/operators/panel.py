@@ -53,10 +53,10 @@ def panel_profile(panel_users: DataFrame, alias: DataFrame, events: DataFrame) -
 
         return value_at(F.floor(rank)) * (F.lit(1.0) - share) + value_at(F.ceil(rank)) * share
 
-    sessions = (
-        events.select("user_id", "session_id").distinct()
-        .agg(F.struct(F.count_distinct("session_id").alias("s"), F.count_distinct("user_id").alias("u")))
-    )
+    # one group-by per count: two distinct counts in one aggregate would double its rows
+    sessions, persons = (
+        events.where(F.col(c).isNotNull()).groupBy(c).agg(F.lit(1).alias("one")).agg(F.count("one")).scalar()
+        for c in ("session_id", "user_id"))
     mirrors = alias.agg(F.count("*")).scalar()
     return bars.agg(
         F.coalesce(F.sum("users"), F.lit(0)).alias("panel_user_ids"),
@@ -65,9 +65,9 @@ def panel_profile(panel_users: DataFrame, alias: DataFrame, events: DataFrame) -
         F.max("events").alias("events_max"),
         top_share(1).alias("pct_events_top1pct_users"), top_share(10).alias("pct_events_top10pct_users"),
         F.coalesce(F.sum(F.when(F.col("events") > C.EXTREME_EVENTS, users)), F.lit(0)).alias("users_over_5000_events"),
-    ).withColumns({"mirror_ids_merged_brand_users": mirrors, "x": sessions.scalar()}).withColumns({
+    ).withColumns({"mirror_ids_merged_brand_users": mirrors, "s": sessions, "u": persons}).withColumns({
         "pct_us": pct1(F.col("us_user_ids"), F.col("panel_user_ids")),
-        "sessions_per_brand_user": round_half(ratio(F.col("x.s"), F.col("x.u")), 2),
+        "sessions_per_brand_user": round_half(ratio(F.col("s"), F.col("u")), 2),
     }).select(
         "panel_user_ids", "mirror_ids_merged_brand_users", "us_user_ids", "pct_us", "events_p50", "events_p90",
         "events_p99", "events_max", "pct_events_top1pct_users", "pct_events_top10pct_users", "users_over_5000_events",

@@ -8,36 +8,35 @@ from pyspark.sql import functions as F
 from panelscope.functions.exprs import count_where
 
 
-def dq_profile(raw: DataFrame) -> DataFrame:
+def dq_profile(raw: DataFrame, panel_users: DataFrame) -> DataFrame:
     """One row of input totals.
 
-    Each distinct count is its own two-step aggregate over only the columns it needs;
-    one aggregate with five distinct counts would multiply every input row by five.
+    Totals are added up from one row per day. Each distinct count is a group-by over only the columns it
+    needs and a count of its groups: aggregates with different keys stay apart, while several distinct counts
+    in one aggregate would multiply every input row.
     """
 
     def distinct(*cols: str):
-        key = F.struct(*cols) if len(cols) > 1 else F.col(cols[0])
-        return raw.agg(F.count_distinct(key)).scalar()
+        known = raw.where(F.col(cols[0]).isNotNull()) if len(cols) == 1 else raw
+        return known.groupBy(*cols).agg(F.lit(1).alias("one")).agg(F.count("one")).scalar()
 
     any_null = F.lit(False)
     for c in ("user_id", "session_id", "created_time", "host", "url"):
         any_null = any_null | F.col(c).isNull()
-    totals = raw.agg(
-        F.count("*").alias("rows"),
-        F.min("created_time").alias("first_event_utc"),
-        F.max("created_time").alias("last_event_utc"),
-        count_where(any_null).alias("rows_with_nulls"),
-    )
-    days = raw.agg(F.count_distinct(F.to_date("created_time"))).scalar()
+    per_day = raw.groupBy(F.to_date("created_time").alias("day")).agg(
+        F.count("*").alias("n"), F.min("created_time").alias("low"), F.max("created_time").alias("high"), count_where(any_null).alias("nulls"))
+    totals = per_day.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.min("low").alias("first_event_utc"), F.max("high").alias("last_event_utc"),
+        F.count("day").alias("days"), F.coalesce(F.sum("nulls"), F.lit(0)).alias("rows_with_nulls"))
     return totals.select(
         "rows",
         distinct("event_id").alias("distinct_event_ids"),
         (F.col("rows") - distinct("user_id", "created_time", "url")).alias("duplicate_rows"),
-        distinct("user_id").alias("users"),
+        panel_users.agg(F.count("user_id")).scalar().alias("users"),
         distinct("session_id").alias("sessions"),
         "first_event_utc",
         "last_event_utc",
-        days.alias("days"),
+        "days",
         "rows_with_nulls",
     )
 

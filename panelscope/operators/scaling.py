@@ -37,6 +37,16 @@ def external_benchmarks(spark: SparkSession) -> DataFrame:
         rows, "domain string, monthly_visits double, us_share double, source string, source_url string")
 
 
+def brand_benchmarks(brands: DataFrame, benchmarks: DataFrame, events: DataFrame) -> DataFrame:
+    """Each brand of the dimension with its benchmark and the page events and persons the panel has on its site."""
+    seen = events.where("is_brand_page").groupBy("brand", "user_id").agg(F.count("*").alias("n")).groupBy("brand").agg(
+        F.sum("n").alias("panel_events"), F.count("user_id").alias("panel_persons"))
+    known = benchmarks.select("domain", "monthly_visits", "us_share")
+    return brands.select("brand", "domain", "is_client", "search_term_re").join(known, "domain", "left").join(seen, "brand", "left").select(
+        "brand", "domain", "is_client", "search_term_re", "monthly_visits", "us_share",
+        F.coalesce("panel_events", F.lit(0).cast("long")).alias("panel_events"), F.coalesce("panel_persons", F.lit(0).cast("long")).alias("panel_persons"))
+
+
 def us_visits(visits: DataFrame, us_users: DataFrame) -> DataFrame:
     """Visits of US persons per brand, all and those entered through an affiliate link."""
     return visits.join(us_users, "user_id", "left_semi").groupBy("brand").agg(

@@ -11,12 +11,17 @@ from panelscope.operators.scaling import ordered_sum
 
 
 def seasonal_ratio(trends: DataFrame) -> DataFrame:
-    """Mean interest in the week around the panel day over the mean of the benchmark month, per brand."""
+    """Mean interest in the week around the panel day over the mean of the benchmark month, per brand.
+
+    A brand without a ratio (no interest known in either period, or none at all in the month) has no row, so it is left
+    out of the pooled factor on both sides, and of the result.
+    """
     long = trends.unpivot(["day"], [b.brand for b in C.BRANDS], "brand", "interest")
     week = F.col("day").between(*[F.lit(d).cast("date") for d in C.SEASON_WEEK])
     month = F.month("day") == C.SEASON_MONTH
     return long.groupBy("brand").agg(
-        ratio(F.avg(F.when(week, F.col("interest"))), F.avg(F.when(month, F.col("interest")))).alias("ratio"))
+        ratio(F.avg(F.when(week, F.col("interest"))), F.avg(F.when(month, F.col("interest")))).alias("ratio")
+    ).where("ratio IS NOT NULL")
 
 
 def seasonal_scaling(summary: DataFrame, validation: DataFrame, seasonal_ratio: DataFrame) -> DataFrame:

@@ -37,10 +37,27 @@ def export_csv(df: DataFrame, path: str) -> int:
     return seen.get["rows"]
 
 
+def input_fingerprint(spark: SparkSession, *paths: str | None) -> str:
+    """Paths or globs with the number and total length of their files: another export gives another text."""
+    parts = []
+    for path in paths:
+        if path:
+            glob = spark._jvm.org.apache.hadoop.fs.Path(path)
+            files = glob.getFileSystem(spark._jsc.hadoopConfiguration())
+            found = [files.getContentSummary(s.getPath()) for s in files.globStatus(glob) or []]
+            parts.append(f"{path}:{sum(f.getFileCount() for f in found)}:{sum(f.getLength() for f in found)}")
+    return " ".join(parts)
+
+
 def run(spark: SparkSession, raw: DataFrame, trends: DataFrame | None, out: str, first: int = 1, last: int = 99,
-        keep_all: bool = False, threads: int = 16) -> list[tuple[int, str, int, float]]:
-    """Build the tables of steps ``first`` to ``last``; returns (step, table, rows, seconds since start) of each written."""
+        keep_all: bool = False, threads: int = 16, source: str | None = None) -> list[tuple[int, str, int, float]]:
+    """Build the tables of steps ``first`` to ``last``; returns (step, table, rows, seconds since start) of each written.
+
+    ``source`` names the input. A restart (``first`` above 1) on stored tables of another one is refused.
+    """
     store = TableStore(spark, f"{out}/tables")
+    if source is not None:
+        store.claim(source, fresh=first <= 1)
     work = Workspace(spark, raw, trends, store, first_step=first)
     start = time.time()
 
@@ -80,7 +97,7 @@ def main(argv: list[str] | None = None) -> None:
     spark = SparkSession.builder.appName("panelscope").getOrCreate()
     trends = read_trends(spark, args.trends) if args.trends else None
     run(spark, read_export(spark, args.input), trends, args.out, args.first, args.last, args.keep_all,
-        args.threads)
+        args.threads, input_fingerprint(spark, args.input, args.trends))
 
 
 if __name__ == "__main__":

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass
+from threading import RLock
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,7 +42,7 @@ SOURCES = ("raw_clicks", "google_trends")
 INTERNAL = ("shared_events", "us_users", "site_steps", "site_timeline")
 
 TABLES: dict[str, Table] = {
-    "dq_profile": _table(2, quality.dq_profile, "raw_clicks", export=True),
+    "dq_profile": _table(2, quality.dq_profile, "raw_clicks", "panel_users", export=True),
     "dq_hourly": _table(2, quality.dq_hourly, "raw_clicks", export=True),
 
     "brand_tagging": _table(3, working_set.brand_tagging, "raw_clicks"),
@@ -74,6 +75,7 @@ TABLES: dict[str, Table] = {
     "us_users": _table(8, scaling.us_users, "panel_users"),
     "scaling": _table(8, scaling.scaling, "brand_visits", "panel_users", "brands", "external_benchmarks", stored=True,
                       export=True),
+    "brand_benchmarks": _table(8, scaling.brand_benchmarks, "brands", "external_benchmarks", "brand_user_events"),
     "brand_scale": _table(8, scaling.brand_scale, "brands", "scaling"),
     "scaling_validation": _table(8, scaling.scaling_validation, "brands", "brand_visits", "panel_users",
                                  "external_benchmarks", "scaling", stored=True, export=True),
@@ -147,19 +149,28 @@ class Workspace:
         self.spark = spark
         self.store = store or TableStore(spark)
         self.first_step = first_step
+        self._lock, self._locks = RLock(), {}
         self._ready: dict[str, DataFrame] = {"raw_clicks": raw_clicks}
         if google_trends is not None:
             self._ready["google_trends"] = google_trends
 
     def table(self, name: str) -> DataFrame:
-        if name not in self._ready:
-            if name in DIMENSIONS:
-                self._ready[name] = DIMENSIONS[name](self.spark)
-            elif name in TABLES and TABLES[name].step < self.first_step and self.store.exists(name):
-                self._ready[name] = self.store.read(name)
-            else:
-                self._ready[name] = self.build(name)
-        return self._ready[name]
+        """A table; whoever asks first builds it, others wait."""
+        with self._lock:
+            turn = self._locks.setdefault(name, RLock())
+        with turn:
+            if name not in self._ready:
+                if name in DIMENSIONS:
+                    self._ready[name] = DIMENSIONS[name](self.spark)
+                elif self._kept(name):
+                    self._ready[name] = self.store.read(name)
+                else:
+                    self._ready[name] = self.build(name)
+            return self._ready[name]
+
+    def _kept(self, name: str) -> bool:
+        """Whether the store has the table from an earlier run."""
+        return name in TABLES and TABLES[name].step < self.first_step and self.store.exists(name)
 
     def build(self, name: str) -> DataFrame:
         if name not in TABLES:
@@ -168,12 +179,27 @@ class Workspace:
         df = spec.build(*[self.table(i) for i in spec.inputs])
         return self.store.write(name, df) if spec.stored else df
 
+    def order(self, names: Iterable[str]) -> list[str]:
+        """``names`` and all tables they are built from, inputs first. What the store has needs no inputs."""
+        out: dict[str, None] = {}
+
+        def visit(name: str) -> None:
+            if name in TABLES and name not in out:
+                if name not in self._ready and not self._kept(name):
+                    for i in TABLES[name].inputs:
+                        visit(i)
+                out[name] = None
+
+        for name in names:
+            visit(name)
+        return list(out)
+
     def each(self, names: Iterable[str], action: Callable[[str, DataFrame], Any], threads: int = 8) -> dict[str, Any]:
         """Build tables and call ``action(name, df)`` for each, several at a time.
 
-        Reports over small tables do not fill a cluster one by one. A table waits for its own
-        inputs only; ``TABLES`` lists inputs first, so whatever a table waits for has already
-        been started.
+        Reports over small tables do not fill a cluster one by one. Every table that is needed, asked for or not, is
+        one job and waits for its own inputs only; inputs are submitted first, so whatever a
+        job waits for has already been started.
         """
         wanted = set(names)
         jobs: dict[str, Future] = {}
@@ -186,7 +212,6 @@ class Workspace:
             return action(name, df) if name in wanted else None
 
         with ThreadPoolExecutor(threads) as pool:
-            for name in TABLES:
-                if name in wanted:
-                    jobs[name] = pool.submit(job, name)
-            return {name: f.result() for name, f in jobs.items()}
+            for name in self.order(n for n in TABLES if n in wanted):
+                jobs[name] = pool.submit(job, name)
+            return {name: f.result() for name, f in jobs.items() if name in wanted}

@@ -8,6 +8,8 @@ folder that all executors share.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -28,6 +30,18 @@ def shared_folder(spark: SparkSession) -> str:
     raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
 
 
+# Folders made for one session only; they go with it.
+_SESSION_STORES: list = []
+
+
+@atexit.register
+def drop_session_folders() -> None:
+    """Delete the folders of stores that were given no root of their own. Their tables are no longer readable then."""
+    while _SESSION_STORES:
+        with contextlib.suppress(Exception):  # the session, or its Java side, may be gone already
+            _SESSION_STORES.pop().drop()
+
+
 class TableStore:
     """Parquet tables below one root, with their row counts."""
 
@@ -35,14 +49,36 @@ class TableStore:
         self.spark = spark
         self.root = root or f"{shared_folder(spark)}/panelscope-{uuid.uuid4().hex}"
         self.row_counts: dict[str, int] = {}
+        if root is None:
+            _SESSION_STORES.append(self)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
+    def _file(self, path: str):
+        """A path and its file system."""
+        file = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return file, file.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
     def exists(self, name: str) -> bool:
         """A table counts once its write has been committed."""
-        marker = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name) + "/_SUCCESS")
-        return marker.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(marker)
+        marker, files = self._file(self.path(name) + "/_SUCCESS")
+        return files.exists(marker)
+
+    def drop(self) -> None:
+        """Delete all tables."""
+        root, files = self._file(self.root)
+        files.delete(root, True)
+
+    def claim(self, source: str, fresh: bool) -> None:
+        """Note which input the tables come from; a store that holds those of another input is refused, unless all are built anew."""
+        note, files = self._file(f"{self.root}/_input")
+        if files.exists(note) and not fresh:
+            found = [r["value"] for r in self.spark.read.text(f"{self.root}/_input").collect()]
+            if found != [source]:
+                raise ValueError(f"the tables in {self.root} come from another input: {found}, not {source}")
+        else:
+            self.spark.createDataFrame([(source,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.root}/_input")
 
     def write(self, name: str, df: DataFrame) -> DataFrame:
         """Write a table and count its rows in the same pass."""

@@ -22,12 +22,12 @@ def trends_from_orders(orders: DataFrame) -> DataFrame:
     """A series of the same shape derived from the ``orders`` table.
 
     Orders of all years are laid over one year by month and day, spread over the brands
-    by customer, counted per day from April to September, and scaled so that each
-    brand's busiest day is 100.
+    by customer, counted per day, and scaled so that each brand's busiest day is 100. A 29th
+    of February counts as the 28th.
     """
+    month, day = F.month("o_orderdate"), F.dayofmonth("o_orderdate")
     daily = (
-        orders.where(F.month("o_orderdate").between(4, 9))
-        .groupBy(F.make_date(F.lit(2026), F.month("o_orderdate"), F.dayofmonth("o_orderdate")).alias("day"))
+        orders.groupBy(F.make_date(F.lit(2026), month, F.when(month == 2, F.least(day, F.lit(28))).otherwise(day)).alias("day"))
         .agg(*[
             F.count(F.when(F.col("o_custkey") % 5 == i, F.lit(1))).alias(b.brand) for i, b in enumerate(C.BRANDS)
         ])
