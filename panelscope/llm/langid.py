@@ -113,7 +113,8 @@ def suffix_automaton(line: np.ndarray) -> list[dict[int, int]]:
 def move_table(line: np.ndarray) -> np.ndarray:
     """Next state (times SYMBOLS) for state and symbol. Bit 0: no such string, a new phrase starts with the symbol."""
     moves = suffix_automaton(line)
-    start = np.ones(SYMBOLS, np.int32)
+    moves.append({})  # after a symbol that no string has: whatever comes next starts a phrase
+    start = np.full(SYMBOLS, (len(moves) - 1) * SYMBOLS + 1, np.int32)
     for c, to in moves[0].items():
         start[c] = to * SYMBOLS + 1
     table = np.tile(start, (len(moves), 1))

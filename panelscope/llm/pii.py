@@ -119,7 +119,7 @@ def described(kind: str, strict: bool, m: Column) -> Column:
     cue = F.when(m["before"].rlike(OTHER), 0).when(m["before"].rlike(CUES[kind]), 1)
     known = m["value"].rlike(KNOWN[kind]).cast("int")
     typical = {"email": count <= 12, "ip": count.between(4, 32), "card": count.between(13, 16), "phone": count.between(10, 12)}[kind]
-    flat = m["value"].rlike(r"^[^0-9]*([0-9])(?:[^0-9]*\1)+[^0-9]*$")
+    flat = m["value"].rlike(r"^[^0-9]*+([0-9])(?:[^0-9]*+\1)++[^0-9]*+$")
     check = valid(kind, m["value"]) if strict else F.lit(False)
     return F.struct(
         F.lit(KINDS.index(kind)).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), check.alias("base"),

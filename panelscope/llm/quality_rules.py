@@ -196,14 +196,14 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """Statistics and verdict of every row: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, rule.
 
     ``base_failed``: under 20 words, or over 30 % of them repeated. ``rule``: the first learned rule that holds, 0 if none. All
-    labelled rows are learned from; rows without a label, or with a null id, are judged only. A null or empty text fails the base. Rows
+    labelled rows that pass the base are learned from; rows without a label, or with a null id, are judged only. A null or empty text fails the base. Rows
     with the same id keep a row each. Without labels the list is empty and base decides. An empty table gives an empty result.
     """
     stats = stored(statistics(docs, id_col, text_col), "text_statistics")
     named = features()
     marks = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("_id"), (F.col(label_col) == 0).alias("_bad")).distinct()
-    known = stats.join(marks, F.col(id_col) == F.col("_id")).select(*[c.alias(n) for n, c in named.items()], "_bad", (F.pmod(F.xxhash64(id_col), F.lit(3)) == 0).alias("_prune"))
-    rules = learn(known)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    known = stats.where(~failed).join(marks, F.col(id_col) == F.col("_id")).select(*[c.alias(n) for n, c in named.items()], "_bad", (F.pmod(F.xxhash64(id_col), F.lit(3)) == 0).alias("_prune"))
+    rules = learn(known)
     judged = stats.withColumns({"base_failed": failed, "rule": rules.number(named.__getitem__)})
     return judged.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.col("rule") == 0)).alias("kept"), "rule")

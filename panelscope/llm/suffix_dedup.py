@@ -5,7 +5,7 @@ that order small and spread out.
 
 1. Every window of ``span`` bytes has a key, the least hash of the grams inside it, so equal windows have equal keys. Keys
    that only one document has cannot repeat; all others go back to their documents.
-2. A document cuts out its contexts: stretches of windows that share a repeated key. Equal contexts that meet are
+2. A document (of copies one) cuts out its contexts: stretches of windows that share a repeated key. Equal contexts that meet are
    settled at once by the smallest id; the rest are dealt out by key.
 3. The contexts of a task are cut into shards. Each shard is sorted by itself into a Burrows-Wheeler
    transform. The transforms are merged by refining their interleave: starting from one shard after the other, each pass
@@ -19,6 +19,7 @@ Keys and contexts travel in blocks of many, and a frequent key or context travel
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -188,6 +189,15 @@ def repeated_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 # -- step 2: contexts -----------------------------------------------------------------------------------
 
 
+BLOCK = ["bucket", "uid", "ranges", "uids", "ids", "of_text", "of_doc", "starts", "keys", "sizes", "texts"]
+BLOCK_KIND = "bucket int, uid long, ranges binary, uids binary, ids binary, of_text binary, of_doc binary, starts binary, keys binary, sizes binary, texts binary"
+
+
+def settled_rows(uid: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Ranges by document."""
+    return by_value(uid, np.column_stack([low, high]).astype(np.int64).view("V16").ravel())
+
+
 def send_contexts(buckets: int, span: int, gram: int):
     """Batches of (uid, id, text, keys) to blocks of contexts per bucket, and ranges that are settled already."""
 
@@ -198,41 +208,52 @@ def send_contexts(buckets: int, span: int, gram: int):
             own = [np.unique(np.concatenate([np.frombuffer(b, np.uint64) for b in blobs])) for blobs in batch.column(3).to_pylist()]
             owner = np.repeat(np.arange(len(own)), [len(o) for o in own]).astype(np.uint64)
             known = (owner << np.uint64(48)) | np.concatenate(own)  # sorted: batches have fewer than 2**16 rows
-            seen: dict[bytes, list[tuple[int, int, int, int]]] = {}
+            number: dict[bytes, int] = {}
+            which, found = [], []
             for first, part in chunks(texts):
                 doc, start, count, key = runs(part, span, gram)
                 doc = doc + first
                 mark = (doc.astype(np.uint64) << np.uint64(48)) | key
                 at = np.searchsorted(known, mark)
                 hit = known[np.minimum(at, len(known) - 1)] == mark
-                for d, s, n, k in zip(doc[hit].tolist(), start[hit].tolist(), count[hit].tolist(), key[hit].tolist(), strict=True):
-                    seen.setdefault(texts[d][s:s + n + span - 1], []).append((d, s, n, k))
-            settled, sent = [], []
-            for text, places in seen.items():
-                least = min(ids[p[0]] for p in places) if len(places) > 1 else None
-                for p in places:
-                    if least is None or ids[p[0]] == least:
-                        sent.append((p, text))
-                    else:
-                        settled.append((p[0], p[1], p[1] + p[2] + span - 1))
-            if settled:
-                s = np.asarray(settled, np.int64)
-                who, blobs = by_value(uid[s[:, 0]], np.ascontiguousarray(s[:, 1:]).astype(np.int64).view("V16").ravel())
-                n = len(who)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array((who % buckets).astype(np.int32)), pa.array(who), blobs, *[pa.nulls(n, pa.binary())] * 5], names=["bucket", "uid", "ranges", "uids", "ids", "starts", "keys", "texts"])
-            if sent:
-                keys = np.fromiter((p[3] for p, _ in sent), np.uint64, len(sent))
-                bucket = (keys % np.uint64(buckets)).astype(np.int32)
-                order = np.argsort(bucket, kind="stable")
-                edges = group_edges(bucket[order])
-                doc = np.fromiter((p[0] for p, _ in sent), np.int64, len(sent))[order]
-                start = np.fromiter((p[1] for p, _ in sent), np.int64, len(sent))[order]
-                joined = [b"".join(len(sent[i][1]).to_bytes(4, "little") + sent[i][1] for i in order[a:b].tolist()) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
-                n = len(joined)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket[order][edges[:-1]]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), packed(uid[doc], edges), packed(ids[doc], edges), packed(start, edges), packed(keys[order], edges), pa.array(joined, pa.binary())],
-                    names=["bucket", "uid", "ranges", "uids", "ids", "starts", "keys", "texts"])
+                doc, start, count, key = doc[hit], start[hit], count[hit], key[hit]
+                which += [number.setdefault(texts[d][a:b], len(number)) for d, a, b in zip(doc.tolist(), start.tolist(), (start + count + (span - 1)).tolist(), strict=True)]
+                found.append((doc, start, key))
+            if not which:
+                continue
+            which = np.asarray(which, np.int64)
+            doc, start, key = (np.concatenate([f[i] for f in found]) for i in range(3))
+            contexts = list(number)
+            size = np.fromiter(map(len, contexts), np.int64, len(contexts))
+            key_of = np.zeros(len(contexts), np.uint64)
+            key_of[which] = key
+            least = np.full(len(contexts), NO_ID)
+            np.minimum.at(least, which, ids[doc])
+            later = ids[doc] > least[which]
+            if later.any():
+                who, blobs = settled_rows(uid[doc[later]], start[later], start[later] + size[which[later]])
+                yield pa.RecordBatch.from_arrays([pa.array((who % buckets).astype(np.int32)), pa.array(who), blobs, *[pa.nulls(len(who), pa.binary())] * 8], names=BLOCK)
+            doc, start, which = doc[~later], start[~later], which[~later]
+            # contexts by bucket, then the places that ask for them
+            bucket = (key_of % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            edges = group_edges(bucket[order])
+            places = np.argsort(rank[which], kind="stable")
+            which, doc, start = rank[which][places], doc[places], start[places]
+            cuts = np.searchsorted(which, edges)
+            rows: list[list] = [[] for _ in range(8)]
+            for (a, b), (c, d) in zip(itertools.pairwise(edges.tolist()), itertools.pairwise(cuts.tolist()), strict=True):
+                mine, short = np.unique(doc[c:d], return_inverse=True)
+                inside = order[a:b]
+                for row, value in zip(rows, (
+                    uid[mine], ids[mine], (which[c:d] - a).astype(np.uint32), short.astype(np.uint16), start[c:d].astype(np.uint32),
+                    key_of[inside].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6], size[inside].astype(np.uint32)), strict=False):
+                    row.append(value.tobytes())
+                rows[7].append(b"".join([contexts[i] for i in inside.tolist()]))
+            n = len(rows[0])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[order][edges[:-1]]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), *[pa.array(r, pa.binary()) for r in rows]], names=BLOCK)
 
     return run
 
@@ -241,59 +262,67 @@ def send_contexts(buckets: int, span: int, gram: int):
 
 
 def shard_order(line: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Suffixes of a shard in order: ``line`` holds symbols (0 ends a text), ``ends`` the places of the zeros, texts in order."""
+    """Suffixes of a shard in order, by doubling: ``line`` holds symbols (0 ends a text), ``ends`` the places of the zeros, texts in order."""
     n = len(line)
     rank = line.astype(np.int64) + len(ends)
     rank[ends] = np.arange(len(ends))  # ends differ, in the order of the texts
-    width = 1
+    width, top = 1, int(line.max(initial=0)) + len(ends) + 2
     while True:
         other = np.zeros(n, np.int64)
-        other[: n - width] = rank[width:] + 1 if n > width else 0
-        pair = rank * (int(rank.max()) + 2 if n else 1) + other if width > 1 else rank * (258 + len(ends)) + other
-        order = np.argsort(pair, kind="stable")
+        other[: max(0, n - width)] = rank[width:] + 1
+        pair = rank * (top + 1) + other
+        width *= 2
+        if width == 2 and top**4 < 1 << 62:  # four symbols fit as they are
+            rank, top = pair, top * (top + 1) + top + 1
+            continue
+        order = np.argsort(pair)
         new = np.concatenate([[0], np.cumsum(pair[order][1:] != pair[order][:-1])])
-        rank = np.empty(n, np.int64)
-        rank[order] = new
         if new[-1] == n - 1 or width >= n:
             return order
-        width *= 2
+        rank = np.empty(n, np.int64)
+        rank[order] = new
+        top = int(new[-1]) + 1
 
 
 def merged_order(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(line, text of every place, places in the order of their first ``depth`` symbols) of sorted distinct texts."""
+    """(line, text of every place, places in the order of their first ``depth`` symbols) of sorted distinct texts.
+
+    The interleave is kept as the rows of all shards' transforms in merged order. A pass reads the symbols before them in that
+    order and deals the rows stably by symbol; a row's place among its own symbol is where its transform leads
+    (last-to-first), so each shard's rows keep the order of their shard. Two symbols are dealt at once where a pair fits 16 bits.
+    """
     size = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
     line = np.frombuffer(b"\0".join([*texts, b""]), np.uint8).astype(np.uint16) + 1
     ends = np.cumsum(size) - 1
     line[ends] = 0
+    used, line = np.unique(line, return_inverse=True)  # few symbols occur
+    line = line.astype(np.uint16)
     owner = np.repeat(np.arange(len(texts)), size)
     cut = np.searchsorted(ends, np.arange(0, len(line), SHARD)[1:])
     cuts = np.unique(np.concatenate([[0], cut, [len(texts)]]))
-    orders, transforms, sizes = [], [], []
-    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+    orders = []
+    for a, b in itertools.pairwise(cuts.tolist()):
         lo, hi = (int(ends[a - 1]) + 1 if a else 0), int(ends[b - 1]) + 1
-        order = shard_order(line[lo:hi], ends[a:b] - lo)
-        before = order - 1  # the symbol before a text's first is its end
-        starts = np.concatenate([[0], ends[a:b - 1] - lo + 1])
-        symbols = line[lo:hi][before]
-        symbols[np.isin(order, starts)] = 0
-        orders.append(order + lo)
-        transforms.append(symbols)
-        sizes.append(hi - lo)
-    places, symbols = np.concatenate(orders), np.concatenate(transforms)
-    shard = np.repeat(np.arange(len(sizes), dtype=np.uint16 if len(sizes) < 1 << 16 else np.uint32), sizes)
-    interleave = shard.copy()
-    if len(sizes) > 1:
-        for _ in range(depth):
-            turn = np.argsort(interleave, kind="stable")  # where each shard's next symbols go
-            read = np.empty(len(symbols), np.uint16)
-            read[turn] = symbols
-            refined = interleave[np.argsort(read, kind="stable")]
-            if np.array_equal(refined, interleave):
-                break
-            interleave = refined
-    out = np.empty(len(places), np.int64)
-    out[np.argsort(interleave, kind="stable")] = places
-    return line, owner, out
+        orders.append(shard_order(line[lo:hi], ends[a:b] - lo) + lo)
+    places = np.concatenate(orders)
+    if len(orders) == 1:
+        return line, owner, places
+    row = np.empty(len(places), np.int32)
+    row[places] = np.arange(len(places), dtype=np.int32)
+    before = np.arange(-1, len(line) - 1)
+    before[ends - size + 1] = ends  # before a text's first symbol stands its end
+    step = 1
+    symbols, lead = line[before], before
+    if len(used) < 256:
+        step, symbols, lead = 2, line[before[before]] * np.uint16(len(used)) + line[before], before[before]
+    symbols, lead = symbols[places], row[lead[places]]
+    current = np.arange(len(places), dtype=np.int32)
+    for _ in range(0, depth, step):
+        moved = lead[current[np.argsort(symbols[current], kind="stable")]]
+        if np.array_equal(moved, current):
+            break
+        current = moved
+    return line, owner, places[current]
 
 
 def least_ids(texts: list[bytes], ids: np.ndarray, span: int) -> list[np.ndarray]:
@@ -303,10 +332,10 @@ def least_ids(texts: list[bytes], ids: np.ndarray, span: int) -> list[np.ndarray
     begin = np.concatenate([[0], np.cumsum(size + 1)[:-1]])
     nth = order - begin[owner[order]]
     order = order[nth + span <= size[owner[order]]]
-    # common prefix of neighbours, up to ``span``: eight symbols at a time
-    wide = np.concatenate([line.astype(np.uint64), np.zeros(8, np.uint64)])
+    # common prefix of neighbours, up to ``span``: eight bytes at a time (windows hold no ends)
+    wide = np.concatenate([line.astype(np.uint64), np.ones(8, np.uint64)]) - np.uint64(1)
     for width in (1, 2, 4):
-        wide = wide[: len(wide) - width] * np.uint64(257 ** width % (1 << 64)) + wide[width:]
+        wide = (wide[: len(wide) - width] << np.uint64(8 * width)) + wide[width:]
     same = np.ones(max(0, len(order) - 1), bool)
     for j in [*range(0, span - 7, 8), span - 8]:
         value = wide[order + j]
@@ -324,27 +353,31 @@ def settle_contexts(span: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number: dict[bytes, int] = {}
         parts: list[tuple[np.ndarray, ...]] = []
+        keys: list[np.ndarray] = []
         for batch in batches:
             done = pa.compute.is_valid(batch.column(1))
             passing = batch.filter(done)
             if passing.num_rows:
                 yield pa.RecordBatch.from_arrays([passing.column(1), passing.column(2)], names=["uid", "ranges"])
-            for uids, ids, starts, keys, texts in zip(*(c.to_pylist() for c in batch.filter(pa.compute.invert(done)).columns[3:]), strict=True):
-                which, at = [], 0
-                while at < len(texts):
-                    size = int.from_bytes(texts[at:at + 4], "little")
-                    which.append(number.setdefault(texts[at + 4:at + 4 + size], len(number)))
-                    at += 4 + size
-                parts.append((np.frombuffer(uids, np.int64), np.frombuffer(ids, np.int64), np.frombuffer(starts, np.int64), np.frombuffer(keys, np.uint64), np.asarray(which, np.int64)))
+            for uids, ids, of_text, of_doc, starts, key, sizes, texts in zip(*(c.to_pylist() for c in batch.filter(pa.compute.invert(done)).columns[3:]), strict=True):
+                cuts = np.concatenate([[0], np.cumsum(np.frombuffer(sizes, np.uint32).astype(np.int64))]).tolist()
+                local = np.asarray([number.setdefault(texts[a:b], len(number)) for a, b in itertools.pairwise(cuts)], np.int64)
+                wide = np.zeros((len(local), 8), np.uint8)
+                wide[:, :6] = np.frombuffer(key, np.uint8).reshape(-1, 6)
+                keys.append(np.column_stack([local.astype(np.uint64), wide.view("<u8").ravel()]))
+                doc = np.frombuffer(of_doc, np.uint16)
+                parts.append((np.frombuffer(uids, np.int64)[doc], np.frombuffer(ids, np.int64)[doc], np.frombuffer(starts, np.uint32).astype(np.int64), local[np.frombuffer(of_text, np.uint32)]))
         if not parts:
             return
-        uid, ids, start, key, which = (np.concatenate([p[i] for p in parts]) for i in range(5))
+        uid, ids, start, which = (np.concatenate([p[i] for p in parts]) for i in range(4))
+        pairs = np.concatenate(keys)
         texts = list(number)
         least = np.full(len(texts), NO_ID)
         np.minimum.at(least, which, ids)
         of = np.zeros(len(texts), np.uint64)
-        of[which] = key
-        lone = np.bincount(np.unique(of, return_inverse=True)[1])[np.unique(of, return_inverse=True)[1]] == 1
+        of[pairs[:, 0].astype(np.int64)] = pairs[:, 1]
+        _, group, members = np.unique(of, return_inverse=True, return_counts=True)
+        lone = members[group] == 1
         windows = np.fromiter((len(t) - span + 1 for t in texts), np.int64, len(texts))
         flat, begin = np.repeat(least, windows), np.cumsum(windows) - windows
         shared = np.flatnonzero(~lone)  # texts with a key that another text has: their windows may be equal in part
@@ -365,39 +398,42 @@ def settle_contexts(span: int):
             last = np.concatenate([first[1:], [len(place)]]) - 1
             low = start[a:a + 200_000][place[first]] + nth[first]
             high = start[a:a + 200_000][place[last]] + nth[last] + span
-            who, blobs = by_value(uid[a:a + 200_000][place[first]], np.column_stack([low, high]).astype(np.int64).view("V16").ravel())
+            who, blobs = settled_rows(uid[a:a + 200_000][place[first]], low, high)
             yield pa.RecordBatch.from_arrays([pa.array(who), blobs], names=["uid", "ranges"])
 
     return run
 
 
-def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text, ranges) to what is left of each text."""
-    for batch in batches:
-        rows: list[list] = [[], [], [], []]
-        for text, blobs in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
-            text = text.as_py()
-            spans, left = [], [text]
-            if blobs:
-                ranges = np.concatenate([np.frombuffer(b, np.int64).reshape(-1, 2) for b in blobs])
-                ranges = ranges[np.argsort(ranges[:, 0], kind="stable")]
-                reach = np.maximum.accumulate(ranges[:, 1])
-                new = np.concatenate([[True], ranges[1:, 0] > reach[:-1]])
-                low = ranges[new, 0]
-                high = reach[np.concatenate([np.flatnonzero(new)[1:], [len(ranges)]]) - 1]
-                spans = list(zip(low.tolist(), high.tolist(), strict=True))
-                left, at = [], 0
-                for a, b in spans:
-                    left.append(text[at:a])
-                    at = b
-                left.append(text[at:])
-            kept = b"".join(left)
-            for column, value in zip(rows, (len(text), len(text) - len(kept), len(spans), kept), strict=True):
-                column.append(value)
-        digest = [hashlib.sha256(k).hexdigest() for k in rows[3]]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), *[pa.array(r, pa.int64()) for r in rows[:3]], pa.array(digest, pa.string()), pa.array(rows[3], pa.binary())],
-            names=["_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+def cut_out(span: int):
+    """Batches of (id, text, least, ranges) to what is left of each text; ``least`` is the smallest id that has this very text."""
+    return lambda batches: (pa.RecordBatch.from_arrays(left_over(batch, span), names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]) for batch in batches)
+
+
+def left_over(batch: pa.RecordBatch, span: int) -> list[pa.Array]:
+    rows: list[list] = [[], [], [], []]
+    for own, text, least, blobs in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+        text = text.as_py()
+        if least < own and len(text) >= span:  # a copy
+            blobs = [np.asarray([0, len(text)], np.int64).tobytes()]
+        spans, left = [], [text]
+        if blobs:
+            ranges = np.concatenate([np.frombuffer(b, np.int64).reshape(-1, 2) for b in blobs])
+            ranges = ranges[np.argsort(ranges[:, 0], kind="stable")]
+            reach = np.maximum.accumulate(ranges[:, 1])
+            new = np.concatenate([[True], ranges[1:, 0] > reach[:-1]])
+            low = ranges[new, 0]
+            high = reach[np.concatenate([np.flatnonzero(new)[1:], [len(ranges)]]) - 1]
+            spans = list(zip(low.tolist(), high.tolist(), strict=True))
+            left, at = [], 0
+            for a, b in spans:
+                left.append(text[at:a])
+                at = b
+            left.append(text[at:])
+        kept = b"".join(left)
+        for column, value in zip(rows, (len(text), len(text) - len(kept), len(spans), kept), strict=True):
+            column.append(value)
+    digest = [hashlib.sha256(k).hexdigest() for k in rows[3]]
+    return [batch.column(0), *[pa.array(r, pa.int64()) for r in rows[:3]], pa.array(digest, pa.string()), pa.array(rows[3], pa.binary())]
 
 
 def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -405,22 +441,22 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, id_col:
 
     A byte goes if a ``span``-byte string that covers it also starts in a document with a smaller id. Texts are whole, as UTF-8 bytes; a null
     text is empty. Repetition inside one document, or under one id, is no reason. A null id is greater than all
-    others. Repeated rows have the same result each. An empty table gives an empty result.
+    others. Repeated rows have the same result each. Texts are told apart by a 64-bit hash of bytes and length. An empty table gives an empty result.
     """
     if span < gram or span < 8:
         raise ValueError("the span must hold a gram, and 8 bytes")
     text = whole_text(text_col).cast("binary")
     number = F.coalesce(F.col(id_col).cast("long"), F.lit(int(NO_ID)))
-    rows = docs.select(F.xxhash64(number, text).alias("uid"), number.alias("id"), text.alias("text"), F.col(id_col).alias("_id"))
+    rows = docs.select(F.xxhash64(text, F.octet_length(text)).alias("uid"), number.alias("id"), text.alias("text"))
     buckets = tasks(docs)
-    sent = map_batches(rows.select("uid", "id", "text"), send_keys(buckets, span, gram), "bucket int, uid long, keys binary, docs binary, uids binary")
+    sent = map_batches(rows, send_keys(buckets, span, gram), "bucket int, uid long, keys binary, docs binary, uids binary")
     again = map_batches(sent.repartition(buckets, "bucket"), repeated_keys, "uid long, keys binary")
-    wanted = again.groupBy("uid").agg(F.collect_list("keys").alias("keys"))
-    contexts = map_batches(
-        rows.join(wanted, "uid").select("uid", "id", "text", "keys"), send_contexts(buckets, span, gram),
-        "bucket int, uid long, ranges binary, uids binary, ids binary, starts binary, keys binary, texts binary")
+    # copies of one text have one uid: the smallest id stands for all of them
+    least = rows.groupBy("uid").agg(F.min("id").alias("least"))
+    wanted = again.groupBy("uid").agg(F.collect_list("keys").alias("keys")).join(least, "uid")
+    contexts = map_batches(rows.join(wanted, "uid").where("id = least").select("uid", "id", "text", "keys"), send_contexts(buckets, span, gram), BLOCK_KIND)
     ranges = map_batches(contexts.repartition(buckets, "bucket"), settle_contexts(span), "uid long, ranges binary")
-    gone = ranges.groupBy("uid").agg(F.collect_list("ranges").alias("ranges"))
-    kind = docs.schema[id_col].dataType.simpleString()
-    out = map_batches(rows.join(gone, "uid", "left").select("_id", "text", "ranges"), cut_out, f"_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    return out.withColumnRenamed("_id", id_col)
+    gone = least.join(ranges.groupBy("uid").agg(F.collect_list("ranges").alias("ranges")), "uid", "left")
+    left = rows.join(gone, "uid").select("id", "text", "least", "ranges")
+    out = map_batches(left, cut_out(span), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return out.withColumn("id", F.nullif("id", F.lit(int(NO_ID))).cast(docs.schema[id_col].dataType)).withColumnRenamed("id", id_col)
