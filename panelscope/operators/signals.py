@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -11,117 +13,112 @@ from panelscope.functions.exprs import event_second, has_affiliate_marker, host_
 from panelscope.functions.joins import keep_members
 
 
-def _age_within(latest: str, limit: int):
+# Facts about a person's second on one host, as bits of a number: for each brand a page without a tag, a cart or
+# checkout page, a search for it; then a coupon site, and a tagged page.
+LANE = 16
+PAGE, CHECKOUT, SEARCH, COUPON, TAGGED = 0, LANE, 2 * LANE, 3 * LANE, 3 * LANE + 1
+
+
+def _age_within(latest: Column, limit: int) -> Column:
     """Seconds since ``latest`` when it lies at most ``limit`` seconds back, else NULL."""
-    age = F.col("sec") - F.col(latest)
+    age = F.col("sec") - latest
     return F.when(age <= limit, age)
 
 
-def advertiser_presence(events: DataFrame) -> DataFrame:
-    """When each advertiser host with an affiliate-tagged landing is within reach of a click.
+def _bit(condition: Column, place: int) -> Column:
+    return F.when(condition, F.lit(1 << place).cast("long")).otherwise(F.lit(0).cast("long"))
+
+
+def _has(facts: Column, place: int) -> Column:
+    return facts.bitwiseAND(F.lit(1 << place).cast("long")) != 0
 
-    A host seen at second ``s`` counts for clicks from ``s - 120`` to ``s + 120``. Its
-    stretches are cut so that they never overlap, and written as +1 where a stretch starts
-    and -1 where it has ended; a running sum is then the number of distinct hosts.
-    """
-    seen = (
-        events.where(has_affiliate_marker("url"))
-        .select("user_id", "host", "brand", event_second("created_time").alias("sec")).distinct()
-    )
-    following = F.lead("sec").over(W.partitionBy("user_id", "host").orderBy("sec"))
-    stop = F.least(F.col("sec") + (C.BURST_S + 1), F.coalesce(following - C.BURST_S, F.col("sec") + (C.BURST_S + 1)))
-    one = F.lit(1).cast("long")
-    edges = F.array(
-        F.struct((F.col("sec") - C.BURST_S).alias("sec"), one.alias("hosts")),
-        F.struct(F.col("stop").alias("sec"), (-one).alias("hosts")),
-    )
-    return seen.withColumn("stop", stop).select("user_id", "brand", F.explode(edges).alias("e")).select(
-        "user_id", "brand", "e.sec", "e.hosts")
+
+def event_facts(events: DataFrame) -> DataFrame:
+    """One row per (person, second, host) with its facts; each expression over host and URL is evaluated once per event."""
+    tagged, path = F.coalesce(has_affiliate_marker("url"), F.lit(False)), url_path("url")
+    query = F.when(F.col("host").rlike(C.SEARCH_HOST_RE), F.lower(F.coalesce(url_param(F.col("url"), "q"), url_param(F.col("url"), "p"), F.lit(""))))
+    told = events.select(
+        "user_id", event_second("created_time").alias("sec"), "host", "brand", "is_brand_page", tagged.alias("tagged"),
+        path.rlike(C.CART_OR_CHECKOUT_RE).alias("checkout"), query.alias("query"), host_in("host", C.COUPON_DOMAINS).alias("coupon"))
+    bits = [_bit(F.col("coupon"), COUPON), _bit(F.col("tagged"), TAGGED)]
+    for i, b in enumerate(C.BRANDS):
+        own = F.col("brand") == b.brand
+        bits += [_bit(own & F.col("is_brand_page") & ~F.col("tagged"), PAGE + i), _bit(own & F.col("checkout"), CHECKOUT + i),
+                 _bit(F.col("query").rlike(b.search_term_re), SEARCH + i)]
+    facts = reduce(lambda x, y: x.bitwiseOR(y), bits)
+    return told.select("user_id", "sec", "host", "brand", facts.alias("facts")).groupBy("user_id", "sec", "host").agg(
+        F.max("brand").alias("brand"), F.bit_or("facts").alias("facts"))
 
 
 def click_context(clicks: DataFrame, events: DataFrame) -> DataFrame:
     """Events of the same person from 30 minutes before each click to 2 minutes after it, as indicators.
 
-    Nothing is joined event by click. Events, clicks and advertiser edges are merged into
-    one row per (person, second) and one per (brand, person, second); running aggregates
-    over those rows give the latest second of each kind of event, and each click looks up
-    its own second. Groups are bounded by the seconds in the data, not by their events.
+    Nothing is joined event by click. The persons' seconds and the clicks stand in one line per person; running
+    aggregates over it tell each click the latest second of each kind of event. An advertiser host with a tagged page
+    at second ``s`` counts for clicks from ``s - 120`` to ``s + 120``: its stretches, cut so that they never overlap, are a
+    +1 where they start and a -1 where they have ended, and a running sum is the number of distinct hosts.
+    The line is dealt out once, by person; groups are bounded by the seconds and hosts in the data, not by events.
     """
-    events = keep_members(events, clicks.select("user_id").distinct(), "user_id")
-    sec = event_second("created_time").alias("sec")
-    edges = advertiser_presence(events)
-    at = clicks.select("brand", "user_id", event_second("click_time").alias("sec")).distinct()
-    is_click = F.lit(True).alias("is_click")
-
-    # One row per person and second: any activity, coupon sites, all advertiser hosts.
-    activity = events.select("user_id", sec, "host", host_in("host", C.COUPON_DOMAINS).alias("coupon"))
-    person = (
-        activity
-        .unionByName(edges.select("user_id", "sec", "hosts"), allowMissingColumns=True)
-        .unionByName(at.select("user_id", "sec", is_click), allowMissingColumns=True)
-        .groupBy("user_id", "sec").agg(
-            F.max("host").alias("host"), F.bool_or("coupon").alias("coupon"), F.sum("hosts").alias("hosts"),
-            F.bool_or("is_click").alias("is_click"))
-    )
+    if len(C.BRANDS) > LANE:
+        raise ValueError(f"at most {LANE} brands fit the facts")
+    seconds = event_facts(keep_members(events, clicks.select("user_id").distinct(), "user_id"))
+    at = clicks.select("user_id", event_second("click_time").alias("sec"), F.struct("brand", "click_key").alias("click"))
+    line = seconds.unionByName(at, allowMissingColumns=True).repartition("user_id")
+
+    tagged = _has(F.col("facts"), TAGGED)
+    # the next tagged page of the same host: the last one met when walking back
+    following = F.last(F.when(tagged, F.col("sec")), ignorenulls=True).over(
+        W.partitionBy("user_id", "host").orderBy(F.desc("sec")).rowsBetween(W.unboundedPreceding, -1))
+    longest = F.col("sec") + (C.BURST_S + 1)
+    stop = F.least(longest, F.coalesce(following - C.BURST_S, longest))
+    one = F.lit(1).cast("long")
+
+    def step(sec: Column, host: Column, facts: Column, click: Column, hosts: Column, of: Column) -> Column:
+        return F.struct(sec.alias("sec"), host.alias("host"), facts.alias("facts"), click.alias("click"), hosts.alias("hosts"), of.alias("of"))
+
+    text, number, brand = F.lit(None).cast("string"), F.lit(None).cast("long"), F.col("brand")
+    no_click = F.lit(None).cast(at.schema["click"].dataType)
+    own = step(F.col("sec"), F.col("host"), F.col("facts"), F.col("click"), number, text)
+    edges = F.when(tagged, F.array(
+        own, step(F.col("sec") - C.BURST_S, text, number, no_click, one, brand), step(F.col("stop"), text, number, no_click, -one, brand))).otherwise(F.array(own))
+    steps = line.withColumn("stop", stop).select("user_id", F.explode(edges).alias("e")).select("user_id", "e.*")
+
     w = W.partitionBy("user_id").orderBy("sec")
-    before = w.rowsBetween(W.unboundedPreceding, -1)
-    until = w.rowsBetween(W.unboundedPreceding, W.currentRow)
-    active = F.when(F.col("host").isNotNull(), F.col("sec"))
-    person = person.select(
-        "user_id", "sec", "is_click",
-        F.max(active).over(before).alias("last_active"),
-        F.last("host", ignorenulls=True).over(before).alias("last_host"),
-        F.max(F.when(F.col("coupon"), F.col("sec"))).over(until).alias("last_coupon"),
-        F.sum("hosts").over(until).alias("advertisers"),
-    ).where("is_click").drop("is_click")
-
-    # One row per brand, person and second: pages, checkout, searches, the brand's own hosts.
-    query = F.lower(F.coalesce(url_param(F.col("url"), "q"), url_param(F.col("url"), "p"), F.lit("")))
-    searched = F.array_compact(F.array(*[F.when(F.col("query").rlike(b.search_term_re), b.brand) for b in C.BRANDS]))
-    searches = (
-        events.where(F.col("host").rlike(C.SEARCH_HOST_RE)).select("user_id", sec, query.alias("query"))
-        .select("user_id", "sec", F.explode(searched).alias("brand"), F.lit(True).alias("search"))
-    )
-    pages = events.where(F.col("brand").isNotNull()).select(
-        "brand", "user_id", sec,
-        (F.col("is_brand_page") & ~has_affiliate_marker("url")).alias("page"),
-        url_path("url").rlike(C.CART_OR_CHECKOUT_RE).alias("checkout"),
-    ).where("page OR checkout")
-    own_edges = edges.where(F.col("brand").isNotNull())
-    branded = (
-        pages.unionByName(searches, allowMissingColumns=True).unionByName(own_edges, allowMissingColumns=True)
-        .unionByName(at.select("brand", "user_id", "sec", is_click), allowMissingColumns=True)
-        .groupBy("brand", "user_id", "sec").agg(
-            F.bool_or("page").alias("page"), F.bool_or("checkout").alias("checkout"),
-            F.bool_or("search").alias("search"), F.sum("hosts").alias("hosts"),
-            F.bool_or("is_click").alias("is_click"))
-    )
-    w = W.partitionBy("brand", "user_id").orderBy("sec")
-    before = w.rowsBetween(W.unboundedPreceding, -1)
-    branded = branded.select(
-        "brand", "user_id", "sec", "is_click",
-        *[F.max(F.when(F.col(k), F.col("sec"))).over(before).alias(f"last_{k}") for k in ("page", "checkout", "search")],
-        F.sum("hosts").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)).alias("own_hosts"),
-    ).where("is_click").drop("is_click")
-
-    at_click = (
-        clicks.select("brand", "click_key", "user_id", event_second("click_time").alias("sec"))
-        .join(branded, ["brand", "user_id", "sec"]).join(person, ["user_id", "sec"])
-    )
-    since_page, since_checkout, since_active = (
-        _age_within(k, C.CONTEXT_BEFORE_S) for k in ("last_page", "last_checkout", "last_active"))
+    before, until = w.rangeBetween(W.unboundedPreceding, -1), w.rangeBetween(W.unboundedPreceding, 0)
+
+    def latest(place: int, frame) -> Column:
+        return F.max(F.when(_has(F.col("facts"), place), F.col("sec"))).over(frame)
+
+    def of_click(make) -> Column:
+        """The value for the click's own brand."""
+        out = F
+        for i, b in enumerate(C.BRANDS):
+            out = out.when(F.col("click.brand") == b.brand, make(i, b.brand))
+        return out
+
+    told = steps.select(
+        "user_id", "sec", "click",
+        F.max(F.when(F.col("host").isNotNull(), F.struct("sec", "host"))).over(before).alias("active"),
+        latest(COUPON, until).alias("last_coupon"), F.sum("hosts").over(until).alias("advertisers"),
+        *[latest(lane + i, before).alias(f"{name}{i}") for name, lane in (("page", PAGE), ("checkout", CHECKOUT), ("search", SEARCH)) for i in range(len(C.BRANDS))],
+        *[F.sum(F.when(F.col("of") == b.brand, F.col("hosts"))).over(until).alias(f"own{i}") for i, b in enumerate(C.BRANDS)],
+    ).where("click IS NOT NULL")
+
+    since_page, since_checkout = (_age_within(of_click(lambda i, _, n=n: F.col(f"{n}{i}")), C.CONTEXT_BEFORE_S) for n in ("page", "checkout"))
+    since_active = _age_within(F.col("active.sec"), C.CONTEXT_BEFORE_S)
+    searched = _age_within(of_click(lambda i, _: F.col(f"search{i}")), C.SEARCH_BEFORE_S)
     none = F.lit(0).cast("long")
-    return at_click.select(
-        "brand", "click_key",
+    return told.select(
+        "click.brand", "click.click_key",
         since_page.alias("secs_since_brand_page"),
         since_checkout.alias("secs_since_checkout"),
         since_page.isNotNull().alias("already_on_site"),
         since_checkout.isNotNull().alias("in_checkout_before"),
-        _age_within("last_search", C.SEARCH_BEFORE_S).isNotNull().alias("brand_search_60s"),
-        (F.coalesce("advertisers", none) - F.coalesce("own_hosts", none)).alias("other_advertisers_2m"),
-        _age_within("last_coupon", C.COUPON_BEFORE_S).isNotNull().alias("coupon_ext_60s"),
+        searched.isNotNull().alias("brand_search_60s"),
+        (F.coalesce("advertisers", none) - F.coalesce(of_click(lambda i, _: F.col(f"own{i}")), none)).alias("other_advertisers_2m"),
+        _age_within(F.col("last_coupon"), C.COUPON_BEFORE_S).isNotNull().alias("coupon_ext_60s"),
         since_active.isNull().alias("no_referrer"),
-        F.when(since_active.isNotNull(), F.col("last_host")).alias("prev_host"),
+        F.when(since_active.isNotNull(), F.col("active.host")).alias("prev_host"),
         since_active.alias("secs_since_prev"),
     )
 
