@@ -11,9 +11,9 @@ from panelscope.functions.joins import keep_members
 from panelscope.operators.summary import pct1, pct2
 
 
-def _per_person(us_clicks: DataFrame) -> DataFrame:
+def _per_person(us_clicks: DataFrame, *more: str) -> DataFrame:
     strong, conv = F.col("strong_hijack_signal"), F.col("converted")
-    return us_clicks.groupBy("brand", "user_id").agg(
+    return us_clicks.groupBy("brand", "user_id", *more).agg(
         F.count("*").alias("clicks"), count_where(conv).alias("orders"),
         count_where(strong).alias("strong"), count_where(strong & conv).alias("strong_orders"))
 
@@ -49,17 +49,17 @@ def click_flood_behaviour(us_clicks: DataFrame, events: DataFrame) -> DataFrame:
 def click_flooding(us_clicks: DataFrame, scale: DataFrame) -> DataFrame:
     """Share of clicks and orders by people above each threshold, and the results without them.
 
-    Clicks are counted per (brand, person) once; only those counts are tested against the thresholds.
+    Clicks are summed up once per (brand, person, clicks of the day); only those counts are tested against the thresholds.
     """
     thresholds = F.array(*[F.lit(t) for t in C.FLOOD_THRESHOLDS])
-    rows = _per_person(us_clicks).withColumn("t", F.explode(thresholds))
-    flood = F.col("clicks") >= F.col("t")
+    rows = _per_person(us_clicks, "user_brand_clicks").withColumn("t", F.explode(thresholds))
+    flood = F.col("user_brand_clicks") >= F.col("t")
 
     def total(name: str, cond=None):
         return F.sum(F.when(cond, F.col(name)).otherwise(0) if cond is not None else F.col(name))
 
     counts = rows.groupBy("brand", "t").agg(
-        count_where(flood).alias("flood_people"),
+        F.count_distinct(F.when(flood, F.col("user_id"))).alias("flood_people"),
         total("clicks").alias("clicks"),
         total("clicks", flood).alias("flood_clicks"),
         total("orders").alias("orders"),

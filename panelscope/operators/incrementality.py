@@ -16,18 +16,18 @@ INJECTED, CONTROL = "Affiliate click fired after this point", "No affiliate clic
 
 def checkout_anchors(funnel_events: DataFrame, us_users: DataFrame, conversions: DataFrame, us_clicks: DataFrame,
                      brand: str = C.RETAIL_BRAND) -> DataFrame:
-    """First cart and first checkout view per US person, with the order and the clicks around it.
+    """First cart and first checkout view per US person and day, with the order and the clicks around it.
 
-    A person has at most two anchors, so the joins with orders and clicks only double them;
+    A person has at most two anchors a day, so the joins with orders and clicks only double them;
     both are reduced to one row per anchor at once.
     """
     of_brand = F.col("brand") == brand
     views = (
         funnel_events.where(of_brand).where("is_cart OR is_checkout")
-        .select("user_id", event_second("created_time").alias("sec"), "is_checkout")
+        .select("user_id", event_second("created_time").alias("sec"), F.to_date("created_time").alias("day"), "is_checkout")
         .join(us_users, "user_id", "left_semi")
     )
-    firsts = views.groupBy("user_id").agg(
+    firsts = views.groupBy("user_id", "day").agg(
         F.min(F.when(F.col("is_checkout"), F.col("sec"))).alias("checkout"),
         F.min(F.when(~F.col("is_checkout"), F.col("sec"))).alias("cart"),
     )

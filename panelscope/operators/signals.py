@@ -126,11 +126,15 @@ def click_context(clicks: DataFrame, events: DataFrame) -> DataFrame:
 def click_risk(clicks: DataFrame, context: DataFrame) -> DataFrame:
     """Clicks with their indicators, the first-ranked signal, and the click-flooding flag.
 
-    Clicks per person are counted with a group-by and joined back; a count over a window
+    Clicks per person and day are counted with a group-by and joined back; a count over a window
     would send all clicks of the busiest person to one task.
     """
-    volume = clicks.groupBy("brand", "user_id").agg(F.count("*").alias("user_brand_clicks"))
-    joined = clicks.join(context, ["brand", "click_key"]).join(volume, ["brand", "user_id"])
+    day = F.to_date("click_time").alias("click_day")
+    volume = clicks.groupBy("brand", "user_id", day).agg(F.count("*").alias("user_brand_clicks"))
+    joined = (
+        clicks.join(context, ["brand", "click_key"]).withColumn("click_day", day)
+        .join(volume, ["brand", "user_id", "click_day"]).drop("click_day")
+    )
     no_landing = F.col("click_source") == "hop, no landing"
     burst = F.col("other_advertisers_2m") >= C.BURST_MIN_HOSTS
     tiers = (no_landing, F.col("in_checkout_before"), F.col("already_on_site"), F.col("has_paid_search_click_id"),
