@@ -32,8 +32,12 @@ from panelscope.llm.common import map_batches, tasks, whole_text
 
 SPAN = 50
 GRAM = 24
-#: Bytes of text handled at a time, and symbols of a shard.
+#: Bytes of text whose windows are handled at a time, and bytes whose contexts are held at a time.
 AT_ONCE = 2_000_000
+HELD = 12_000_000
+#: Symbols whose order is merged at a time.
+MERGED = 1_000_000
+#: Symbols of a shard.
 SHARD = 1 << 17
 BASE = 0x9E3779B97F4A7C15
 NO_ID = np.iinfo(np.int64).max
@@ -193,6 +197,17 @@ BLOCK = ["bucket", "uid", "ranges", "uids", "ids", "of_text", "of_doc", "starts"
 BLOCK_KIND = "bucket int, uid long, ranges binary, uids binary, ids binary, of_text binary, of_doc binary, starts binary, keys binary, sizes binary, texts binary"
 
 
+def parts_of(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows of about HELD bytes of text."""
+    for batch in batches:
+        ends = np.cumsum(pa.compute.binary_length(batch.column(column)).to_numpy(zero_copy_only=False))
+        first = 0
+        while first < batch.num_rows:
+            stop = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + HELD, side="right")))
+            yield batch.slice(first, stop - first)
+            first = stop
+
+
 def settled_rows(uid: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, pa.Array]:
     """Ranges by document."""
     return by_value(uid, np.column_stack([low, high]).astype(np.int64).view("V16").ravel())
@@ -202,7 +217,7 @@ def send_contexts(buckets: int, span: int, gram: int):
     """Batches of (uid, id, text, keys) to blocks of contexts per bucket, and ranges that are settled already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts_of(batches, 2):
             uid, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             texts = [t.as_py() for t in batch.column(2)]
             own = [np.unique(np.concatenate([np.frombuffer(b, np.uint64) for b in blobs])) for blobs in batch.column(3).to_pylist()]
@@ -381,24 +396,28 @@ def settle_contexts(span: int):
         windows = np.fromiter((len(t) - span + 1 for t in texts), np.int64, len(texts))
         flat, begin = np.repeat(least, windows), np.cumsum(windows) - windows
         shared = np.flatnonzero(~lone)  # texts with a key that another text has: their windows may be equal in part
-        if len(shared):
-            shared = np.asarray(sorted(shared.tolist(), key=texts.__getitem__))
-            for i, found in zip(shared.tolist(), least_ids([texts[i] for i in shared.tolist()], least[shared], span), strict=True):
-                flat[begin[i]:begin[i] + windows[i]] = found
-        for a in range(0, len(which), 200_000):
-            w, n = which[a:a + 200_000], windows[which[a:a + 200_000]]
+        # equal windows have equal keys, so keys can be taken a portion at a time
+        portions = max(1, -(-int(windows[shared].sum() + (span + 1) * len(shared)) // MERGED))
+        portion = (of[shared] // np.uint64(1 << 24)) % np.uint64(portions)
+        for k in range(portions):
+            some = sorted(shared[portion == k].tolist(), key=texts.__getitem__)
+            if some:
+                for i, found in zip(some, least_ids([texts[i] for i in some], least[some], span), strict=True):
+                    flat[begin[i]:begin[i] + windows[i]] = found
+        for a in range(0, len(which), 50_000):
+            w, n = which[a:a + 50_000], windows[which[a:a + 50_000]]
             nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             place = np.repeat(np.arange(len(w)), n)
-            gone = flat[begin[w][place] + nth] < ids[a:a + 200_000][place]
+            gone = flat[begin[w][place] + nth] < ids[a:a + 50_000][place]
             place, nth = place[gone], nth[gone]
             if not len(place):
                 continue
             new = np.concatenate([[True], (place[1:] != place[:-1]) | (nth[1:] != nth[:-1] + 1)])
             first = np.flatnonzero(new)
             last = np.concatenate([first[1:], [len(place)]]) - 1
-            low = start[a:a + 200_000][place[first]] + nth[first]
-            high = start[a:a + 200_000][place[last]] + nth[last] + span
-            who, blobs = settled_rows(uid[a:a + 200_000][place[first]], low, high)
+            low = start[a:a + 50_000][place[first]] + nth[first]
+            high = start[a:a + 50_000][place[last]] + nth[last] + span
+            who, blobs = settled_rows(uid[a:a + 50_000][place[first]], low, high)
             yield pa.RecordBatch.from_arrays([pa.array(who), blobs], names=["uid", "ranges"])
 
     return run
@@ -454,7 +473,8 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, id_col:
     # copies of one text have one uid: the smallest id stands for all of them
     least = rows.groupBy("uid").agg(F.min("id").alias("least"))
     wanted = again.groupBy("uid").agg(F.collect_list("keys").alias("keys")).join(least, "uid")
-    contexts = map_batches(rows.join(wanted, "uid").where("id = least").select("uid", "id", "text", "keys"), send_contexts(buckets, span, gram), BLOCK_KIND)
+    # "<=" is "=" here, but leaves uid the only join key, so both joins with the texts share one exchange
+    contexts = map_batches(rows.join(wanted, "uid").where("id <= least").select("uid", "id", "text", "keys"), send_contexts(buckets, span, gram), BLOCK_KIND)
     ranges = map_batches(contexts.repartition(buckets, "bucket"), settle_contexts(span), "uid long, ranges binary")
     gone = least.join(ranges.groupBy("uid").agg(F.collect_list("ranges").alias("ranges")), "uid", "left")
     left = rows.join(gone, "uid").select("id", "text", "least", "ranges")

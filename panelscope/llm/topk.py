@@ -110,7 +110,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     A component x counts as floor(256 * x). Candidates are all rows but those with the query's id; all, if fewer than
     ``k``; ties go to the smaller id. Vectors that are null, or hold a null or a value that isn't finite, and rows with a null id take no part.
     Only vectors of equal length are compared. A repeated candidate row counts each time; a repeated query id
-    asks once, with its least vector. No queries, or an empty table, give an empty result.
+    asks once, with its least vector. A score beyond 64 bits is an error. No queries, or an empty table, give an empty result.
     """
     usable = F.col(vector_col).isNotNull() & F.col(id_col).isNotNull() & F.forall(F.coalesce(F.col(vector_col), F.array()), lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
     rows = vectors.where(usable).select(F.col(id_col).cast("long").alias("_id"), F.col(vector_col).cast("array<double>").alias("_v"), is_query.alias("_q"))

@@ -100,9 +100,10 @@ def plain_removal(rows, span=50):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("shard", [64, 1 << 17])
-def test_remove_repeats(docs, shard, monkeypatch):
+@pytest.mark.parametrize(("shard", "merged"), [(64, 1 << 20), (1 << 17, 1 << 20), (300, 2000)])
+def test_remove_repeats(docs, shard, merged, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "SHARD", shard)
+    monkeypatch.setattr(suffix_dedup, "MERGED", merged)
     rows = [r for r in texts(docs) if len(r[1] or "") < 40_000]
     some = docs.where("text is null or length(text) < 40000")
     got = suffix_dedup.remove_repeats(some).drop("kept").collect()
