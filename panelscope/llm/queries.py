@@ -76,6 +76,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    # every 50-byte string of every text, as 100 hexadecimal digits
+    "op7_suffix_dedup": """
+        WITH texts AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        starts AS (SELECT doc_id, h, unnest(range(len(h) // 2 - 49)) AS p FROM texts),
+        strings AS (SELECT doc_id, p, md5(substr(h, 2 * p + 1, 100)) AS s FROM starts),
+        firsts AS (SELECT s, min(doc_id) AS first_id FROM strings GROUP BY s),
+        gone AS (
+          SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS q FROM strings JOIN firsts USING (s) WHERE first_id < doc_id),
+        runs AS (
+          SELECT doc_id, p, sum(CASE WHEN q IS NULL OR p > q + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS r FROM gone),
+        spans AS (SELECT doc_id, r, min(p) AS a, max(p) + 50 AS b FROM runs GROUP BY ALL),
+        gaps AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS c FROM spans),
+        cut AS (
+          SELECT doc_id, string_agg(substr(h, 2 * c + 1, 2 * (a - c)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept,
+                 count(*) AS n_spans, sum(b - a) AS n_removed
+          FROM gaps JOIN texts USING (doc_id) GROUP BY doc_id)
+        SELECT doc_id, len(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+               sha256(unhex(coalesce(kept, h))) AS kept_sha256
+        FROM texts LEFT JOIN cut USING (doc_id)""",
     "op8_topk": """
         WITH v AS (
           SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
@@ -85,4 +104,22 @@ ORACLE_SQL: dict[str, str] = {
           FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0)
         SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
         FROM scored QUALIFY rank <= 5""",
+    # crc32 from its bitwise definition
+    "op9_sharding": """
+        WITH table_of AS (
+          SELECT list(v ORDER BY i) AS k FROM (
+            SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: if(c & 1 = 1, xor(c >> 1, 3988292384), c >> 1)) AS v FROM range(256) r(i))),
+        texts AS (SELECT doc_id, md5(coalesce(text, '')) AS m, encode(coalesce(text, '')) AS b FROM documents),
+        line AS (
+          SELECT doc_id, m, octet_length(b) + 8 AS size,
+                 list_transform(regexp_extract_all(hex(b), '..'), lambda h: CAST('0x' || h AS BIGINT)) AS bytes FROM texts),
+        placed AS (
+          SELECT doc_id, size, bytes, sum(size) OVER (ORDER BY m, doc_id ROWS UNBOUNDED PRECEDING) - size AS ahead,
+                 row_number() OVER (ORDER BY m, doc_id) AS nth, sum(size) OVER () AS total FROM line),
+        cut AS (
+          SELECT *, CAST(least(23, floor((CAST(ahead AS DOUBLE) + size / 2) * 24 / total)) AS INTEGER) AS shard FROM placed)
+        SELECT doc_id, CAST(size AS BIGINT) AS size,
+               xor(4294967295, list_reduce(list_prepend(4294967295, bytes), lambda c, y: xor(c >> 8, k[(xor(c, y) & 255) + 1]))) AS text_crc32,
+               'bytes' AS law, shard, nth - min(nth) OVER (PARTITION BY shard) AS slot, CAST(NULL AS INTEGER) AS grown_shard
+        FROM cut, table_of""",
 }

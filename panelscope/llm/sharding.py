@@ -63,9 +63,9 @@ def shard_documents(docs: DataFrame, shards: int = 24, overhead: int = 8, id_col
     text = whole_text(text_col)
     rows = docs.select(
         F.col(id_col).alias("_id"), F.octet_length(text).cast("long").alias("_octets"), F.crc32(text.cast("binary")).alias("_crc"),
-        F.xxhash64(text).alias("_hash"),
+        F.md5(text.cast("binary")).alias("_hash"),
     )
-    out = assign_shards(rows, F.col("_octets") + overhead, [F.col("_hash"), F.col("_crc"), F.col("_id")], shards, ["_id", "_crc"])
+    out = assign_shards(rows, F.col("_octets") + overhead, [F.col("_hash"), F.col("_id")], shards, ["_id", "_crc"])
     return out.select(
         F.col("_id").alias(id_col), "size", F.col("_crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"),
