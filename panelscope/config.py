@@ -265,3 +265,13 @@ HOLD_MIN_ORDERS = 3
 HOLD_FLAGGED_PCT = 50
 REVIEW_FLAGGED_PCT = 20
 STATUS_LABELS = ("Hold payouts", "Review", "OK")
+
+# Sources of a click, groups of the checkout test, lines of the commission estimate, dimensions of the segments.
+CLICK_TAGGED, CLICK_HOP_PAGE, CLICK_HOP_ONLY = "tagged landing", "hop + untagged landing", "hop, no landing"
+GROUP_INJECTED, GROUP_CONTROL = "Affiliate click fired after this point", "No affiliate click"
+SCOPE_STRONG = "All strong indicators"
+SCOPE_INJECTED = "Injected at cart/checkout (tested in this step)"
+SCOPE_CLIENT = "Per 10% of affiliate orders hijacked"
+SEGMENT_COUPON, SEGMENT_ACTIVITY = "Coupon / cash-back user", "Activity tier"
+# A query parameter, key in any case; its raw value is the group.
+URL_PARAM_RE = r"(?i)[?&]{key}=([^&#]*)"

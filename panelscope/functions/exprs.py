@@ -85,7 +85,7 @@ def extract(text: Column, pattern: str) -> Column:
 
 def raw_param(url: Column, key: str) -> Column:
     """Value of a query parameter (key in any case) as written; empty when absent."""
-    return F.regexp_extract(url, rf"(?i)[?&]{key}=([^&#]*)", 1)
+    return F.regexp_extract(url, C.URL_PARAM_RE.format(key=key), 1)
 
 
 def param_value(raw: Column) -> Column:

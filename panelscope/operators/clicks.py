@@ -137,9 +137,9 @@ def hop_clicks(hops: DataFrame, landing_clicks: DataFrame, events: DataFrame) ->
         F.lit(False).alias("has_paid_search_click_id"),
         F.lit(0).cast("long").alias("landing_rows"),
         F.lit(1).cast("long").alias("sessions_recorded"),
-        F.when(within("next_page"), "hop + untagged landing").otherwise("hop, no landing").alias("click_source"),
+        F.when(within("next_page"), C.CLICK_HOP_PAGE).otherwise(C.CLICK_HOP_ONLY).alias("click_source"),
     )
 
 
 def affiliate_clicks(landing_clicks: DataFrame, hop_clicks: DataFrame) -> DataFrame:
-    return landing_clicks.withColumn("click_source", F.lit("tagged landing")).unionByName(hop_clicks)
+    return landing_clicks.withColumn("click_source", F.lit(C.CLICK_TAGGED)).unionByName(hop_clicks)

@@ -11,7 +11,7 @@ from panelscope.functions.exprs import (
 )
 from panelscope.operators.summary import pct1
 
-INJECTED, CONTROL = "Affiliate click fired after this point", "No affiliate click"
+INJECTED, CONTROL = C.GROUP_INJECTED, C.GROUP_CONTROL
 
 
 def checkout_anchors(funnel_events: DataFrame, us_users: DataFrame, conversions: DataFrame, us_clicks: DataFrame,
@@ -129,12 +129,12 @@ def commission_at_risk(summary: DataFrame, sensitivity: DataFrame, us_clicks: Da
     injected = orders * F.col("at_checkout")
     retail_lines = summary.where(retail).withColumns({"s": shares, "at_checkout": at_checkout}).select(
         "brand", F.explode(F.array(
-            line("All strong indicators", lo, hi, C.RETAIL_AOV, C.RETAIL_COMMISSION, 1),
-            line("Injected at cart/checkout (tested in this step)", injected, injected, C.RETAIL_AOV,
+            line(C.SCOPE_STRONG, lo, hi, C.RETAIL_AOV, C.RETAIL_COMMISSION, 1),
+            line(C.SCOPE_INJECTED, injected, injected, C.RETAIL_AOV,
                  C.RETAIL_COMMISSION, 1),
         )).alias("line"))
     step_lo, step_hi = (F.col(f"est_us_converted_clicks_benchmark_{k}") * C.CLIENT_SHARE_STEP for k in ("lo", "hi"))
     client_line = summary.where(F.col("brand") == C.CLIENT_BRAND).select("brand", line(
-        "Per 10% of affiliate orders hijacked", step_lo, step_hi, (C.CLIENT_AOV, C.CLIENT_AOV),
+        C.SCOPE_CLIENT, step_lo, step_hi, (C.CLIENT_AOV, C.CLIENT_AOV),
         C.CLIENT_COMMISSION, 2).alias("line"))
     return retail_lines.unionByName(client_line).select("brand", "line.*")

@@ -111,8 +111,8 @@ def hijack_by_segment(us_clicks: DataFrame, coupon_users: DataFrame, activity: D
     people = _per_person(us_clicks, coupon_users, brand).join(activity.drop("events"), "user_id")
     yes_no = F.when(F.col("coupon_user"), "Yes").otherwise("No")
     segments = F.array(
-        F.struct(F.lit("Coupon / cash-back user").alias("dimension"), yes_no.alias("segment")),
-        F.struct(F.lit("Activity tier").alias("dimension"), F.col("activity_tier").alias("segment")),
+        F.struct(F.lit(C.SEGMENT_COUPON).alias("dimension"), yes_no.alias("segment")),
+        F.struct(F.lit(C.SEGMENT_ACTIVITY).alias("dimension"), F.col("activity_tier").alias("segment")),
     )
     return (
         people.withColumn("s", F.explode(segments)).groupBy("s.dimension", "s.segment").agg(

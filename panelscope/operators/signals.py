@@ -135,7 +135,7 @@ def click_risk(clicks: DataFrame, context: DataFrame) -> DataFrame:
         clicks.join(context, ["brand", "click_key"]).withColumn("click_day", day)
         .join(volume, ["brand", "user_id", "click_day"]).drop("click_day")
     )
-    no_landing = F.col("click_source") == "hop, no landing"
+    no_landing = F.col("click_source") == C.CLICK_HOP_ONLY
     burst = F.col("other_advertisers_2m") >= C.BURST_MIN_HOSTS
     tiers = (no_landing, F.col("in_checkout_before"), F.col("already_on_site"), F.col("has_paid_search_click_id"),
              F.col("brand_search_60s"), F.col("coupon_ext_60s"), burst, F.col("no_referrer"))
