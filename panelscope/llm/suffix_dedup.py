@@ -36,9 +36,9 @@ GRAM = 24
 AT_ONCE = 2_000_000
 HELD = 12_000_000
 #: Symbols whose order is merged at a time.
-MERGED = 1_000_000
+MERGED = 150_000
 #: Symbols of a shard.
-SHARD = 1 << 17
+SHARD = 1 << 14
 BASE = 0x9E3779B97F4A7C15
 NO_ID = np.iinfo(np.int64).max
 

@@ -100,7 +100,7 @@ def plain_removal(rows, span=50):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize(("shard", "merged"), [(64, 1 << 20), (1 << 17, 1 << 20), (300, 2000)])
+@pytest.mark.parametrize(("shard", "merged"), [(64, 1 << 20), (1 << 17, 1 << 20), (300, 2000), (1 << 14, 150_000)])
 def test_remove_repeats(docs, shard, merged, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "SHARD", shard)
     monkeypatch.setattr(suffix_dedup, "MERGED", merged)
