@@ -144,8 +144,11 @@ def differencing(sizes: np.ndarray, windows: int) -> tuple[np.ndarray, np.ndarra
     the heaviest windows of one with the lightest of the other, so that imbalances cancel.
     """
     n = len(sizes)
-    loads = {i: np.asarray([s], np.int64) for i, s in enumerate(sizes.tolist())}
-    nodes = {i: np.asarray([i], np.int64) for i in range(n)}
+    # while windows are empty, the heaviest partition takes the next heaviest item into one of them: those merges at once
+    order = np.argsort(-sizes, kind="stable")
+    first, rest = order[:windows], order[windows:].tolist()
+    loads = {n: sizes[first].astype(np.int64), **{i: sizes[i:i + 1].astype(np.int64) for i in rest}}
+    nodes = {n: first, **{i: np.asarray([i], np.int64) for i in rest}}
     parent = list(range(n))  # of a window that was joined with another: the joint one
     spread = lambda x: int(x[0]) - (int(x[-1]) if len(x) == windows else 0)
     heap = [(-spread(x), i) for i, x in loads.items()]
