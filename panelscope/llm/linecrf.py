@@ -149,20 +149,17 @@ def marginals(score: np.ndarray, lines: np.ndarray, trans: np.ndarray) -> tuple[
 
 @dataclass(frozen=True)
 class LineModel:
-    """Weights of the features for good, transition scores, and the final scale of the log odds of a document."""
+    """Weights of the features for good, and transition scores (from, to)."""
 
     weights: np.ndarray
     trans: np.ndarray
-    scale: float
-    shift: float
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         own, size, lines = line_features(texts)
         good, _ = marginals(with_neighbours(own, lines) @ self.weights, lines, self.trans)
         doc = np.repeat(np.arange(len(lines)), lines)
-        raw = np.bincount(doc, weights=good * size, minlength=len(lines)) / np.bincount(doc, weights=size, minlength=len(lines))
-        raw = np.clip(raw, 1e-6, 1 - 1e-6)
-        return 1 / (1 + np.exp(-(self.scale * np.log(raw / (1 - raw)) + self.shift)))
+        mean = np.bincount(doc, weights=good * size, minlength=len(lines)) / np.bincount(doc, weights=size, minlength=len(lines))
+        return np.clip(mean, 0.0, 1.0)
 
 
 def fit(texts: list[bytes], labels: np.ndarray, rounds: int = 150, decay: float = 1e-3) -> LineModel:
@@ -184,7 +181,7 @@ def fit(texts: list[bytes], labels: np.ndarray, rounds: int = 150, decay: float
         m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
         theta = theta + 0.1 * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.99**i)) + 1e-8)
     theta[-4:] = np.clip(theta[-4:], -6, 6)
-    return LineModel(theta[:-4], theta[-4:].reshape(2, 2), 1.0, 0.0)
+    return LineModel(theta[:-4], theta[-4:].reshape(2, 2))
 
 
 def learn(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = 3_000, longest: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> LineModel:
@@ -198,7 +195,7 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = 3_00
     got = rows.join(F.broadcast(chosen), "_id").select("_id", "_label", F.col("_text").cast("binary").alias("_text")).collect()
     got = sorted({(r["_id"], r["_label"], bytes(r["_text"])) for r in got})
     if not got:
-        return LineModel(np.zeros(3 * OWN), np.zeros((2, 2)), 1.0, 0.0)
+        return LineModel(np.zeros(3 * OWN), np.zeros((2, 2)))
     return fit([g[2] for g in got], np.asarray([g[1] for g in got]))
 
 
