@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from panelscope.llm.common import map_batches, tasks, whole_text
 
 SPAN = 50
-GRAM = 24
+GRAM = 20
 #: Bytes of text whose windows are handled at a time, and bytes whose contexts are held at a time.
 AT_ONCE = 2_000_000
 HELD = 12_000_000
