@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 from panelscope.llm.common import map_batches, stored, whole_text
 
 #: Pieces whose ids a worker remembers, twice: those met lately and those met before.
-PIECE_CACHE = 300_000
+PIECE_CACHE = 500_000
 #: The tokenizer's own split of text into pieces, written out for lower-case text of ASCII and Latin letters
 #: (fixed by its vocabulary file), and the characters beyond those, whose texts take the tokenizer's own way.
-PLAIN_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u024f]+|[0-9]|[^\t\n\r a-z0-9\u00df-\u00f6\u00f8-\u024f]+")
+PLAIN_PIECES = re.compile("[\t\n\r ]*([a-z\u00df-\u00f6\u00f8-\u024f]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\t\n\r a-z0-9\u00df-\u00f6\u00f8-\u024f]+)")
 BEYOND = re.compile("[^\t\n\r -~\u00df-\u00f6\u00f8-\u024f]")
 PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 CONTROLS = re.compile(rb"[\x00-\x1f\x7f]")
