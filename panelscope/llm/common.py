@@ -12,8 +12,7 @@ from pyspark.sql.types import StructType
 
 from panelscope.plans.store import TableStore
 
-#: White space of the contracts (ASCII only), as a regular expression class and as characters.
-SPACE_CLASS = r"[\x20\x09-\x0D]"
+#: White space of the contracts (ASCII only).
 SPACE_CHARS = " \t\n\x0b\f\r"
 
 
