@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelscope import config as C
-from panelscope.functions.exprs import count_where, ratio, round_half
+from panelscope.functions.exprs import count_where, round_half
 from panelscope.functions.joins import keep_members
 from panelscope.operators.summary import pct1, pct2
 
