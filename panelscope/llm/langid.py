@@ -21,15 +21,18 @@ from pyspark.sql import functions as F
 from panelscope.llm.common import map_batches, whole_text
 
 UNKNOWN = "und"
-#: Symbols of a table: 0 blank, 1 unknown letter, then the letters of the samples, most frequent first.
+#: Symbols are 0 blank, 1 unknown letter, then the letters of the samples, most frequent first. A table is dense in so many of them at
+#: most; moves by others are found by search.
 SYMBOLS = 64
+#: Entries of all dense tables of a model, which bounds a worker's memory: with many languages they are narrower.
+DENSE = 200_000_000
 #: A document is parsed in blocks of so many symbols, side by side; a phrase ends with its block.
 BLOCK = 1024
 #: Symbols handled at a time, which bounds a worker's memory.
 AT_ONCE = 4_000_000
 
 _LETTERS: list[np.ndarray] = []
-_TABLES: dict["LanguageModel", tuple[np.ndarray, list[np.ndarray], np.ndarray]] = {}
+_TABLES: dict["LanguageModel", tuple[np.ndarray, list["MoveTable"], np.ndarray]] = {}
 
 
 @dataclass(frozen=True)
@@ -39,13 +42,15 @@ class LanguageModel:
     languages: tuple[str, ...]
     samples: tuple[str, ...]
 
-    def tables(self) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    def tables(self) -> tuple[np.ndarray, list[MoveTable], np.ndarray]:
         """Symbol of each code point, move tables, bits per phrase; built once per worker."""
         if self not in _TABLES:
             _TABLES.clear()
             symbol = symbols_of(self.samples)
             coded = [normalised([s], symbol)[0] for s in self.samples]
-            _TABLES[self] = symbol, [move_table(c) for c in coded], np.asarray([np.log2(max(2, len(c))) for c in coded])
+            states = sum(2 * len(c) + 2 for c in coded)
+            width = next(w for w in (SYMBOLS, 32, 16, 8, 4, 2) if w == 2 or states * w <= DENSE)
+            _TABLES[self] = symbol, [move_table(c, width) for c in coded], np.asarray([np.log2(max(2, len(c))) for c in coded])
         return _TABLES[self]
 
 
@@ -64,8 +69,8 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def symbols_of(samples: tuple[str, ...]) -> np.ndarray:
     code, _ = code_points([s.lower() for s in samples])
     found, count = np.unique(code[letters()[code]], return_counts=True)
-    best = found[np.lexsort((found, -count))][: SYMBOLS - 2]
-    symbol = letters().astype(np.uint8)
+    best = found[np.lexsort((found, -count))]
+    symbol = letters().astype(np.uint8 if len(best) < 254 else np.int32)
     symbol[best] = np.arange(2, 2 + len(best))
     return symbol
 
@@ -110,20 +115,63 @@ def suffix_automaton(line: np.ndarray) -> list[dict[int, int]]:
     return moves
 
 
-def move_table(line: np.ndarray) -> np.ndarray:
-    """Next state (times SYMBOLS) for state and symbol. Bit 0: no such string, a new phrase starts with the symbol."""
+@dataclass(frozen=True)
+class MoveTable:
+    """Next state (times ``width``) for state and symbol. Bit 0: no such string, a new phrase starts with the symbol.
+
+    ``dense`` has the symbols below ``width``. Of the others ``keys`` has the moves (state and symbol as one number, sorted) and
+    ``to`` where they lead; ``start`` has the symbols that start a phrase, ``first`` where they lead, ``lost`` is for those no string has.
+    """
+
+    width: int
+    dense: np.ndarray
+    keys: np.ndarray
+    to: np.ndarray
+    start: np.ndarray
+    first: np.ndarray
+    lost: int
+
+    def next(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        rare = np.flatnonzero(symbol >= self.width)
+        if not len(rare):
+            return self.dense[state + symbol]
+        move = self.dense[state + np.where(symbol < self.width, symbol, 0)]
+        symbol = symbol[rare].astype(np.int64)
+        move[rare] = searched(self.start, self.first, symbol, np.full(len(rare), self.lost, np.int32))
+        move[rare] = searched(self.keys, self.to, (state[rare].astype(np.int64) // self.width << 32) | symbol, move[rare])
+        return move
+
+
+def searched(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Values of the wanted keys, ``other`` where there is no such key."""
+    if not len(keys):
+        return other
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, values[at], other)
+
+
+def move_table(line: np.ndarray, width: int = SYMBOLS) -> MoveTable:
     moves = suffix_automaton(line)
     moves.append({})  # after a symbol that no string has: whatever comes next starts a phrase
-    start = np.full(SYMBOLS, (len(moves) - 1) * SYMBOLS + 1, np.int32)
+    lost = (len(moves) - 1) * width + 1
+    start = np.full(width, lost, np.int32)
     for c, to in moves[0].items():
-        start[c] = to * SYMBOLS + 1
-    table = np.tile(start, (len(moves), 1))
+        if c < width:
+            start[c] = to * width + 1
+    dense = np.tile(start, (len(moves), 1))
     state = np.repeat(np.arange(len(moves)), [len(m) for m in moves])
-    table[state, np.fromiter((c for m in moves for c in m), np.int64, len(state))] = np.fromiter((t for m in moves for t in m.values()), np.int64, len(state)) * SYMBOLS
-    return table.ravel()
-
-
-def phrases(line: np.ndarray, size: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
+    symbol = np.fromiter((c for m in moves for c in m), np.int64, len(state))
+    to = np.fromiter((t for m in moves for t in m.values()), np.int64, len(state)) * width
+    low = symbol < width
+    dense[state[low], symbol[low]] = to[low]
+    keys, to = ((state << 32) | symbol)[~low], to[~low].astype(np.int32)
+    order = np.argsort(keys)
+    keys, to = keys[order], to[order]
+    from_start = keys < 1 << 32
+    return MoveTable(width, dense.ravel(), keys, to, keys[from_start], to[from_start] + np.int32(1), lost)
+
+
+def phrases(line: np.ndarray, size: np.ndarray, tables: list[MoveTable]) -> np.ndarray:
     """Number of phrases of each document in each language."""
     blocks = -(-size // BLOCK)
     doc = np.repeat(np.arange(len(size)), blocks)
@@ -134,14 +182,14 @@ def phrases(line: np.ndarray, size: np.ndarray, tables: list[np.ndarray]) -> np.
     doc, start, length = doc[order], start[order], length[order]
     longest = int(length[0]) if len(length) else 0
     active = np.searchsorted(-length, -np.arange(longest), side="left")  # lanes longer than t
-    padded = np.concatenate([line, np.zeros(BLOCK, line.dtype)])
+    padded, top = np.concatenate([line, np.zeros(BLOCK, line.dtype)]), int(line.max(initial=0))
     state = np.zeros((len(tables), len(doc)), np.int32)
     count = np.ones((len(tables), len(doc)), np.int32)  # the phrase that is open at the end
     for t in range(longest):
         n = active[t]
         symbol = padded[start[:n] + t].astype(np.int32)
         for i, table in enumerate(tables):
-            move = table[state[i, :n] + symbol]
+            move = table.dense[state[i, :n] + symbol] if top < table.width else table.next(state[i, :n], symbol)
             new = move & 1
             if t:
                 count[i, :n] += new
