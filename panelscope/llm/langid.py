@@ -253,22 +253,26 @@ def accepted(docs: DataFrame, model: LanguageModel, least_known: float = 0.5, te
 
 def learn(
     docs: DataFrame, usable: Column, sample_symbols: int = 40_000, sample_docs: int = 96, longest: int = 8_000,
-    max_languages: int = 64, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text",
+    max_languages: int = 2048, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text",
 ) -> LanguageModel:
     """Samples of the labelled rows that are ``usable``.
 
-    Per language the ``sample_docs`` rows with the least hash of the id, of these whole texts of at most ``longest``
-    characters, each text once, until ``sample_symbols`` characters are reached. Of more than ``max_languages`` languages the
-    most frequent are learned. So at most languages * sample_docs rows reach the driver, whatever the input.
+    Per language the ``sample_docs`` rows with a letter and the least hash of the id, of these whole texts, of texts over ``longest``
+    characters so many from the first letter on, each text once, until ``sample_symbols`` characters are reached. Every label of a text with a letter is
+    learned; more than ``max_languages`` are refused. So at most languages * sample_docs rows reach the driver, whatever the input.
     """
-    rows = docs.where(usable & F.col(lang_col).isNotNull()).select(
-        F.col(lang_col).cast("string").alias("_lang"), F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), F.xxhash64(F.col(id_col)).alias("_h"))
-    common = rows.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(max_languages)
-    names = sorted(r["_lang"] for r in common.collect())
-    first = Window.partitionBy("_lang").orderBy("_h", "_id")
-    ids = rows.where(F.col("_lang").isin(names)).select("_lang", "_id", "_h").withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= sample_docs)
-    ids = ids.select("_lang", "_id").distinct()
-    texts = rows.where(F.length("_text") <= longest).join(F.broadcast(ids), ["_lang", "_id"]).select("_lang", "_h", "_text").distinct()
+    text = F.col(text_col).cast("string")
+    rows = docs.where(usable & F.col(lang_col).isNotNull() & text.rlike(r"\p{L}")).select(
+        F.col(lang_col).cast("string").alias("_lang"), F.col(id_col).alias("_id"), text.alias("_text"), F.xxhash64(F.col(id_col)).alias("_h"), F.xxhash64(text).alias("_x"))
+    names = sorted(r["_lang"] for r in rows.select("_lang").distinct().limit(max_languages + 1).collect())
+    if len(names) > max_languages:
+        raise ValueError(f"more than {max_languages} labels in {lang_col}")
+    first = Window.partitionBy("_lang").orderBy("_h", "_id", "_x")
+    ids = rows.select("_lang", "_id", "_h", "_x").withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= sample_docs)
+    ids = ids.select(F.col("_lang").alias("_l"), F.col("_id").alias("_i"), F.col("_x").alias("_y")).distinct()
+    window = F.when(F.length("_text") <= longest, F.col("_text")).otherwise(F.substring(F.regexp_replace("_text", r"^\P{L}++", ""), 1, longest))
+    same = (F.col("_lang") == F.col("_l")) & (F.col("_x") == F.col("_y")) & F.col("_id").eqNullSafe(F.col("_i"))
+    texts = rows.join(F.broadcast(ids), same).select("_lang", "_h", window.alias("_text")).distinct()
     got: dict[str, list[str]] = {n: [] for n in names}
     room = dict.fromkeys(names, sample_symbols)
     for r in sorted(texts.collect(), key=lambda r: (r["_lang"], r["_h"], r["_text"])):

@@ -31,3 +31,28 @@ def test_every_letter_of_the_samples_is_known():
     langs, _, known = langid.judged(texts, model)
     assert langs == [lang for lang in words for _ in range(20)]
     assert known.min() > 0.9
+
+
+def test_labels_of_long_texts_are_learned(spark):
+    draw = np.random.default_rng(10)
+    say = lambda lang, n: " ".join(f"{lang}{'abcdefgh'[int(i)]}{lang}" for i in draw.integers(0, 8, n))
+    rows = [(i, say("un", 200), "un", "s", 1) for i in range(120)] + [(1000 + i, "1" * 9000 + say("vo", 4000), "vo", "s", 1) for i in range(120)]
+    model = langid.learn(spark.createDataFrame(rows, SCHEMA), F.lit(True))
+    assert model.languages == ("un", "vo") and min(map(len, model.samples)) >= 40_000
+    # rows without letters take no place of the sample
+    rows += [(5000 + i, "123", "wu", "s", 1) for i in range(300)] + [(9000, say("wu", 50), "wu", "s", 1)]
+    assert langid.learn(spark.createDataFrame(rows, SCHEMA), F.lit(True)).languages == ("un", "vo", "wu")
+
+
+def test_every_label_is_learned(spark):
+    draw = np.random.default_rng(11)
+    names = [f"{a}{b}" for a in "abcdefghi" for b in "klmnopqrs"]
+    word = lambda n: "".join(n[int(i)] for i in draw.integers(0, 2, 6))
+    rows = [(100 * k + i, " ".join(word(n) for _ in range(40)), n, "s", 1) for k, n in enumerate(names) for i in range(4 if k else 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    model = langid.learn(docs, F.lit(True))
+    assert model.languages == tuple(names)
+    out = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs, model).collect()}
+    assert all(out[i] == n for i, _, n, _, _ in rows)
+    with pytest.raises(ValueError, match="labels"):
+        langid.learn(docs, F.lit(True), max_languages=len(names) - 1)
