@@ -35,7 +35,7 @@ CONTROLS = re.compile(rb"[\x00-\x1f\x7f]")
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = f"{PIECES}, sequence_id long, offset long"
 
-_ENCODERS: dict[str, "WordEncoder"] = {}
+_ENCODERS: dict[tuple[str, bool], "WordEncoder"] = {}
 
 
 def printable_bytes() -> dict[int, int]:
@@ -65,14 +65,18 @@ class WordEncoder:
     """Ids of a text, piece by piece.
 
     The tokenizer normalises a text, splits it into pieces without white space and merges inside pieces only, so the ids of a
-    text are those of its pieces in turn; equal pieces are encoded once.
+    text are those of its pieces in turn; equal pieces are encoded once. With ``added_tokens`` a text that holds one of the
+    tokenizer's added tokens takes the tokenizer's own way, which gives it the token's id; without, such a token is text like any other.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added_tokens: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
+        self.encode = tokenizer.encode
+        added = [t.content.lower() for t in tokenizer.get_added_tokens_decoder().values()] if added_tokens else []
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.model, self.normalizer, self.splitter = tokenizer.model, tokenizer.normalizer, tokenizer.pre_tokenizer
         self.shown = printable_bytes()
         self.of_piece = Recent(self.piece, PIECE_CACHE)
@@ -89,17 +93,20 @@ class WordEncoder:
         """Little-endian unsigned 32-bit ids of each text."""
         for text in texts:
             low = text.lower()
-            if BEYOND.search(low):
+            if self.added and self.added.search(low):
+                ids = self.encode(text, add_special_tokens=False).ids
+                yield struct.pack(f"<{len(ids)}I", *ids)
+            elif BEYOND.search(low):
                 found = self.splitter.pre_tokenize_str(self.normalizer.normalize_str(text))
                 yield b"".join(self.merged(mapped) for mapped, _ in found)
             else:
                 yield b"".join(map(self.of_piece.__getitem__, PLAIN_PIECES.findall(low)))
 
 
-def encoder(path: str) -> WordEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, added_tokens: bool) -> WordEncoder:
+    if (path, added_tokens) not in _ENCODERS:
+        _ENCODERS[path, added_tokens] = WordEncoder(path, added_tokens)
+    return _ENCODERS[path, added_tokens]
 
 
 def cut(tokens: int, capacity: int, piece: int) -> list[tuple[int, int]]:
@@ -115,12 +122,12 @@ def cut(tokens: int, capacity: int, piece: int) -> list[tuple[int, int]]:
     return out
 
 
-def pieces_of(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, piece: int, id_col: str, text_col: str) -> DataFrame:
+def pieces_of(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, piece: int, added_tokens: bool, id_col: str, text_col: str) -> DataFrame:
     """One row per piece of every document, with the checksum of its ids."""
     end = np.asarray([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = encoder(tokenizer_path)
+        words = encoder(tokenizer_path, added_tokens)
         schema = pa.schema([(c.split()[0], pa.int64()) for c in PIECES.split(", ")])
         for batch in batches:
             columns: list[list] = [[], [], [], [], []]
@@ -198,18 +205,19 @@ def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
 
 def pack_documents(
     docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = 2048, piece: int = 512,
-    group_tokens: int = 1_000_000, group_pieces: int = 8_192, id_col: str = "doc_id", text_col: str = "text",
+    group_tokens: int = 1_000_000, group_pieces: int = 8_192, id_col: str = "doc_id", text_col: str = "text", added_tokens: bool = False,
 ) -> DataFrame:
     """Pieces of all documents with their window and place: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A null or empty text is one piece with the end id alone. Repeated rows are packed as often as they
     occur. Very long texts give full windows of their own. A group of pieces has about ``group_tokens`` ids and at most
     about ``group_pieces`` pieces, so its packing time and memory are bounded whatever the input; pieces are dealt
-    by count, not by key. An empty table gives an empty result.
+    by count, not by key. With ``added_tokens`` ids are those of the tokenizer with its defaults, also of texts that hold its added tokens;
+    without, these are text like any other. An empty table gives an empty result.
     """
     if piece > capacity:
         raise ValueError("a piece must fit into a window")
-    pieces = stored(pieces_of(docs, tokenizer_path, end_id, capacity, piece, id_col, text_col), "pieces")
+    pieces = stored(pieces_of(docs, tokenizer_path, end_id, capacity, piece, added_tokens, id_col, text_col), "pieces")
     short = F.col("length") < capacity
     ids, rows = pieces.where(short).agg(F.coalesce(F.sum("length"), F.lit(0)), F.count(F.lit(1))).first()
     groups = max(1, -(-ids // group_tokens), -(-rows // group_pieces))

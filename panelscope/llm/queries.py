@@ -68,7 +68,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(documents(spark, sf_dir), tokenizer_path())
+    return pack_documents(documents(spark, sf_dir), tokenizer_path(), added_tokens=True)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
