@@ -145,13 +145,20 @@ def mix_counts(docs: DataFrame, **options) -> DataFrame:
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mixed corpus: the rows of ``docs``, all columns, each as often as it is taken."""
+    """The mixed corpus: the rows of ``docs``, all columns, each as often as it is taken; the copies of repeated rows are spread over them as in ``mix_counts``."""
     id_col, text_col, source_col = (options.get(k, v) for k, v in (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source")))
     plan = mix(docs, **options).where("copies > 0").select(
         F.col(id_col).alias("_mix_id"), F.col("source").alias("_mix_source"), F.col("text_hash").alias("_mix_hash"), F.col("rows").alias("_mix_rows"), F.col("copies").alias("_mix_copies"))
     same = (F.xxhash64(whole_text(text_col)) == F.col("_mix_hash")) & F.col(id_col).eqNullSafe(F.col("_mix_id")) & F.col(source_col).eqNullSafe(F.col("_mix_source"))
     joined = docs.join(plan, same)
-    # of repeated rows one stands for all
-    single, repeated = joined.where("_mix_rows = 1"), joined.where("_mix_rows > 1").dropDuplicates(["_mix_id", "_mix_source", "_mix_hash"])
+    joined = joined.withColumn("_mix_row", F.struct(*docs.columns))
+    single = joined.where("_mix_rows = 1").select("_mix_row", "_mix_copies")
+    # repeated rows that are equal in all columns are counted, the others lined up by a hash of all columns
+    key = ["_mix_id", "_mix_source", "_mix_hash", "_mix_rows", "_mix_copies"]
+    kinds = joined.where("_mix_rows > 1").groupBy(*key, F.xxhash64(F.to_json("_mix_row")).alias("_mix_x")).agg(F.first("_mix_row").alias("_mix_row"), F.count(F.lit(1)).alias("_mix_n"))
+    before = F.coalesce(F.sum("_mix_n").over(Window.partitionBy(*key).orderBy("_mix_x").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    more = F.greatest(F.lit(0), F.least(F.col("_mix_n"), F.col("_mix_copies") % F.col("_mix_rows") - before))
+    copies = F.floor(F.col("_mix_copies") / F.col("_mix_rows")) * F.col("_mix_n") + more
+    repeated = kinds.select("_mix_row", copies.cast("long").alias("_mix_copies")).where("_mix_copies > 0")
     out = single.unionByName(repeated).withColumn("_mix_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_copies"))))
-    return out.select(*docs.columns)
+    return out.select("_mix_row.*")
