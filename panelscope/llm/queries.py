@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelscope.llm.collocations import collocations
 from panelscope.llm.langid import language_query
 from panelscope.llm.linecrf import quality_query
 from panelscope.llm.mixing import mix_counts
@@ -71,8 +72,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), tokenizer_path(), added_tokens=True)
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_dedup, op2_quality_rules, op3_pii, op4_language_id, op5_mixing, op6_quality_classifier, op7_suffix_dedup, op8_topk, op9_sharding, op10_packing)
+    f.__name__: f for f in (op1_simhash_dedup, op2_quality_rules, op3_pii, op4_language_id, op5_mixing, op6_quality_classifier, op7_suffix_dedup, op8_topk, op9_sharding, op10_packing, op13_collocations)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -122,4 +127,25 @@ ORACLE_SQL: dict[str, str] = {
                xor(4294967295, list_reduce(list_prepend(4294967295, bytes), lambda c, y: xor(c >> 8, k[(xor(c, y) & 255) + 1]))) AS text_crc32,
                'bytes' AS law, shard, nth - min(nth) OVER (PARTITION BY shard) AS slot, CAST(NULL AS INTEGER) AS grown_shard
         FROM cut, table_of""",
+    "op13_collocations": """
+        WITH pieces AS (
+          SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS p FROM documents),
+        lists AS (SELECT lang, list_filter(regexp_split_to_array(p, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM pieces),
+        starts AS (SELECT lang, w, unnest(range(len(w))) AS i FROM lists),
+        grams AS (SELECT lang, w[i + 1:i + k] AS g FROM starts, range(1, 6) s(k) WHERE i + k <= len(w)),
+        counts AS (SELECT lang, g, count(*) AS f FROM grams GROUP BY lang, g HAVING count(*) >= 100 OR len(g) = 1),
+        totals AS (SELECT lang, sum(f) AS n FROM counts WHERE len(g) = 1 GROUP BY lang),
+        candidates AS (SELECT lang, g, f AS a FROM counts WHERE len(g) > 1),
+        cuts AS (SELECT lang, g, a, unnest(range(1, len(g))) AS k FROM candidates),
+        scored AS (
+          SELECT c.lang, c.g, c.a, k, l.f AS l, r.f AS r, n, CAST(1000 * CAST(a AS HUGEINT) * n // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
+          FROM cuts c JOIN counts l ON l.lang = c.lang AND l.g = c.g[:k] JOIN counts r ON r.lang = c.lang AND r.g = c.g[k + 1:] JOIN totals t ON t.lang = c.lang),
+        best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+        spans AS (
+          SELECT lang, g[s + 1:s + m] AS g, max(a) AS longer FROM candidates, range(2, 5) x(m), range(0, 4) y(s) WHERE m < len(g) AND s + m <= len(g) GROUP BY ALL),
+        kept AS (SELECT b.* FROM best b LEFT JOIN spans s ON s.lang = b.lang AND s.g = b.g WHERE longer IS NULL OR 100 * longer < 100 * a)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank,
+               array_to_string(g, ' ') AS phrase, a, l, r, CAST(n AS BIGINT) AS n, score
+        FROM kept QUALIFY rank <= 2000""",
 }
