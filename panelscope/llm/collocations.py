@@ -5,19 +5,21 @@ more in which every pair is frequent. No phrase is more frequent than its parts,
 frequent travels to the tasks as a bitmap of their hashes, of a size that does not depend on the input; a phrase that a clash of
 hashes lets through is counted in vain, and dropped by its count.
 
-A task counts in a HAT-trie. Below the ids of language and first word stand hash containers of the remaining ids; a container that
-grows too large bursts into a branch with a container per next word. When the trie is full, its largest subtrees leave
-as sorted runs. Runs are dealt out by prefix (language and first two words) and merged there.
+A task counts in HAT-tries, one per language and length. Below a first word stands a hash container of the remaining word ids; a
+container that grows too large bursts into a branch with a container per next word. When the tries are full, their largest
+subtrees leave as sorted runs. Runs are dealt out by prefix (language and first two words) and merged there.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,86 +29,87 @@ from panelscope.llm.common import map_batches, stored, tasks, whole_text
 #: A word, or a character that ends a piece.
 TOKENS = re.compile(rb"[.,;:!?\x0a-\x0d]|[^\x20\x09.,;:!?\x0a-\x0d]+")
 BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
-#: Bytes of text counted at a time, sequences a trie holds, words a task numbers, sequences of a container.
+#: Bytes of text counted at a time, sequences all tries of a task hold, words it numbers, sequences of a container.
 AT_ONCE = 2_000_000
 HELD = 400_000
-WORDS = 400_000
-BURST = 4_096
+WORDS = 300_000
+BURST = 16_384
 #: Bits that tell frequent words or pairs.
 FILTER_BITS = 1 << 26
 RUNS = "lang string, phrase string, n long"
 
 
 class Branch(dict):
-    """A burst container: the next id leads on; ``ends`` counts the sequence that ends here."""
-
-    ends = 0
+    """A burst container: containers (or branches) by the next word's id."""
 
 
 class HatTrie:
-    """Counts of sequences of 4-byte ids. The first two ids (language, first word) name a subtree, which leaves as a whole."""
-
-    def __init__(self, burst: int = BURST):
-        self.subtrees: dict[bytes, dict | Branch] = {}
-        self.sizes: dict[bytes, int] = {}
-        self.size, self.burst = 0, burst
-
-    def add(self, key: bytes, count: int) -> None:
-        root, at = key[:8], 8
-        node, parent, step = self.subtrees.get(root), None, root
-        if node is None:
-            node, self.sizes[root] = {}, 0
-            self.subtrees[root] = node
-        while type(node) is Branch:
-            if at == len(key):
-                self._grow(root, node.ends == 0)
-                node.ends += count
-                return
-            parent, step, at = node, key[at:at + 4], at + 4
-            node = parent.get(step)
+    """Counts of sequences of ``length`` word ids. A first word names a subtree, which leaves as a whole."""
+
+    def __init__(self, length: int, burst: int = BURST):
+        self.length, self.burst = length, burst
+        self.subtrees: dict[int, Counter | Branch] = {}
+        self.sizes: Counter = Counter()
+
+    def add(self, sequences: np.ndarray) -> int:
+        """Count the rows of a matrix of ids; returns how many sequences are new."""
+        sequences = sequences[np.lexsort(sequences.T[::-1])]
+        first = sequences[:, 0]
+        rest = np.ascontiguousarray(sequences[:, 1:])
+        keys = rest.view(f"V{4 * (self.length - 1)}").ravel().tolist()
+        starts = np.flatnonzero(np.diff(first, prepend=-1)).tolist()
+        new = 0
+        for word, i, j in zip(first[starts].tolist(), starts, [*starts[1:], len(keys)], strict=True):
+            node = self.subtrees.get(word)
             if node is None:
-                node = parent[step] = {}
-        rest = key[at:]
-        self._grow(root, rest not in node)
-        node[rest] = node.get(rest, 0) + count
-        if len(node) > self.burst:
-            (self.subtrees if parent is None else parent)[step] = self.burst_open(node)
-
-    def _grow(self, root: bytes, new: bool) -> None:
-        self.sizes[root] += new
-        self.size += new
+                node = self.subtrees[word] = Counter()
+            more = self._fill(self.subtrees, word, node, keys[i:j], self.length - 1)
+            self.sizes[word] += more
+            new += more
+        return new
+
+    def _fill(self, parent: dict, step: int | bytes, node: Counter | Branch, keys: list[bytes], words: int) -> int:
+        """Add sorted keys below a node; the node bursts if it gets too large."""
+        if type(node) is not Branch:
+            before = len(node)
+            node.update(keys)
+            if len(node) > self.burst and words > 1:
+                parent[step] = self.burst_open(node)
+            return len(node) - before
+        new = i = 0
+        while i < len(keys):
+            step, j = keys[i][:4], i + 1
+            while j < len(keys) and keys[j][:4] == step:
+                j += 1
+            child = node.get(step)
+            if child is None:
+                child = node[step] = Counter()
+            new += self._fill(node, step, child, [k[4:] for k in keys[i:j]], words - 1)
+            i = j
+        return new
 
     @staticmethod
-    def burst_open(container: dict[bytes, int]) -> Branch:
+    def burst_open(container: Counter) -> Branch:
         branch = Branch()
         for key, count in container.items():
-            if key:
-                branch.setdefault(key[:4], {})[key[4:]] = count
-            else:
-                branch.ends = count
+            if key[:4] not in branch:
+                branch[key[:4]] = Counter()
+            branch[key[:4]][key[4:]] = count
         return branch
 
-    @staticmethod
-    def below(node: dict | Branch, path: bytes) -> Iterator[tuple[bytes, int]]:
-        """All sequences of a subtree; a branch is never deeper than a sequence is long."""
-        todo = [(node, path)]
+    def take(self, word: int) -> tuple[np.ndarray, np.ndarray]:
+        """Take a subtree out: its sequences and their counts."""
+        keys, counts = [], []
+        todo = [(self.subtrees.pop(word), np.uint32(word).tobytes())]
         while todo:
             node, path = todo.pop()
             if type(node) is Branch:
-                if node.ends:
-                    yield path, node.ends
                 todo.extend((child, path + step) for step, child in node.items())
             else:
-                for rest, count in node.items():
-                    yield path + rest, count
-
-    def spill(self, keep: int) -> Iterator[tuple[bytes, int]]:
-        """Take out whole subtrees, largest first, until at most ``keep`` sequences are left."""
-        for root in sorted(self.sizes, key=self.sizes.__getitem__, reverse=True):
-            if self.size <= keep:
-                return
-            yield from self.below(self.subtrees.pop(root), root)
-            self.size -= self.sizes.pop(root)
+                keys.extend([path + k for k in node])
+                counts.extend(node.values())
+        del self.sizes[word]
+        return np.frombuffer(b"".join(keys), np.uint32).reshape(-1, self.length), np.asarray(counts, np.int64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -134,14 +137,17 @@ def held_at(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 class PhraseCounter:
-    """What one task counts: phrases of ``lengths`` words whose parts of ``part`` words the bitmap holds."""
+    """What one task counts: phrases of ``lengths`` words whose parts of ``part`` words the bitmap holds; with part 0, words."""
 
-    def __init__(self, lengths: range, part: int, bitmap: np.ndarray | None, bits: int, held: int = HELD, words: int = WORDS):
-        self.lengths, self.part, self.bitmap, self.bits, self.held, self.most_words = lengths, part, bitmap, bits, held, words
+    def __init__(self, lengths: range, part: int, bitmap: np.ndarray | None, bits: int, held: int = HELD, words: int = WORDS, burst: int = BURST):
+        self.lengths, self.part, self.bitmap, self.bits = lengths, part, bitmap, bits
+        self.held, self.most_words, self.burst = held, words, burst
         self.forget()
 
     def forget(self) -> None:
-        self.trie = HatTrie()
+        self.tries: dict[tuple[str, int], HatTrie] = {}
+        self.word_counts: dict[str, np.ndarray] = {}
+        self.size = 0
         self.names: list[bytes] = [b""]
         self.ids: dict[bytes, int] = {bytes([c]): 0 for c in BREAKS}
         self.hash = np.zeros(1, np.uint64)
@@ -156,59 +162,68 @@ class PhraseCounter:
             self.hash = np.concatenate([self.hash, hashes(names[len(self.hash):])])
         return np.fromiter(map(ids.__getitem__, tokens), np.int64, len(tokens))
 
-    def add(self, lang: str, texts: list[bytes]) -> Iterator[list[tuple[str, str, int]]]:
-        """Count some texts of one language; yields runs as the trie fills."""
+    def add(self, lang: str, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+        """Count some texts of one language; yields runs as the tries fill."""
         ids = self.numbered(TOKENS.findall(b"\n".join(texts).lower()))
-        if not len(ids):
-            return
-        mark = b"\0" + lang.encode()  # languages are numbered with the words
-        language = self.numbered([mark]).astype(np.uint32).tobytes()
-        size = max(self.part, 1)
-        windows = [ids[k:len(ids) - size + 1 + k] for k in range(size)]
-        ok = np.logical_and.reduce([w > 0 for w in windows])
         if self.part:
-            ok &= held_at(self.bitmap, places(hashes([mark])[0], *(self.hash[w] for w in windows), bits=self.bits))
-        else:
-            self.trie.add(language + bytes(4), int(ok.sum()))
-        # equal sequences get equal numbers, word by word
-        starts, narrow = np.flatnonzero(ok), ids.astype(np.uint32)
-        number = ids[starts]
-        for n in range(2, self.lengths.stop + 1):
-            _, first, number, times = np.unique(number, return_index=True, return_inverse=True, return_counts=True)
-            if n - 1 in self.lengths:
-                for at, count in zip(starts[first].tolist(), times.tolist(), strict=True):
-                    self.trie.add(language + narrow[at:at + n - 1].tobytes(), count)
-            last = starts + n - size  # where the last part starts, if one more word follows
-            fits = (last < len(ok)) & (last >= 0)
-            fits[fits] = ok[last[fits]]
-            starts, number = starts[fits], number[fits]
-            if not len(starts) or n == self.lengths.stop:
-                break
-            number = number << 32 | ids[starts + n - 1]
-        if self.trie.size > self.held:
-            yield self.run(self.held // 2)
+            self.add_phrases(lang, ids)
+        elif len(ids):
+            counts = np.bincount(ids, minlength=len(self.names))
+            before = self.word_counts.get(lang, counts[:0])
+            counts[:len(before)] += before
+            counts[0] = 0
+            self.size += np.count_nonzero(counts) - np.count_nonzero(before)
+            self.word_counts[lang] = counts
+        if self.size > self.held:
+            yield from self.spill(self.held // 2)
         if len(self.names) > self.most_words:
-            if self.trie.size:
-                yield self.run(0)
+            yield from self.spill(0)
             self.forget()
 
-    def run(self, keep: int) -> list[tuple[str, str, int]]:
-        """A sorted run of the largest subtrees."""
-        names, out = self.names, []
-        for key, count in self.trie.spill(keep):
-            ids = np.frombuffer(key, np.uint32).tolist()
-            out.append((names[ids[0]][1:].decode(), b" ".join([names[i] for i in ids[1:]]).decode(), count))
-        out.sort()
-        return out
+    def add_phrases(self, lang: str, ids: np.ndarray) -> None:
+        windows = [ids[k:len(ids) - self.part + 1 + k] for k in range(self.part)]
+        ok = np.logical_and.reduce([w > 0 for w in windows])
+        ok &= held_at(self.bitmap, places(hashes([lang.encode()])[0], *(self.hash[w] for w in windows), bits=self.bits))
+        narrow = ids.astype(np.uint32)
+        for n in self.lengths:
+            parts = n - self.part + 1
+            starts = np.flatnonzero(np.logical_and.reduce([ok[k:len(ok) - parts + 1 + k] for k in range(parts)])) if len(ok) >= parts else ()
+            if len(starts):
+                if (lang, n) not in self.tries:
+                    self.tries[lang, n] = HatTrie(n, self.burst)
+                self.size += self.tries[lang, n].add(narrow[starts[:, None] + np.arange(n)])
+
+    def spill(self, keep: int) -> Iterator[pa.RecordBatch]:
+        """Sorted runs of whole subtrees, largest first, until at most ``keep`` sequences are left; words leave all at once."""
+        names = pa.array(self.names, pa.binary())
+        rank = np.empty(len(self.names), np.int64)
+        rank[sorted(range(len(rank)), key=self.names.__getitem__)] = np.arange(len(rank))
+        for lang, counts in self.word_counts.items():
+            if len(own := np.flatnonzero(counts)):
+                own = own[np.argsort(rank[own])]
+                yield run_batch(lang, [names.take(pa.array(own))], counts[own])
+                yield run_batch(lang, [pa.array([b""])], counts[own].sum(keepdims=True))
+                self.size -= len(own)
+        self.word_counts = {}
+        leaving: dict[tuple[str, int], list] = {}
+        for size, key, word in sorted(((n, key, word) for key, trie in self.tries.items() for word, n in trie.sizes.items()), reverse=True):
+            if self.size <= keep:
+                break
+            leaving.setdefault(key, []).append(self.tries[key].take(word))
+            self.size -= size
+        for (lang, _), found in sorted(leaving.items()):
+            ids, counts = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.lexsort(rank[ids].T[::-1])
+            yield run_batch(lang, [names.take(pa.array(column)) for column in ids[order].T], counts[order])
 
 
-def run_batch(rows: list[tuple[str, str, int]]) -> pa.RecordBatch:
-    lang, phrase, n = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(phrase, pa.string()), pa.array(n, pa.int64())], names=["lang", "phrase", "n"])
+def run_batch(lang: str, words: list[pa.Array], counts: np.ndarray) -> pa.RecordBatch:
+    phrase = words[0] if len(words) == 1 else pc.binary_join_element_wise(*words, b" ")
+    return pa.RecordBatch.from_arrays([pa.array([lang] * len(counts), pa.string()), phrase.cast(pa.string()), pa.array(counts, pa.int64())], names=["lang", "phrase", "n"])
 
 
 def count_phrases(texts: DataFrame, lengths: range, part: int, bitmap: bytes | None, bits: int, min_count: int) -> DataFrame:
-    """lang, phrase and exact count ``n`` of all phrases found ``min_count`` times. With part 0, the empty phrase counts all words."""
+    """lang, phrase and exact count ``n`` of all phrases found ``min_count`` times. With part 0, words, and the empty phrase for all of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None if bitmap is None else np.frombuffer(zlib.decompress(bitmap), np.uint8)
@@ -221,12 +236,11 @@ def count_phrases(texts: DataFrame, lengths: range, part: int, bitmap: bytes | N
                 size += len(text.as_buffer())
                 if size >= AT_ONCE:
                     for name, some in waiting.items():
-                        yield from map(run_batch, counter.add(name, some))
+                        yield from counter.add(name, some)
                     waiting, size = {}, 0
             for name, some in waiting.items():
-                yield from map(run_batch, counter.add(name, some))
-        if counter.trie.size:
-            yield run_batch(counter.run(0))
+                yield from counter.add(name, some)
+        yield from counter.spill(0)
 
     runs = map_batches(texts, run, RUNS)
     prefix = F.substring_index("phrase", " ", 2)
@@ -239,7 +253,7 @@ def frequent_bitmap(counts: DataFrame, bits: int) -> bytes:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lang = hashes([b"\0" + x.encode() for x in batch.column(0).to_pylist()])
+            lang = hashes([x.encode() for x in batch.column(0).to_pylist()])
             words = [x.encode().split(b" ") for x in batch.column(1).to_pylist()]
             at = np.zeros(len(words), np.int64)
             for size in {len(w) for w in words}:

@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,41 +66,45 @@ def test_nothing(spark, nothing):
     assert got(collocations(rare, min_count=1, max_words=2)) == expected([("en", "a b c")], 1, 2)
 
 
-def test_tries_that_burst_and_spill():
+@pytest.mark.parametrize("lengths, part", [(range(1, 2), 0), (range(2, 4), 1)])
+def test_tries_that_burst_and_spill(lengths, part):
     rng = random.Random(1)
     words = ["w%d" % i for i in range(40)] + ["é", "ab\xa0c", "\0en"]
     texts = [" ".join(rng.choices(words, k=50)) + rng.choice([".", "", "\n"]) for _ in range(60)]
     want = Counter()
     for t in texts:
         for w in pieces(t):
-            for k in (1, 2, 3):
+            for k in lengths:
                 want.update(" ".join(w[i:i + k]) for i in range(len(w) - k + 1))
-    counter = PhraseCounter(range(1, 4), 0, None, 1 << 15, held=300, words=30)
-    counter.trie.burst = 3
+    full = np.full(1 << 12, 255, np.uint8)  # every word may be frequent
+    counter = PhraseCounter(lengths, part, full if part else None, 1 << 15, held=300 if part else 30, words=30, burst=3)
     found, runs = Counter(), []
     for at in range(0, 60, 7):
         runs += list(counter.add("en", [t.encode() for t in texts[at:at + 7]]))
-        counter.trie.burst = 3
-    runs.append(counter.run(0))
+    runs += list(counter.spill(0))
     for run in runs:
-        assert run == sorted(run) and len({r[:2] for r in run}) == len(run)
-        for lang, phrase, n in run:
+        rows = list(zip(*(c.to_pylist() for c in run.columns)))
+        assert [r[1].split(" ") for r in rows] == sorted(r[1].split(" ") for r in rows) and len({r[1] for r in rows}) == len(rows)
+        for lang, phrase, n in rows:
             assert lang == "en"
             found[phrase] += n
-    assert found.pop("") == sum(len(w) for t in texts for w in pieces(t))
+    if not part:
+        assert found.pop("") == sum(len(w) for t in texts for w in pieces(t))
     assert found == want and len(runs) > 8
 
 
 def test_trie_keeps_counts_through_bursts():
-    rng, trie, want = random.Random(2), HatTrie(burst=2), Counter()
-    for _ in range(3000):
-        key = b"\1\0\0\0" + bytes(rng.choices(range(3), k=4 * rng.choice([1, 1, 2, 3, 4])))
-        trie.add(key, 1)
-        want[key] += 1
-    assert trie.size == len(want) == sum(trie.sizes.values())
-    first = dict(trie.spill(trie.size // 2))
-    assert 0 < trie.size <= len(want) // 2 and len(first) + trie.size == len(want)
-    assert Counter(first) + Counter(dict(trie.spill(0))) == want and trie.size == 0
+    rng, trie, want, new = np.random.default_rng(2), HatTrie(4, burst=2), Counter(), 0
+    for _ in range(20):
+        ids = rng.integers(0, 4, (150, 4)).astype(np.uint32)
+        new += trie.add(ids)
+        want.update(map(tuple, ids.tolist()))
+    assert new == len(want) == sum(trie.sizes.values())
+    found = {}
+    for word in list(trie.subtrees):
+        ids, counts = trie.take(word)
+        found |= dict(zip(map(tuple, ids.tolist()), counts.tolist()))
+    assert found == want and not trie.subtrees and not trie.sizes
 
 
 def test_numbers_beyond_64_bits(spark):
