@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelscope.llm.alignment import link_counts
 from panelscope.llm.collocations import collocations
 from panelscope.llm.langid import language_query
 from panelscope.llm.linecrf import quality_query
@@ -72,12 +73,16 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), tokenizer_path(), added_tokens=True)
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_counts(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_dedup, op2_quality_rules, op3_pii, op4_language_id, op5_mixing, op6_quality_classifier, op7_suffix_dedup, op8_topk, op9_sharding, op10_packing, op13_collocations)
+    f.__name__: f for f in (op1_simhash_dedup, op2_quality_rules, op3_pii, op4_language_id, op5_mixing, op6_quality_classifier, op7_suffix_dedup, op8_topk, op9_sharding, op10_packing, op12_alignment, op13_collocations)
 }
 
 ORACLE_SQL: dict[str, str] = {
