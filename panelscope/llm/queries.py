@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from panelscope.llm.alignment import link_counts
 from panelscope.llm.collocations import collocations
 from panelscope.llm.langid import language_query
+from panelscope.llm.licenses import find_licenses
 from panelscope.llm.linecrf import quality_query
 from panelscope.llm.mixing import mix_counts
 from panelscope.llm.packing import pack_documents
@@ -73,6 +74,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), tokenizer_path(), added_tokens=True)
 
 
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_licenses(documents(spark, sf_dir)).drop("licenses")
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_counts(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -82,7 +87,7 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_dedup, op2_quality_rules, op3_pii, op4_language_id, op5_mixing, op6_quality_classifier, op7_suffix_dedup, op8_topk, op9_sharding, op10_packing, op12_alignment, op13_collocations)
+    f.__name__: f for f in (op1_simhash_dedup, op2_quality_rules, op3_pii, op4_language_id, op5_mixing, op6_quality_classifier, op7_suffix_dedup, op8_topk, op9_sharding, op10_packing, op11_licenses, op12_alignment, op13_collocations)
 }
 
 ORACLE_SQL: dict[str, str] = {
