@@ -7,7 +7,8 @@ hashes lets through is counted in vain, and dropped by its count.
 
 A task counts in HAT-tries, one per language and length. Below a first word stands a hash container of the remaining word ids; a
 container that grows too large bursts into a branch with a container per next word. When the tries are full, their largest
-subtrees leave as sorted runs. Runs are dealt out by prefix (language and first two words) and merged there.
+subtrees leave as sorted runs, one row per part. A part is what a hash of the first word names (of the first two, if the first is
+one of the at most a thousand words that make a thousandth of the corpus each); runs are dealt out by part and merged there.
 """
 
 from __future__ import annotations
@@ -36,7 +37,10 @@ WORDS = 300_000
 BURST = 16_384
 #: Bits that tell frequent words or pairs.
 FILTER_BITS = 1 << 26
-RUNS = "lang string, phrase string, n long"
+RUNS = "part int, lang string, phrases string, counts string"
+#: Parts per shuffle partition, and the share of all words from which on a first word's phrases are split.
+PARTS = 4
+HOT = 1000
 
 
 class Branch(dict):
@@ -53,7 +57,7 @@ class HatTrie:
 
     def add(self, sequences: np.ndarray) -> int:
         """Count the rows of a matrix of ids; returns how many sequences are new."""
-        sequences = sequences[np.lexsort(sequences.T[::-1])]
+        sequences = sequences[np.argsort(sequences[:, 0].astype(np.uint64) << np.uint64(32) | sequences[:, 1], kind="stable")]
         first = sequences[:, 0]
         rest = np.ascontiguousarray(sequences[:, 1:])
         keys = rest.view(f"V{4 * (self.length - 1)}").ravel().tolist()
@@ -69,7 +73,7 @@ class HatTrie:
         return new
 
     def _fill(self, parent: dict, step: int | bytes, node: Counter | Branch, keys: list[bytes], words: int) -> int:
-        """Add sorted keys below a node; the node bursts if it gets too large."""
+        """Add keys, sorted by their first word, below a node; the node bursts if it gets too large."""
         if type(node) is not Branch:
             before = len(node)
             node.update(keys)
@@ -84,7 +88,7 @@ class HatTrie:
             child = node.get(step)
             if child is None:
                 child = node[step] = Counter()
-            new += self._fill(node, step, child, [k[4:] for k in keys[i:j]], words - 1)
+            new += self._fill(node, step, child, sorted([k[4:] for k in keys[i:j]]), words - 1)
             i = j
         return new
 
@@ -97,19 +101,23 @@ class HatTrie:
             branch[key[:4]][key[4:]] = count
         return branch
 
-    def take(self, word: int) -> tuple[np.ndarray, np.ndarray]:
-        """Take a subtree out: its sequences and their counts."""
-        keys, counts = [], []
-        todo = [(self.subtrees.pop(word), np.uint32(word).tobytes())]
-        while todo:
-            node, path = todo.pop()
-            if type(node) is Branch:
-                todo.extend((child, path + step) for step, child in node.items())
-            else:
-                keys.extend([path + k for k in node])
-                counts.extend(node.values())
-        del self.sizes[word]
-        return np.frombuffer(b"".join(keys), np.uint32).reshape(-1, self.length), np.asarray(counts, np.int64)
+    def take(self, words: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Take subtrees out: their sequences and counts."""
+        first, sizes, keys, counts = [], [], [], []
+        for word in words:
+            todo = [(self.subtrees.pop(word), b"")]
+            while todo:
+                node, path = todo.pop()
+                if type(node) is Branch:
+                    todo.extend((child, path + step) for step, child in node.items())
+                else:
+                    keys.extend([path + k for k in node] if path else node)
+                    counts.extend(node.values())
+                    first.append(word)
+                    sizes.append(len(node))
+            del self.sizes[word]
+        rest = np.frombuffer(b"".join(keys), np.uint32).reshape(-1, self.length - 1)
+        return np.column_stack([np.repeat(np.asarray(first, np.uint32), sizes), rest]), np.asarray(counts, np.int64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -139,8 +147,9 @@ def held_at(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
 class PhraseCounter:
     """What one task counts: phrases of ``lengths`` words whose parts of ``part`` words the bitmap holds; with part 0, words."""
 
-    def __init__(self, lengths: range, part: int, bitmap: np.ndarray | None, bits: int, held: int = HELD, words: int = WORDS, burst: int = BURST):
-        self.lengths, self.part, self.bitmap, self.bits = lengths, part, bitmap, bits
+    def __init__(self, lengths: range, part: int, bitmap: np.ndarray | None, bits: int, hot: frozenset[bytes] = frozenset(), runs: int = 64,
+                 held: int = HELD, words: int = WORDS, burst: int = BURST):
+        self.lengths, self.part, self.bitmap, self.bits, self.hot, self.runs = lengths, part, bitmap, bits, hot, runs
         self.held, self.most_words, self.burst = held, words, burst
         self.forget()
 
@@ -158,7 +167,7 @@ class PhraseCounter:
         for word in set(tokens).difference(ids):
             ids[word] = len(names)
             names.append(word)
-        if self.bitmap is not None and len(names) > len(self.hash):
+        if len(names) > len(self.hash):
             self.hash = np.concatenate([self.hash, hashes(names[len(self.hash):])])
         return np.fromiter(map(ids.__getitem__, tokens), np.int64, len(tokens))
 
@@ -200,34 +209,42 @@ class PhraseCounter:
         rank[sorted(range(len(rank)), key=self.names.__getitem__)] = np.arange(len(rank))
         for lang, counts in self.word_counts.items():
             if len(own := np.flatnonzero(counts)):
-                own = own[np.argsort(rank[own])]
-                yield run_batch(lang, [names.take(pa.array(own))], counts[own])
-                yield run_batch(lang, [pa.array([b""])], counts[own].sum(keepdims=True))
+                yield self.run(lang, own[:, None], counts[own], names, rank)
                 self.size -= len(own)
         self.word_counts = {}
-        leaving: dict[tuple[str, int], list] = {}
+        leaving: dict[tuple[str, int], list[int]] = {}
         for size, key, word in sorted(((n, key, word) for key, trie in self.tries.items() for word, n in trie.sizes.items()), reverse=True):
             if self.size <= keep:
                 break
-            leaving.setdefault(key, []).append(self.tries[key].take(word))
+            leaving.setdefault(key, []).append(word)
             self.size -= size
-        for (lang, _), found in sorted(leaving.items()):
-            ids, counts = (np.concatenate(x) for x in zip(*found, strict=True))
-            order = np.lexsort(rank[ids].T[::-1])
-            yield run_batch(lang, [names.take(pa.array(column)) for column in ids[order].T], counts[order])
-
-
-def run_batch(lang: str, words: list[pa.Array], counts: np.ndarray) -> pa.RecordBatch:
-    phrase = words[0] if len(words) == 1 else pc.binary_join_element_wise(*words, b" ")
-    return pa.RecordBatch.from_arrays([pa.array([lang] * len(counts), pa.string()), phrase.cast(pa.string()), pa.array(counts, pa.int64())], names=["lang", "phrase", "n"])
-
-
-def count_phrases(texts: DataFrame, lengths: range, part: int, bitmap: bytes | None, bits: int, min_count: int) -> DataFrame:
-    """lang, phrase and exact count ``n`` of all phrases found ``min_count`` times. With part 0, words, and the empty phrase for all of them."""
+        for key, words in sorted(leaving.items()):
+            yield self.run(key[0], *self.tries[key].take(words), names, rank)
+
+    def run(self, lang: str, ids: np.ndarray, counts: np.ndarray, names: pa.Array, rank: np.ndarray) -> pa.RecordBatch:
+        """Sequences as one row per part, in the order of their words; tabs are between words, so never in them."""
+        part = mix(self.hash[ids[:, 0]])
+        if ids.shape[1] > 1 and self.hot:
+            hot = np.fromiter((w in self.hot for w in self.names), bool, len(self.names))[ids[:, 0]]
+            part = np.where(hot, mix(part ^ self.hash[ids[:, 1]]), part)
+        part = (part % np.uint64(self.runs)).astype(np.int64)
+        order = np.lexsort((*rank[ids].T[::-1], part))
+        words = [names.take(pa.array(column)) for column in ids[order].T]
+        phrase = words[0] if len(words) == 1 else pc.binary_join_element_wise(*words, b" ")
+        ends = np.flatnonzero(np.diff(part[order], append=-1)) + 1
+        bounds = pa.array(np.concatenate([[0], ends]), pa.int32())
+        joined = [pc.binary_join(pa.ListArray.from_arrays(bounds, x.cast(pa.string())), "\t") for x in (phrase, pa.array(counts[order]))]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(part[order][ends - 1], pa.int32()), pa.array([lang] * len(ends), pa.string()), *joined], names=["part", "lang", "phrases", "counts"])
+
+
+def count_phrases(texts: DataFrame, lengths: range, part: int, bitmap: bytes | None, hot: frozenset[bytes], bits: int) -> DataFrame:
+    """part, lang, phrase and exact count ``n`` of all phrases whose parts may be frequent."""
+    parts = PARTS * tasks(texts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None if bitmap is None else np.frombuffer(zlib.decompress(bitmap), np.uint8)
-        counter = PhraseCounter(lengths, part, held, bits)
+        counter = PhraseCounter(lengths, part, held, bits, hot, parts)
         for batch in batches:
             waiting: dict[str, list[bytes]] = {}
             size = 0
@@ -242,10 +259,12 @@ def count_phrases(texts: DataFrame, lengths: range, part: int, bitmap: bytes | N
                 yield from counter.add(name, some)
         yield from counter.spill(0)
 
-    runs = map_batches(texts, run, RUNS)
-    prefix = F.substring_index("phrase", " ", 2)
-    merged = runs.withColumn("prefix", prefix).repartition(tasks(texts), "lang", "prefix").groupBy("lang", "prefix", "phrase").agg(F.sum("n").alias("n"))
-    return merged.where((F.col("n") >= min_count) | (F.col("phrase") == "")).select("lang", "phrase", "n")
+    runs = map_batches(texts, run, RUNS).repartition(tasks(texts), "part")
+    entries = F.explode(F.arrays_zip(F.split("phrases", "\t").alias("phrase"), F.split("counts", "\t").alias("n")))
+    return (
+        runs.select("part", "lang", entries.alias("e")).select("part", "lang", "e.phrase", F.col("e.n").cast("long").alias("n"))
+        .groupBy("part", "lang", "phrase").agg(F.sum("n").alias("n"))
+    )
 
 
 def frequent_bitmap(counts: DataFrame, bits: int) -> bytes:
@@ -261,7 +280,7 @@ def frequent_bitmap(counts: DataFrame, bits: int) -> bytes:
                 at[own] = places(lang[own], *(hashes([words[i][k] for i in own.tolist()]) for k in range(size)), bits=bits)
             yield pa.RecordBatch.from_arrays([pa.array(at)], names=["at"])
 
-    at = map_batches(counts.where(F.col("phrase") != "").select("lang", "phrase"), run, "at long")
+    at = map_batches(counts.select("lang", "phrase"), run, "at long")
     parts = at.groupBy(F.expr("at div 32768").alias("bucket")).agg(F.expr("bitmap_construct_agg(at % 32768)").alias("bits"))
     out = bytearray(max(bits // 8, 4096))
     for row in parts.collect():
@@ -289,15 +308,20 @@ def collocations(
     if filter_bits < 32768 or filter_bits & (filter_bits - 1):
         raise ValueError("filter_bits must be a power of two, at least 32768")
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), whole_text(text_col).alias("text"))
-    words = stored(count_phrases(texts, range(1, 2), 0, None, filter_bits, min_count), "phrase_words")
-    totals = stored(words.where(F.col("phrase") == "").select("lang", F.col("n").alias("total")), "phrase_totals")
-    counts = words.where(F.col("phrase") != "")
+    every = stored(count_phrases(texts, range(1, 2), 0, None, frozenset(), filter_bits), "all_words")
+    totals = stored(every.groupBy("lang").agg(F.sum("n").alias("total")), "phrase_totals")
+    frequent = F.col("n") >= min_count
+    words = counts = stored(every.where(frequent).select("lang", "phrase", "n"), "phrase_words")
     if max_words > 1:
-        pairs = stored(count_phrases(texts, range(2, 3), 1, frequent_bitmap(words, filter_bits), filter_bits, min_count), "phrase_pairs")
+        corpus = totals.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
+        hot = words.groupBy("phrase").agg(F.sum("n").alias("n")).where(F.col("n") * HOT >= corpus)
+        hot_words = frozenset(r["phrase"].encode() for r in hot.collect())
+        pairs = count_phrases(texts, range(2, 3), 1, frequent_bitmap(words, filter_bits), hot_words, filter_bits)
+        pairs = stored(pairs.where(frequent).select("lang", "phrase", "n"), "phrase_pairs")
         counts = counts.unionByName(pairs)
     if max_words > 2:
-        more = count_phrases(texts, range(3, max_words + 1), 2, frequent_bitmap(pairs, filter_bits), filter_bits, min_count)
-        counts = counts.unionByName(stored(more, "phrase_longer"))
+        more = count_phrases(texts, range(3, max_words + 1), 2, frequent_bitmap(pairs, filter_bits), hot_words, filter_bits)
+        counts = counts.unionByName(stored(more.where(frequent).select("lang", "phrase", "n"), "phrase_longer"))
     return ranked(counts, totals, top, absorbed)
 
 

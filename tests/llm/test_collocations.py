@@ -77,20 +77,23 @@ def test_tries_that_burst_and_spill(lengths, part):
             for k in lengths:
                 want.update(" ".join(w[i:i + k]) for i in range(len(w) - k + 1))
     full = np.full(1 << 12, 255, np.uint8)  # every word may be frequent
-    counter = PhraseCounter(lengths, part, full if part else None, 1 << 15, held=300 if part else 30, words=30, burst=3)
+    counter = PhraseCounter(lengths, part, full if part else None, 1 << 15, frozenset([b"w1"]), held=300 if part else 30, words=30, burst=3)
     found, runs = Counter(), []
     for at in range(0, 60, 7):
         runs += list(counter.add("en", [t.encode() for t in texts[at:at + 7]]))
     runs += list(counter.spill(0))
+    part_of = {}
     for run in runs:
-        rows = list(zip(*(c.to_pylist() for c in run.columns)))
-        assert [r[1].split(" ") for r in rows] == sorted(r[1].split(" ") for r in rows) and len({r[1] for r in rows}) == len(rows)
-        for lang, phrase, n in rows:
-            assert lang == "en"
-            found[phrase] += n
-    if not part:
-        assert found.pop("") == sum(len(w) for t in texts for w in pieces(t))
+        for number, lang, phrases, counts in zip(*(c.to_pylist() for c in run.columns)):
+            phrases = phrases.split("\t")
+            assert lang == "en" and phrases == sorted(set(phrases), key=lambda p: p.encode().split(b" "))
+            for phrase, n in zip(phrases, counts.split("\t"), strict=True):
+                found[phrase] += int(n)
+                prefix = phrase.split(" ")[:2 if phrase.startswith("w1 ") else 1]
+                assert part_of.setdefault(tuple(prefix), number) == number  # a prefix is merged in one part
     assert found == want and len(runs) > 8
+    if part:
+        assert len({p for k, p in part_of.items() if k[0] == "w1"}) > 3  # but a hot word's phrases are split
 
 
 def test_trie_keeps_counts_through_bursts():
@@ -101,8 +104,8 @@ def test_trie_keeps_counts_through_bursts():
         want.update(map(tuple, ids.tolist()))
     assert new == len(want) == sum(trie.sizes.values())
     found = {}
-    for word in list(trie.subtrees):
-        ids, counts = trie.take(word)
+    for words in (list(trie.subtrees)[:2], list(trie.subtrees)[2:]):
+        ids, counts = trie.take(words)
         found |= dict(zip(map(tuple, ids.tolist()), counts.tolist()))
     assert found == want and not trie.subtrees and not trie.sizes
 
