@@ -61,7 +61,7 @@ def main() -> None:
         start = time.time()
         df = spec.build(*[work.table(i) for i in spec.inputs])
         if spec.stored:
-            again.write(name, df)
+            again.write(name, df, spec.layout)
         else:
             df.write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.time() - start, 3)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from panelscope import config as C
+from panelscope.functions.days import lists_by_day, row_of, with_lists
 from panelscope.functions.exprs import (
     event_second, extract, first_by, first_match, has_affiliate_marker, host_in, param_value, raw_param,
     second_to_ts,
@@ -63,58 +64,62 @@ def landing_clicks(landings: DataFrame) -> DataFrame:
     )
 
 
-def affiliate_hops(events: DataFrame) -> DataFrame:
-    """Redirect-hop events towards a brand, with network and publisher id."""
+def _hop_network() -> Column:
     network = F
     for label, domains, hosts in C.HOP_NETWORKS:
         network = network.when(host_in("host", domains, hosts), label)
-    publisher = [F.concat(F.lit(label), extract(F.col("url"), pattern)) for label, pattern in C.HOP_PUBLISHERS]
+    return network.otherwise(C.HOP_NETWORK_DEFAULT)
+
+
+def _hop_publisher() -> Column:
+    return F.coalesce(*[F.concat(F.lit(label), extract(F.col("url"), pattern)) for label, pattern in C.HOP_PUBLISHERS], F.lit("unknown"))
+
+
+def affiliate_hops(events: DataFrame) -> DataFrame:
+    """Redirect-hop events towards a brand, with network and publisher id."""
     return events.where(F.col("hop_brand").isNotNull()).select(
         F.col("hop_brand").alias("brand"), "user_id", "session_id", "created_time", "host", "url",
-        network.otherwise(C.HOP_NETWORK_DEFAULT).alias("network"),
-        F.coalesce(*publisher, F.lit("unknown")).alias("publisher"),
-    )
+        _hop_network().alias("network"), _hop_publisher().alias("publisher"))
 
 
-def hop_clicks(hops: DataFrame, landing_clicks: DataFrame, events: DataFrame) -> DataFrame:
+def hop_clicks(person_days: DataFrame, landing_clicks: DataFrame) -> DataFrame:
     """Hops that are clicks of their own.
 
     A hop is dropped when a tagged landing of the same person and brand follows within a
     minute, or when it comes 10 seconds or less after the previous hop (one redirect
     chain). Of several hops in one second the first by host and URL stands for all.
 
-    Hops, landings and pages are first reduced to one row per (brand, person, second):
-    the windows below see at most 86,400 rows per group and day, however busy a person is.
+    Nothing is looked at more than a minute away, so (person, day) groups with the minutes around midnight are enough. Hops,
+    landings and pages are first reduced to one row per (person, day, brand, second): the windows see at most
+    86,400 rows per group and a little more, however busy a person is. Only landings are dealt out.
     """
-    keys = ["brand", "user_id", "sec"]
-    first_hop = F.struct("host", "url", "session_id", "network", "publisher")
-    no_hop = F.lit(None)
-    hop_rows = hops.select("brand", "user_id", event_second("created_time").alias("sec"), first_hop.alias("hop"),
-                           F.lit(False).alias("landing"), F.lit(False).alias("page"))
-    who = hops.select("brand", "user_id").distinct()
-    hop_type = hop_rows.schema["hop"].dataType
-    landing_rows = landing_clicks.select(
-        "brand", "user_id", event_second("click_time").alias("sec"), no_hop.cast(hop_type).alias("hop"),
-        F.lit(True).alias("landing"), F.lit(False).alias("page"))
-    page_rows = events.where("is_brand_page").select(
-        "brand", "user_id", event_second("created_time").alias("sec"), no_hop.cast(hop_type).alias("hop"),
-        F.lit(False).alias("landing"), F.lit(True).alias("page"))
-    # The filter on persons with a hop comes after the rows have collapsed; the windows need its shuffle anyway.
-    seconds = hop_rows.unionByName(landing_rows).unionByName(page_rows).groupBy(*keys).agg(
-        F.min("hop").alias("hop"), F.bool_or("landing").alias("landing"), F.bool_or("page").alias("page")
-    ).join(who, ["brand", "user_id"], "left_semi")
-
-    w = W.partitionBy("brand", "user_id").orderBy("sec")
-    up_to_previous = w.rowsBetween(W.unboundedPreceding, -1)
+    keys = ["user_id", "day", "brand", "sec"]
+    ids = {c: person_days.schema[c].dataType.simpleString() for c in ("session_id",)}
+    kind = f"brand: string; sec: bigint; own: boolean; hop: struct<host:string,url:string,session_id:{ids['session_id']},network:string,publisher:string>; landing: boolean; page: boolean"
+    yes = F.lit(True)
+    hop = F.struct("host", "url", "session_id", _hop_network().alias("network"), _hop_publisher().alias("publisher"))
+    at = {"sec": F.col("sec"), "own": F.col("own")}
+    landings = landing_clicks.select("user_id", event_second("click_time").alias("sec"), "brand")
+    rows = with_lists(person_days, lists_by_day(landings, "brand"), "left").select(
+        "user_id", "day", F.explode(F.concat(
+            F.array_compact(F.array(
+                F.when(F.col("hop_brand").isNotNull(), row_of(kind, brand=F.col("hop_brand"), hop=hop, **at)),
+                F.when(F.col("is_brand_page"), row_of(kind, brand=F.col("brand"), page=yes, **at)))),
+            F.transform("beside", lambda x: row_of(kind, brand=x["brand"], sec=x["sec"], own=x["own"], landing=yes)))).alias("r"),
+    ).select("user_id", "day", "r.*")
+    seconds = rows.groupBy(*keys, "own").agg(
+        F.min("hop").alias("hop"), F.bool_or("landing").alias("landing"), F.bool_or("page").alias("page"))
+
+    w = W.partitionBy("user_id", "day", "brand").orderBy("sec")
     sec = F.col("sec")
     # Seconds run backwards in the second window, so "next" is again a running aggregate.
-    from_here_on = W.partitionBy("brand", "user_id").orderBy(F.desc("sec")).rowsBetween(W.unboundedPreceding, 0)
+    from_here_on = W.partitionBy("user_id", "day", "brand").orderBy(F.desc("sec")).rowsBetween(W.unboundedPreceding, 0)
     marked = seconds.select(
-        *keys, "hop",
-        F.max(F.when(F.col("hop").isNotNull(), sec)).over(up_to_previous).alias("prev_hop"),
+        *keys, "own", "hop",
+        F.max(F.when(F.col("hop").isNotNull(), sec)).over(w.rowsBetween(W.unboundedPreceding, -1)).alias("prev_hop"),
         F.min(F.when(F.col("landing"), sec)).over(from_here_on).alias("next_landing"),
         F.min(F.when(F.col("page"), sec)).over(from_here_on).alias("next_page"),
-    ).where(F.col("hop").isNotNull())
+    ).where(F.col("hop").isNotNull() & F.col("own"))
 
     def within(col: str):
         return F.coalesce(F.col(col) - sec <= C.HOP_LANDING_S, F.lit(False))

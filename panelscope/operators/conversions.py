@@ -20,17 +20,18 @@ def conversion_events(events: DataFrame) -> DataFrame:
         "brand", "user_id", "created_time", "host", "url")
 
 
-def conversions(conversion_events: DataFrame) -> DataFrame:
-    """One order per brand, person and run of confirmation rows no more than 30 minutes apart."""
-    seconds = (
-        conversion_events.groupBy("brand", "user_id", "created_time").agg(F.min("url").alias("url"))
-        .withColumn("sec", event_second("created_time"))
-    )
-    w = W.partitionBy("brand", "user_id").orderBy("sec")
+def conversions(person_days: DataFrame) -> DataFrame:
+    """One order per brand, person and run of confirmation rows no more than 30 minutes apart.
+
+    A confirmation is an order if none came in the 30 minutes before it, so a (person, day) with the end of the
+    day before is all it takes.
+    """
+    confirmed = person_days.where(F.col("brand").isNotNull()).where(url_path("url").rlike(C.CONVERSION_RE))
+    seconds = confirmed.groupBy("user_id", "day", "brand", "sec", "own").agg(F.min("url").alias("url"))
+    gap = F.col("sec") - F.lag("sec").over(W.partitionBy("user_id", "day", "brand").orderBy("sec"))
     return (
-        seconds.withColumn("gap", F.col("sec") - F.lag("sec").over(w))
-        .where(F.col("gap").isNull() | (F.col("gap") > C.VISIT_GAP_S))
-        .select("brand", "user_id", F.col("created_time").alias("conversion_time"), F.col("url").alias("conversion_url"))
+        seconds.withColumn("gap", gap).where("own").where(F.col("gap").isNull() | (F.col("gap") > C.VISIT_GAP_S))
+        .select("brand", "user_id", second_to_ts("sec").alias("conversion_time"), F.col("url").alias("conversion_url"))
     )
 
 

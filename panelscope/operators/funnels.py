@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from panelscope import config as C
+from panelscope.functions.days import PERSON_DAY, lists_by_day, row_of, with_lists
 from panelscope.functions.exprs import (
     count_where, event_second, host_in, is_cart_path, is_checkout_path, pct, ratio, registered_domain, round_half,
     url_path,
@@ -110,32 +111,32 @@ def journey_order(category_events: DataFrame) -> DataFrame:
     return people.groupBy(pattern.alias("pattern")).agg(F.count("*").alias("users"))
 
 
-def click_stage(us_clicks: DataFrame, events: DataFrame) -> DataFrame:
+def click_stage(us_clicks: DataFrame, person_days: DataFrame) -> DataFrame:
     """Deepest stage the person had reached on the brand's site in the 30 minutes before the click,
     counting only what happened since their previous click for the brand.
 
-    Pages and clicks share one row per (brand, person, second); the latest second of each
-    stage before the click tells whether it falls in the click's own stretch.
+    Pages and clicks share one row per (person, day, brand, second), with the half hour before midnight; the latest second of each
+    stage before the click tells whether it falls in the click's own stretch. Only clicks are dealt out.
     """
     keys = ["brand", "user_id", "sec"]
-    at = us_clicks.select("brand", "user_id", event_second("click_time").alias("sec")).distinct()
-    path = F.col("path")
     stages = ("page", "product", "cart", "checkout")
-    pages = (
-        events.where("is_brand_page")
-        .select("brand", "user_id", event_second("created_time").alias("sec"), url_path("url").alias("path"))
-        .select("brand", "user_id", "sec", F.lit(True).alias("page"),
-                path.rlike(C.PRODUCT_PATH_RE).alias("product"), is_cart_path(path).alias("cart"),
-                is_checkout_path(path).alias("checkout"))
-    )
+    kind = "; ".join(["brand: string", "sec: bigint", "own: boolean", *[f"{c}: boolean" for c in (*stages, "click")]])
+    at = us_clicks.select("brand", "user_id", event_second("click_time").alias("sec")).distinct()
+    path, yes = F.col("path"), F.lit(True)
+    page = row_of(kind, brand=F.col("brand"), sec=F.col("sec"), own=F.col("own"), page=yes, product=path.rlike(C.PRODUCT_PATH_RE),
+                  cart=is_cart_path(path), checkout=is_checkout_path(path))
     seconds = (
-        pages.unionByName(at.withColumn("click", F.lit(True)), allowMissingColumns=True)
-        .groupBy(*keys).agg(*[F.bool_or(c).alias(c) for c in (*stages, "click")])
+        with_lists(person_days, lists_by_day(at, "brand"))
+        .withColumn("path", F.when(F.col("is_brand_page"), url_path("url")))
+        .select(*PERSON_DAY, F.explode(F.concat(
+            F.array_compact(F.array(F.when(F.col("is_brand_page"), page))),
+            F.transform("beside", lambda x: row_of(kind, brand=x["brand"], sec=x["sec"], own=x["own"], click=yes)))).alias("r"))
+        .select(*PERSON_DAY, "r.*").groupBy(*PERSON_DAY, "brand", "sec", "own").agg(*[F.bool_or(c).alias(c) for c in (*stages, "click")])
     )
-    before = W.partitionBy("brand", "user_id").orderBy("sec").rowsBetween(W.unboundedPreceding, -1)
-    latest = seconds.select(*keys, "click", *[
+    before = W.partitionBy(*PERSON_DAY, "brand").orderBy("sec").rowsBetween(W.unboundedPreceding, -1)
+    latest = seconds.select(*keys, "own", "click", *[
         F.max(F.when(F.col(c), F.col("sec"))).over(before).alias(f"last_{c}") for c in (*stages, "click")
-    ]).where(F.col("click"))
+    ]).where(F.col("click") & F.col("own"))
     since = F.greatest(F.col("sec") - C.CONTEXT_BEFORE_S, F.coalesce(F.col("last_click") + 1, F.lit(0)))
     at_second = latest.select(*keys, *[
         F.coalesce(F.col(f"last_{c}") >= since, F.lit(False)).alias(c) for c in stages])

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from panelscope import config as C
+from panelscope.functions.days import PERSON_DAY, lists_by_day, row_of, with_lists
 from panelscope.functions.exprs import event_second, has_affiliate_marker, host_in, url_param, url_path
-from panelscope.functions.joins import keep_members
 
 
 # Facts about a person's second on one host, as bits of a number: for each brand a page without a tag, a cart or
@@ -33,42 +33,47 @@ def _has(facts: Column, place: int) -> Column:
     return facts.bitwiseAND(F.lit(1 << place).cast("long")) != 0
 
 
-def event_facts(events: DataFrame) -> DataFrame:
-    """One row per (person, second, host) with its facts; each expression over host and URL is evaluated once per event."""
+def facts_of_event() -> tuple[dict[str, Column], Column]:
+    """Columns that cut up host and URL, and the facts in terms of them."""
     tagged, path = F.coalesce(has_affiliate_marker("url"), F.lit(False)), url_path("url")
     query = F.when(F.col("host").rlike(C.SEARCH_HOST_RE), F.lower(F.coalesce(url_param(F.col("url"), "q"), url_param(F.col("url"), "p"), F.lit(""))))
-    told = events.select(
-        "user_id", event_second("created_time").alias("sec"), "host", "brand", "is_brand_page", tagged.alias("tagged"),
-        path.rlike(C.CART_OR_CHECKOUT_RE).alias("checkout"), query.alias("query"), host_in("host", C.COUPON_DOMAINS).alias("coupon"))
+    told = {"tagged": tagged, "checkout": path.rlike(C.CART_OR_CHECKOUT_RE), "query": query, "coupon": host_in("host", C.COUPON_DOMAINS)}
     bits = [_bit(F.col("coupon"), COUPON), _bit(F.col("tagged"), TAGGED)]
     for i, b in enumerate(C.BRANDS):
         own = F.col("brand") == b.brand
         bits += [_bit(own & F.col("is_brand_page") & ~F.col("tagged"), PAGE + i), _bit(own & F.col("checkout"), CHECKOUT + i),
                  _bit(F.col("query").rlike(b.search_term_re), SEARCH + i)]
-    facts = reduce(lambda x, y: x.bitwiseOR(y), bits)
-    return told.select("user_id", "sec", "host", "brand", facts.alias("facts")).groupBy("user_id", "sec", "host").agg(
-        F.max("brand").alias("brand"), F.bit_or("facts").alias("facts"))
+    return told, reduce(lambda x, y: x.bitwiseOR(y), bits)
 
 
-def click_context(clicks: DataFrame, events: DataFrame) -> DataFrame:
+def click_context(clicks: DataFrame, person_days: DataFrame) -> DataFrame:
     """Events of the same person from 30 minutes before each click to 2 minutes after it, as indicators.
 
-    Nothing is joined event by click. The persons' seconds and the clicks stand in one line per person; running
-    aggregates over it tell each click the latest second of each kind of event. An advertiser host with a tagged page
-    at second ``s`` counts for clicks from ``s - 120`` to ``s + 120``: its stretches, cut so that they never overlap, are a
-    +1 where they start and a -1 where they have ended, and a running sum is the number of distinct hosts.
-    The line is dealt out once, by person; groups are bounded by the seconds and hosts in the data, not by events.
+    Nothing is joined event by click, and nothing but clicks is dealt out. The seconds and clicks of a (person, day) stand in one
+    line, with what lies within reach beyond midnight; running aggregates over it tell each click the latest second
+    of each kind of event. An advertiser host with a tagged page at second ``s`` counts for clicks from ``s - 120`` to ``s + 120``:
+    its stretches, cut so that they never overlap, are a +1 where they start and a -1 where they have ended, and
+    a running sum is the number of distinct hosts. Days without a click are not read on.
     """
     if len(C.BRANDS) > LANE:
         raise ValueError(f"at most {LANE} brands fit the facts")
-    seconds = event_facts(keep_members(events, clicks.select("user_id").distinct(), "user_id"))
     at = clicks.select("user_id", event_second("click_time").alias("sec"), F.struct("brand", "click_key").alias("click"))
-    line = seconds.unionByName(at, allowMissingColumns=True).repartition("user_id")
+    click_type = at.schema["click"].dataType
+    kind = f"sec: bigint; host: string; brand: string; facts: bigint; click: {click_type.simpleString()}"
+    told, facts = facts_of_event()
+    lists = lists_by_day(at, "click").withColumn("beside", F.filter("beside", lambda x: x["own"])).where(F.size("beside") > 0)
+    line = (
+        with_lists(person_days, lists).withColumns(told)
+        .select(*PERSON_DAY, F.explode(F.concat(
+            F.array(row_of(kind, sec=F.col("sec"), host=F.col("host"), brand=F.col("brand"), facts=facts)),
+            F.transform("beside", lambda x: row_of(kind, sec=x["sec"], click=x["click"])))).alias("r"))
+        .select(*PERSON_DAY, "r.*").groupBy(*PERSON_DAY, "sec", "host", "click").agg(F.max("brand").alias("brand"), F.bit_or("facts").alias("facts"))
+    )
 
     tagged = _has(F.col("facts"), TAGGED)
     # the next tagged page of the same host: the last one met when walking back
     following = F.last(F.when(tagged, F.col("sec")), ignorenulls=True).over(
-        W.partitionBy("user_id", "host").orderBy(F.desc("sec")).rowsBetween(W.unboundedPreceding, -1))
+        W.partitionBy(*PERSON_DAY, "host").orderBy(F.desc("sec")).rowsBetween(W.unboundedPreceding, -1))
     longest = F.col("sec") + (C.BURST_S + 1)
     stop = F.least(longest, F.coalesce(following - C.BURST_S, longest))
     one = F.lit(1).cast("long")
@@ -77,13 +82,13 @@ def click_context(clicks: DataFrame, events: DataFrame) -> DataFrame:
         return F.struct(sec.alias("sec"), host.alias("host"), facts.alias("facts"), click.alias("click"), hosts.alias("hosts"), of.alias("of"))
 
     text, number, brand = F.lit(None).cast("string"), F.lit(None).cast("long"), F.col("brand")
-    no_click = F.lit(None).cast(at.schema["click"].dataType)
+    no_click = F.lit(None).cast(click_type)
     own = step(F.col("sec"), F.col("host"), F.col("facts"), F.col("click"), number, text)
     edges = F.when(tagged, F.array(
         own, step(F.col("sec") - C.BURST_S, text, number, no_click, one, brand), step(F.col("stop"), text, number, no_click, -one, brand))).otherwise(F.array(own))
-    steps = line.withColumn("stop", stop).select("user_id", F.explode(edges).alias("e")).select("user_id", "e.*")
+    steps = line.withColumn("stop", stop).select(*PERSON_DAY, F.explode(edges).alias("e")).select(*PERSON_DAY, "e.*")
 
-    w = W.partitionBy("user_id").orderBy("sec")
+    w = W.partitionBy(*PERSON_DAY).orderBy("sec")
     before, until = w.rangeBetween(W.unboundedPreceding, -1), w.rangeBetween(W.unboundedPreceding, 0)
 
     def latest(place: int, frame) -> Column:
@@ -97,7 +102,7 @@ def click_context(clicks: DataFrame, events: DataFrame) -> DataFrame:
         return out
 
     told = steps.select(
-        "user_id", "sec", "click",
+        "sec", "click",
         F.max(F.when(F.col("host").isNotNull(), F.struct("sec", "host"))).over(before).alias("active"),
         latest(COUPON, until).alias("last_coupon"), F.sum("hosts").over(until).alias("advertisers"),
         *[latest(lane + i, before).alias(f"{name}{i}") for name, lane in (("page", PAGE), ("checkout", CHECKOUT), ("search", SEARCH)) for i in range(len(C.BRANDS))],

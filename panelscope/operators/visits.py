@@ -7,36 +7,41 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from panelscope import config as C
-from panelscope.functions.exprs import event_second, first_match, has_affiliate_marker
+from panelscope.functions.exprs import first_match, has_affiliate_marker, second_to_ts
 
 
-def brand_visits(events: DataFrame) -> DataFrame:
+def brand_visits(person_days: DataFrame) -> DataFrame:
     """Runs of one person's pageviews on a brand's site; a gap of more than 30 minutes starts a new visit.
 
-    Pageviews collapse to one row per second before the window, so one (brand, person)
-    group holds at most 86,400 rows per day whatever its traffic.
+    Pageviews collapse to one row per second, and visits are found within a day: a page starts one if none came
+    in the 30 minutes before it, which may be in the day before. What a day has before its first start goes on from
+    there. Those parts, not events, are then numbered and put together per person.
     """
-    seconds = events.where("is_brand_page").groupBy("brand", "user_id", "created_time").agg(
+    keys = ["user_id", "day", "brand"]
+    seconds = person_days.where("is_brand_page").groupBy(*keys, "sec", "own").agg(
         F.count("*").alias("pageviews"),
         F.min("url").alias("url"),
         F.bool_or(has_affiliate_marker("url")).alias("marked"),
-    ).withColumn("sec", event_second("created_time"))
-    w = W.partitionBy("brand", "user_id").orderBy("sec")
+    )
+    w = W.partitionBy(*keys).orderBy("sec")
     gap = F.col("sec") - F.lag("sec").over(w)
-    starts = F.when(gap <= C.VISIT_GAP_S, 0).otherwise(1)
-    numbered = (
+    starts = F.when(F.col("own") & (gap.isNull() | (gap > C.VISIT_GAP_S)), 1).otherwise(0)
+    parts = (
         seconds.withColumn("starts", starts)
-        .withColumn("visit_no", F.sum("starts").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
+        .withColumn("part", F.sum("starts").over(w.rowsBetween(W.unboundedPreceding, W.currentRow))).where("own")
+        .groupBy(*keys, "part").agg(
+            F.min("sec").alias("first_sec"), F.max("sec").alias("last_sec"), F.sum("pageviews").alias("pageviews"),
+            F.min_by("url", "sec").alias("entry_url"), F.bool_or("marked").alias("marked"))
     )
-    return numbered.groupBy("brand", "user_id", "visit_no").agg(
-        F.min("created_time").alias("visit_start"),
-        F.max("created_time").alias("visit_end"),
-        F.sum("pageviews").alias("pageviews"),
-        F.min_by("url", "sec").alias("entry_url"),
-        F.bool_or("marked").alias("affiliate_anywhere"),
-    ).select(
-        "brand", "user_id", "visit_no", "visit_start", "visit_end", "pageviews", "entry_url",
-        has_affiliate_marker("entry_url").alias("affiliate_entry"), "affiliate_anywhere",
+    over_days = W.partitionBy("brand", "user_id").orderBy("first_sec").rowsBetween(W.unboundedPreceding, W.currentRow)
+    return (
+        parts.withColumn("visit_no", F.sum(F.when(F.col("part") > 0, 1).otherwise(0)).over(over_days))
+        .groupBy("brand", "user_id", "visit_no").agg(
+            F.min("first_sec").alias("first_sec"), F.max("last_sec").alias("last_sec"), F.sum("pageviews").alias("pageviews"),
+            F.min_by("entry_url", "first_sec").alias("entry_url"), F.bool_or("marked").alias("affiliate_anywhere"))
+        .select(
+            "brand", "user_id", "visit_no", second_to_ts("first_sec").alias("visit_start"), second_to_ts("last_sec").alias("visit_end"),
+            "pageviews", "entry_url", has_affiliate_marker("entry_url").alias("affiliate_entry"), "affiliate_anywhere")
     )
 
 

@@ -9,7 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelscope import config as C
-from panelscope.functions.exprs import brand_of_domain, decoded_or_raw, extract, host_in, registered_domain
+from panelscope.functions.days import by_day
+from panelscope.functions.exprs import brand_of_domain, decoded_or_raw, event_second, extract, host_in, registered_domain
 from panelscope.functions.joins import keep_members
 
 _DOMAINS = tuple(b.domain for b in C.BRANDS)
@@ -151,3 +152,12 @@ def brand_user_events(events: DataFrame, alias: DataFrame) -> DataFrame:
         F.coalesce(main_site, F.lit(False)).alias("is_brand_page"),
         brand_of_domain(F.col("e.hop_brand_domain")).alias("hop_brand"),
     )
+
+
+def person_days(events: DataFrame) -> DataFrame:
+    """The working set by (person, day), with the rows around midnight that a day looks at: what windows over events read.
+
+    Stored in buckets of (person, day), so its readers deal no events out again.
+    """
+    return by_day(events.select(
+        "user_id", event_second("created_time").alias("sec"), "session_id", "host", "url", "brand", "is_brand_page", "hop_brand"))

@@ -19,7 +19,8 @@ from panelscope.operators import (
     clicks, conversions, flooding, funnels, incrementality, panel, publisher, quality, scaling, seasonality, signals,
     summary, visits, working_set,
 )
-from panelscope.plans.store import TableStore
+from panelscope.functions.days import PERSON_DAY
+from panelscope.plans.store import Layout, TableStore
 
 
 @dataclass(frozen=True)
@@ -29,17 +30,18 @@ class Table:
     inputs: tuple[str, ...] = ()
     stored: bool = False
     export: bool = False
+    layout: Layout | None = None
 
 
-def _table(step, build, *inputs, stored=False, export=False) -> Table:
-    return Table(step, build, inputs, stored, export)
+def _table(step, build, *inputs, stored=False, export=False, layout=None) -> Table:
+    return Table(step, build, inputs, stored or layout is not None, export, layout)
 
 
 # Inputs that a workspace is given rather than builds.
 SOURCES = ("raw_clicks", "google_trends")
 
 # Intermediate tables that are stored for their readers but are no result of their own.
-INTERNAL = ("shared_events", "us_users", "site_steps", "site_timeline")
+INTERNAL = ("shared_events", "person_days", "us_users", "site_steps", "site_timeline")
 
 TABLES: dict[str, Table] = {
     "dq_profile": _table(2, quality.dq_profile, "raw_clicks", "panel_users", export=True),
@@ -51,24 +53,25 @@ TABLES: dict[str, Table] = {
     "shared_events": _table(3, working_set.shared_events, "brand_user_events_raw", stored=True),
     "user_alias": _table(3, working_set.user_alias, "shared_events", stored=True),
     "brand_user_events": _table(3, working_set.brand_user_events, "brand_user_events_raw", "user_alias", stored=True),
+    "person_days": _table(3, working_set.person_days, "brand_user_events", layout=Layout(PERSON_DAY, (*PERSON_DAY, "sec"))),
 
     "affiliate_landings": _table(4, clicks.affiliate_landings, "brand_user_events"),
     "landing_clicks": _table(4, clicks.landing_clicks, "affiliate_landings", stored=True),
     "affiliate_hops": _table(4, clicks.affiliate_hops, "brand_user_events"),
-    "hop_clicks": _table(4, clicks.hop_clicks, "affiliate_hops", "landing_clicks", "brand_user_events"),
+    "hop_clicks": _table(4, clicks.hop_clicks, "person_days", "landing_clicks"),
     "affiliate_clicks": _table(4, clicks.affiliate_clicks, "landing_clicks", "hop_clicks", stored=True),
 
-    "brand_visits": _table(5, visits.brand_visits, "brand_user_events", stored=True),
+    "brand_visits": _table(5, visits.brand_visits, "person_days", stored=True),
     "brand_visit_sources": _table(5, visits.brand_visit_sources, "brand_visits"),
 
     "conversion_events": _table(6, conversions.conversion_events, "brand_user_events"),
-    "conversions": _table(6, conversions.conversions, "conversion_events", stored=True),
+    "conversions": _table(6, conversions.conversions, "person_days", stored=True),
     "funnel_events": _table(6, conversions.funnel_events, "brand_user_events", stored=True),
     "click_outcomes": _table(6, conversions.click_outcomes, "affiliate_clicks", "conversions", "funnel_events"),
     "brand_funnel": _table(6, conversions.brand_funnel, "brands", "brand_user_events", "funnel_events", "conversions",
                            export=True),
 
-    "click_context": _table(7, signals.click_context, "affiliate_clicks", "brand_user_events"),
+    "click_context": _table(7, signals.click_context, "affiliate_clicks", "person_days"),
     "click_risk": _table(7, signals.click_risk, "affiliate_clicks", "click_context"),
 
     "panel_users": _table(8, scaling.panel_users, "raw_clicks", stored=True),
@@ -114,7 +117,7 @@ TABLES: dict[str, Table] = {
     "brand_funnel_cat": _table(14, funnels.brand_funnel_cat, "category_events", export=True),
     "cross_shopping": _table(14, funnels.cross_shopping, "category_events", export=True),
     "journey_order": _table(14, funnels.journey_order, "category_events", export=True),
-    "click_stage": _table(14, funnels.click_stage, "us_clicks", "brand_user_events", stored=True),
+    "click_stage": _table(14, funnels.click_stage, "us_clicks", "person_days", stored=True),
     "click_funnel_stage": _table(14, funnels.click_funnel_stage, "click_stage", export=True),
 
     "click_flood_behaviour": _table(15, flooding.click_flood_behaviour, "us_clicks", "brand_user_events", export=True),
@@ -177,7 +180,7 @@ class Workspace:
             raise KeyError(f"unknown table {name!r}" if name not in SOURCES else f"this workspace has no {name!r}")
         spec = TABLES[name]
         df = spec.build(*[self.table(i) for i in spec.inputs])
-        return self.store.write(name, df) if spec.stored else df
+        return self.store.write(name, df, spec.layout) if spec.stored else df
 
     def order(self, names: Iterable[str]) -> list[str]:
         """``names`` and all tables they are built from, inputs first. What the store has needs no inputs."""

@@ -10,12 +10,14 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import hashlib
+import json
 import tempfile
 import uuid
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Observation
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -42,6 +44,17 @@ def drop_session_folders() -> None:
             _SESSION_STORES.pop().drop()
 
 
+@dataclass(frozen=True)
+class Layout:
+    """How a table lies in its files: one bucket per hash of ``keys``, sorted within.
+
+    Readers that group, join or order by the keys (and more columns) find equal keys in one task already and deal nothing out again.
+    """
+
+    keys: tuple[str, ...]
+    sort: tuple[str, ...]
+
+
 class TableStore:
     """Parquet tables below one root, with their row counts."""
 
@@ -78,15 +91,44 @@ class TableStore:
             if found != [source]:
                 raise ValueError(f"the tables in {self.root} come from another input: {found}, not {source}")
         else:
-            self.spark.createDataFrame([(source,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.root}/_input")
+            self._note("_input", source)
 
-    def write(self, name: str, df: DataFrame) -> DataFrame:
-        """Write a table and count its rows in the same pass."""
+    def write(self, name: str, df: DataFrame, layout: Layout | None = None) -> DataFrame:
+        """Write a table and count its rows in the same pass. With a layout, it has as many buckets as the session has shuffle partitions."""
         seen = Observation()
-        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(self.path(name))
+        counted = df.observe(seen, F.count(F.lit(1)).alias("rows"))
+        if layout is None:
+            counted.write.mode("overwrite").parquet(self.path(name))
+            self.row_counts[name] = seen.get["rows"]
+            return self.read(name, df.schema)
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.spark.sql(f"DROP TABLE IF EXISTS {self._table(name)}")
+        (
+            counted.repartition(buckets, *layout.keys).write.mode("overwrite").option("path", self.path(name))
+            .bucketBy(buckets, *layout.keys).sortBy(*layout.sort).saveAsTable(self._table(name))
+        )
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+        note = json.dumps({"columns": columns, "keys": layout.keys, "sort": layout.sort, "buckets": buckets})
+        self._note(f"_layouts/{name}", note)
         self.row_counts[name] = seen.get["rows"]
-        return self.read(name, df.schema)
+        return self.spark.table(self._table(name))
 
     def read(self, name: str, schema=None) -> DataFrame:
+        """A table; one with a layout is made known to this session's catalog first."""
+        note, files = self._file(f"{self.root}/_layouts/{name}")
+        if schema is None and files.exists(note):
+            if not self.spark.catalog.tableExists(self._table(name)):
+                x = json.loads(self.spark.read.text(f"{self.root}/_layouts/{name}").first()["value"])
+                self.spark.sql(
+                    f"CREATE TABLE {self._table(name)} ({x['columns']}) USING parquet CLUSTERED BY ({', '.join(x['keys'])}) "
+                    f"SORTED BY ({', '.join(x['sort'])}) INTO {x['buckets']} BUCKETS LOCATION '{self.path(name)}'")
+            return self.spark.table(self._table(name))
         reader = self.spark.read.schema(schema) if schema is not None else self.spark.read
         return reader.parquet(self.path(name))
+
+    def _table(self, name: str) -> str:
+        """The catalog's name of a table with a layout; other roots have other names."""
+        return f"panelscope_{hashlib.md5(self.root.encode()).hexdigest()[:12]}_{name}"
+
+    def _note(self, name: str, text: str) -> None:
+        self.spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.root}/{name}")

@@ -77,9 +77,9 @@ class CountingStore(TableStore):
         super().__init__(spark, root)
         self.writes = Counter()
 
-    def write(self, name, df):
+    def write(self, name, df, layout=None):
         self.writes[name] += 1
-        return super().write(name, df)
+        return super().write(name, df, layout)
 
 
 def test_a_restart_on_an_empty_store_writes_every_table_once(spark, tmp_path):
