@@ -2,36 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelscope import config as C
-from panelscope.functions.exprs import count_where, round_half
-from panelscope.functions.joins import keep_members
+from panelscope.functions.days import DAY_S, PERSON_DAY
+from panelscope.functions.exprs import count_where, event_second, round_half
 from panelscope.operators.summary import pct1, pct2
 
 
-def _per_person(us_clicks: DataFrame, *more: str) -> DataFrame:
+def _per_person(us_clicks: DataFrame, *more: str | Column) -> DataFrame:
     strong, conv = F.col("strong_hijack_signal"), F.col("converted")
     return us_clicks.groupBy("brand", "user_id", *more).agg(
         F.count("*").alias("clicks"), count_where(conv).alias("orders"),
         count_where(strong).alias("strong"), count_where(strong & conv).alias("strong_orders"))
 
 
-def click_flood_behaviour(us_clicks: DataFrame, events: DataFrame) -> DataFrame:
-    """How people browse, by clicks per day."""
-    people = _per_person(us_clicks)
-    browsing = keep_members(events, us_clicks.select("user_id").distinct(), "user_id")
-    sites = browsing.select("user_id", "host").distinct().groupBy("user_id").agg(F.count("*").alias("sites"))
-    hours = (
-        browsing.select("user_id", F.date_trunc("hour", "created_time").alias("hour")).distinct()
-        .groupBy("user_id").agg(F.count("*").alias("active_hours"))
+def click_flood_behaviour(us_clicks: DataFrame, person_days: DataFrame) -> DataFrame:
+    """How people browse, by clicks per day. The unit is a person's day: ``people`` counts days, one per person if the input is one day.
+
+    Sites and active hours of a day come from one pass over the days with a click: a bit per hour and host, then per day.
+    """
+    people = _per_person(us_clicks, F.floor(event_second("click_time") / DAY_S).alias("day"))
+    clicked = people.select(*PERSON_DAY).distinct()
+    hour = F.floor((F.col("sec") - F.col("day") * DAY_S) / 3600).cast("int")
+    browsing = (
+        person_days.where("own").join(clicked, list(PERSON_DAY), "left_semi")
+        .groupBy(*PERSON_DAY, "host").agg(F.bit_or(F.call_function("shiftleft", F.lit(1), hour)).alias("hours"))
+        .groupBy(*PERSON_DAY).agg(F.count("host").alias("sites"), F.bit_count(F.bit_or("hours")).cast("long").alias("active_hours"))
     )
     bucket = F
     for least, label in C.CLICK_BUCKETS[:-1]:
         bucket = bucket.when(F.col("clicks") >= least, label)
     per_hour = round_half(F.col("clicks") / F.greatest("active_hours", F.lit(1)), 1)
-    joined = people.join(sites, "user_id").join(hours, "user_id")
+    joined = people.join(browsing, list(PERSON_DAY))
     return joined.groupBy("brand", bucket.otherwise(C.CLICK_BUCKETS[-1][1]).alias("clicks_per_day")).agg(
         F.count("*").alias("people"),
         F.sum("clicks").alias("clicks"),

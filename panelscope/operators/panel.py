@@ -78,17 +78,16 @@ def coverage_sites(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(C.COVERAGE_SITES), "site string, kind string")
 
 
-def panel_coverage(raw: DataFrame, sites: DataFrame) -> DataFrame:
+def panel_coverage(activity: DataFrame, sites: DataFrame) -> DataFrame:
     """Distinct users of each named site (exact host); sites nobody visited count zero.
 
-    The host filter comes before the shuffle, and users are made distinct before they are
-    counted; the join only sees one row per site.
+    The stored activity has a bit per named site, so a user's sites are one number, and the join only sees one row per site.
     """
-    counts = (
-        raw.where(F.col("host").isin(*[s for s, _ in C.COVERAGE_SITES]))
-        .groupBy("host").agg(F.count_distinct("user_id").alias("panel_users"))
-    )
-    return sites.join(counts.withColumnRenamed("host", "site"), "site", "left").select(
+    users = activity.where(F.col("user_id").isNotNull() & (F.col("sites") != 0)).groupBy("user_id").agg(F.bit_or("sites").alias("sites"))
+    names = F.array_compact(F.array(*[
+        F.when(F.col("sites").bitwiseAND(F.lit(1 << i).cast("long")) != 0, F.lit(site)) for i, (site, _) in enumerate(C.COVERAGE_SITES)]))
+    counts = users.select(F.explode(names).alias("site")).groupBy("site").agg(F.count("*").alias("panel_users"))
+    return sites.join(counts, "site", "left").select(
         "site", "kind", F.coalesce("panel_users", F.lit(0)).alias("panel_users"))
 
 

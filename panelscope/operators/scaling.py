@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelscope import config as C
-from panelscope.functions.exprs import count_where, is_non_us_host, ratio, round_half
+from panelscope.functions.exprs import count_where, ratio, round_half
 
 
 def ordered_sum(x: Column) -> Column:
@@ -14,12 +14,10 @@ def ordered_sum(x: Column) -> Column:
     return F.aggregate(F.array_sort(F.collect_list(x)), F.lit(0.0), lambda a, b: a + b)
 
 
-def panel_users(raw: DataFrame) -> DataFrame:
+def panel_users(activity: DataFrame) -> DataFrame:
     """Events per raw user id and whether the user is in the US (less than 20 % on non-US country domains)."""
-    return raw.groupBy("user_id").agg(
-        F.count("*").alias("events"),
-        count_where(is_non_us_host("host")).alias("non_us_cctld_events"),
-    ).withColumn("is_us", F.col("non_us_cctld_events") * 100 < F.col("events") * C.NON_US_PCT)
+    return activity.groupBy("user_id").agg(F.sum("n").alias("events"), F.sum("non_us").alias("non_us_cctld_events")).withColumn(
+        "is_us", F.col("non_us_cctld_events") * 100 < F.col("events") * C.NON_US_PCT)
 
 
 def us_users(panel_users: DataFrame) -> DataFrame:

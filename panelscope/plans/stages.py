@@ -41,11 +41,12 @@ def _table(step, build, *inputs, stored=False, export=False, layout=None) -> Tab
 SOURCES = ("raw_clicks", "google_trends")
 
 # Intermediate tables that are stored for their readers but are no result of their own.
-INTERNAL = ("shared_events", "person_days", "us_users", "site_steps", "site_timeline")
+INTERNAL = ("activity", "shared_events", "person_days", "us_users", "site_steps", "site_timeline")
 
 TABLES: dict[str, Table] = {
-    "dq_profile": _table(2, quality.dq_profile, "raw_clicks", "panel_users", export=True),
-    "dq_hourly": _table(2, quality.dq_hourly, "raw_clicks", export=True),
+    "activity": _table(2, quality.activity, "raw_clicks", stored=True),
+    "dq_profile": _table(2, quality.dq_profile, "raw_clicks", "activity", "panel_users", export=True),
+    "dq_hourly": _table(2, quality.dq_hourly, "activity", export=True),
 
     "brand_tagging": _table(3, working_set.brand_tagging, "raw_clicks"),
     "brand_users": _table(3, working_set.brand_users, "brand_tagging", stored=True),
@@ -74,7 +75,7 @@ TABLES: dict[str, Table] = {
     "click_context": _table(7, signals.click_context, "affiliate_clicks", "person_days"),
     "click_risk": _table(7, signals.click_risk, "affiliate_clicks", "click_context"),
 
-    "panel_users": _table(8, scaling.panel_users, "raw_clicks", stored=True),
+    "panel_users": _table(8, scaling.panel_users, "activity", stored=True),
     "us_users": _table(8, scaling.us_users, "panel_users"),
     "scaling": _table(8, scaling.scaling, "brand_visits", "panel_users", "brands", "external_benchmarks", stored=True,
                       export=True),
@@ -106,7 +107,7 @@ TABLES: dict[str, Table] = {
 
     "panel_activity": _table(13, panel.panel_activity, "panel_users"),
     "panel_profile": _table(13, panel.panel_profile, "panel_users", "user_alias", "brand_user_events", export=True),
-    "panel_coverage": _table(13, panel.panel_coverage, "raw_clicks", "coverage_sites", export=True),
+    "panel_coverage": _table(13, panel.panel_coverage, "activity", "coverage_sites", export=True),
     "coupon_extension_users": _table(13, panel.coupon_extension_users, "brand_user_events"),
     "hijack_by_segment": _table(13, panel.hijack_by_segment, "us_clicks", "coupon_extension_users", "panel_activity",
                                 export=True),
@@ -120,7 +121,7 @@ TABLES: dict[str, Table] = {
     "click_stage": _table(14, funnels.click_stage, "us_clicks", "person_days", stored=True),
     "click_funnel_stage": _table(14, funnels.click_funnel_stage, "click_stage", export=True),
 
-    "click_flood_behaviour": _table(15, flooding.click_flood_behaviour, "us_clicks", "brand_user_events", export=True),
+    "click_flood_behaviour": _table(15, flooding.click_flood_behaviour, "us_clicks", "person_days", export=True),
     "click_flooding": _table(15, flooding.click_flooding, "us_clicks", "brand_scale", export=True),
     "click_flood_sources": _table(15, flooding.click_flood_sources, "us_clicks", export=True),
 

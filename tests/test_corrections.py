@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 
 from panelscope import config as C
-from panelscope.operators import incrementality, panel, quality, scaling, seasonality, signals
+from panelscope.operators import incrementality, panel, quality, scaling, seasonality
 from panelscope.plans import pipeline
 from panelscope.plans.stages import TABLES, Workspace
 from panelscope.plans.store import TableStore
@@ -54,8 +54,9 @@ def plan_of(df):
 
 def test_distinct_counts_do_not_expand_the_input(spark):
     raw = read_clickstream(spark, SF_DIR)
-    users = scaling.panel_users(raw)
-    assert "Expand" not in plan_of(quality.dq_profile(raw, users))
+    activity = quality.activity(raw)
+    users = scaling.panel_users(activity)
+    assert "Expand" not in plan_of(quality.dq_profile(raw, activity, users))
     events = raw.selectExpr("user_id", "session_id")
     alias = spark.createDataFrame([], "user_id long, person_id long")
     assert "Expand" not in plan_of(panel.panel_profile(users, alias, events))
@@ -65,7 +66,8 @@ def test_profile_of_rows_with_nulls(spark):
     at = dt.datetime(2026, 5, 1)
     rows = [(1, 1, 1, at, "h", "u"), (2, 1, 1, at, "h", "u"), (None, None, None, None, None, None), (3, 2, None, at + dt.timedelta(days=1), "h", "v")]
     raw = spark.createDataFrame(rows, "event_id long, user_id long, session_id long, created_time timestamp_ntz, host string, url string")
-    out = quality.dq_profile(raw, scaling.panel_users(raw)).first().asDict()
+    activity = quality.activity(raw)
+    out = quality.dq_profile(raw, activity, scaling.panel_users(activity)).first().asDict()
     assert {k: out[k] for k in ("rows", "distinct_event_ids", "duplicate_rows", "users", "sessions", "days", "rows_with_nulls")} == {
         "rows": 4, "distinct_event_ids": 3, "duplicate_rows": 1, "users": 2, "sessions": 1, "days": 2, "rows_with_nulls": 2}
 
@@ -125,15 +127,3 @@ def test_trends_cover_the_whole_year(spark):
     rows = [(i, dt.date(y, m, d)) for i, (y, m, d) in enumerate([(1996, 2, 29), (1997, 2, 28), (1995, 1, 1), (1998, 12, 31), (1998, 12, 31), (1998, 12, 31)])]
     out = trends_from_orders(spark.createDataFrame(rows, "o_custkey long, o_orderdate date")).collect()
     assert {r["day"] for r in out} == {dt.date(2026, 2, 28), dt.date(2026, 1, 1), dt.date(2026, 12, 31)}
-
-
-def test_click_context_reads_its_events_once(spark):
-    """At most six exchanges, and one scan of the events."""
-    store = TableStore(spark)
-    events = store.write("events", spark.createDataFrame(
-        [], "event_id long, user_id long, raw_user_id long, session_id long, created_time timestamp_ntz, host string, url string, brand string, is_brand_page boolean, hop_brand string"))
-    clicks = store.write("clicks", spark.createDataFrame([], "brand string, click_key string, user_id long, click_time timestamp_ntz"))
-    plan = plan_of(signals.click_context(clicks, events))
-    exchanges = [line for line in plan.split("\n") if "Exchange" in line and "Reused" not in line]
-    assert len(exchanges) <= 6, plan
-    assert len([line for line in plan.split("\n") if "FileScan" in line and "host" in line]) == 1, plan
