@@ -34,6 +34,8 @@ BLOCK = 16_000_000
 #: Units whose ids a task remembers, and the longest of them.
 UNITS = 200_000
 LONG_UNIT = 60
+#: New units encoded at a time.
+BULK = 200
 #: Links made at a time.
 LINKS = 2_000_000
 #: White space and joiners beyond blank, tab and line feed, which tokenizers may treat in their own ways: such texts are
@@ -101,6 +103,22 @@ class Encoder:
         for ok, x, y in zip(good, *found, strict=True):
             yield (array("I", x).tobytes(), array("I", y).tobytes()) if ok else None
 
+    def _bulk(self, units: list[str]) -> Iterator[tuple[bytes, bytes]] | None:
+        """Ids of units that start with white space and end without, encoded as one text and cut where units meet; nothing if that is not exact."""
+        text = " a" + "".join(units)
+        raw = text.encode()
+        ends = np.cumsum([2, *map(len, map(str.encode, units))])
+        sides = []
+        for side, sizes in zip((self.a, self.b), self.sizes, strict=True):
+            ids = np.asarray(side.encode([text])[0], np.uint32)
+            upto = np.cumsum(sizes[ids])
+            at = np.searchsorted(upto, ends)
+            if len(ids) == 0 or at[-1] != len(ids) - 1 or not np.array_equal(upto[at], ends) or b"".join(map(side.token_bytes.__getitem__, ids.tolist())) != raw:
+                return None
+            sides.append((ids.tobytes(), (4 * (at + 1)).tolist()))
+        (a, i), (b, j) = sides
+        return zip((a[x:y] for x, y in zip(i, i[1:])), (b[x:y] for x, y in zip(j, j[1:])))
+
     def encode(self, texts: list[str]) -> list[tuple[bytes, bytes] | None]:
         out: list[tuple[bytes, bytes] | None] = [None] * len(texts)
         split: dict[int, list[str]] = {}
@@ -115,7 +133,14 @@ class Encoder:
         met = set().union(*split.values())
         known = self.units
         fresh = sorted(met.difference(known))
-        known.update(zip(fresh, self._pairs(fresh) if fresh else (), strict=True))
+        rest = [u for u in fresh if u.isspace()]
+        inner = [u for u in fresh if not u.isspace()]
+        for some in (inner[i:i + BULK] for i in range(0, len(inner), BULK)):
+            if (pairs := self._bulk(some)) is None:
+                rest += some
+            else:
+                known.update(zip(some, pairs, strict=True))
+        known.update(zip(rest, self._pairs(rest) if rest else (), strict=True))
         for i, units in split.items():
             pairs = [known[u] for u in units]
             if None not in pairs:
