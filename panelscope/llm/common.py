@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import os
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -36,10 +37,29 @@ def tasks(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: What this Python worker keeps from task to task, by module: functions that drop it.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def keep_only(module: str) -> None:
+    """Drop what other modules keep: workers are reused, and a pipeline would fill them with the caches of all its stages."""
+    dropped = [KEPT.pop(m) for m in [*KEPT] if m != module]
+    for drop in dropped:
+        drop()
+    if dropped:
+        gc.collect()
+
+
 def map_batches(df: DataFrame, function: Callable, schema: str | StructType) -> DataFrame:
     """``mapInArrow``, with this package on the path of Python workers of this machine; clusters get it by ``--py-files``."""
     environment, root = df.sparkSession.sparkContext.environment, str(Path(__file__).resolve().parents[2])
     path = environment.get("PYTHONPATH", "").split(os.pathsep)
     if root not in path:
         environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, path)])
-    return df.mapInArrow(function, schema)
+    module = function.__module__
+
+    def run(batches: Iterator) -> Iterator:
+        keep_only(module)
+        yield from function(batches)
+
+    return df.mapInArrow(run, schema)

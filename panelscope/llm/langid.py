@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelscope.llm.common import map_batches, whole_text
+from panelscope.llm.common import KEPT, map_batches, whole_text
 
 UNKNOWN = "und"
 #: Symbols are 0 blank, 1 unknown letter, then the letters of the samples, most frequent first. A table is dense in so many of them at
@@ -44,6 +44,7 @@ class LanguageModel:
 
     def tables(self) -> tuple[np.ndarray, list[MoveTable], np.ndarray]:
         """Symbol of each code point, move tables, bits per phrase; built once per worker."""
+        KEPT[__name__] = _TABLES.clear
         if self not in _TABLES:
             _TABLES.clear()
             symbol = symbols_of(self.samples)

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelscope.llm.common import map_batches, stored, whole_text
+from panelscope.llm.common import KEPT, map_batches, stored, whole_text
 
 #: Pieces whose ids a worker remembers, twice: those met lately and those met before.
 PIECE_CACHE = 500_000
@@ -30,8 +30,6 @@ PIECE_CACHE = 500_000
 #: (fixed by its vocabulary file), and the characters beyond those, whose texts take the tokenizer's own way.
 PLAIN_PIECES = re.compile("[\t\n\r ]*([a-z\u00df-\u00f6\u00f8-\u024f]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\t\n\r a-z0-9\u00df-\u00f6\u00f8-\u024f]+)")
 BEYOND = re.compile("[^\t\n\r -~\u00df-\u00f6\u00f8-\u024f]")
-PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
-CONTROLS = re.compile(rb"[\x00-\x1f\x7f]")
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = f"{PIECES}, sequence_id long, offset long"
 
@@ -104,6 +102,7 @@ class WordEncoder:
 
 
 def encoder(path: str, added_tokens: bool) -> WordEncoder:
+    KEPT[__name__] = _ENCODERS.clear
     if (path, added_tokens) not in _ENCODERS:
         _ENCODERS[path, added_tokens] = WordEncoder(path, added_tokens)
     return _ENCODERS[path, added_tokens]

@@ -283,5 +283,7 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def mask_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs``, all columns, with the personal data in the text masked; a null text stays null."""
     model = learn(docs.select(candidates(whole_text(text_col)).alias("candidates")))
-    spans = all_spans(candidates(whole_text(text_col)), model)
-    return docs.withColumn(text_col, F.when(F.col(text_col).isNotNull(), _let(spans, lambda s: masked(F.col(text_col), s))))
+    text = F.col(text_col)
+    # candidates are found once, and so are spans
+    new = _let(candidates(whole_text(text_col)), lambda c: _let(all_spans(c, model), lambda s: masked(text, s)))
+    return docs.withColumn(text_col, F.when(text.isNotNull(), new))

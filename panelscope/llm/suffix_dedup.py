@@ -5,6 +5,8 @@ that order small and spread out.
 
 1. Every window of ``span`` bytes has a key, the least hash of the grams inside it, so equal windows have equal keys. Keys
    that only one document has cannot repeat; all others go back to their documents.
+   A key that very many documents share (windows at the edges of a frequent passage) stands for many different windows; windows
+   of such hot keys go by a hash of their own bytes instead, which no longer repeats unless the window does.
 2. A document (of copies one) cuts out its contexts: stretches of windows that share a repeated key. Equal contexts that meet are
    settled at once by the smallest id; the rest are dealt out by key.
 3. The contexts of a task are cut into shards. Each shard is sorted by itself into a Burrows-Wheeler
@@ -39,6 +41,10 @@ HELD = 12_000_000
 MERGED = 150_000
 #: Symbols of a shard.
 SHARD = 1 << 14
+#: Documents whose keys are looked at to find the hot ones, one in so many; it decides how windows are dealt out, not what is found.
+LOOKED_AT = 16
+#: Rows handled at a time.
+ROWS = 50_000
 BASE = 0x9E3779B97F4A7C15
 NO_ID = np.iinfo(np.int64).max
 
@@ -74,13 +80,16 @@ def window_keys(data: np.ndarray, span: int, gram: int) -> np.ndarray:
     return np.minimum(least[: len(least) - more], least[more:]) if more else least
 
 
-def runs(texts: list[bytes], span: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Stretches of windows with one key: text, first byte in the text, number of windows, key."""
+def runs(texts: list[bytes], span: int, gram: int, hot: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches of windows with one key: text, first byte in the text, number of windows, key. Windows of a hot key have their own hash as key."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     data = np.frombuffer(b"".join(texts), np.uint8)
     if len(data) < span:
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
     keys = window_keys(data, span, gram)
+    if hot is not None and len(hot):
+        split = hot[np.minimum(np.searchsorted(hot, keys), len(hot) - 1)] == keys
+        keys = np.where(split, gram_hashes(data, span), keys)
     begin = np.cumsum(sizes) - sizes
     doc = np.repeat(np.arange(len(texts)), sizes)[: len(keys)]
     inside = np.arange(len(keys)) + span <= (begin + sizes)[doc]
@@ -119,17 +128,48 @@ def by_value(owner: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, pa.Arra
     return owner[order][edges[:-1]], packed(values[order], edges)
 
 
+# -- hot keys -----------------------------------------------------------------------------------------
+
+
+def keys_of(span: int, gram: int):
+    """Batches of (text) to the keys of each chunk of texts with the number of texts that have it, if that is more than a few."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, part in chunks([t.as_py() for t in batch.column(0)]):
+                doc, _, _, key = runs(part, span, gram)
+                order = np.lexsort((doc, key))
+                doc, key = doc[order], key[order]
+                fresh = np.ones(len(key), bool)
+                fresh[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
+                found, count = np.unique(key[fresh], return_counts=True)
+                some = count > 1
+                yield pa.RecordBatch.from_arrays([pa.array(found[some].astype(np.int64)), pa.array(count[some])], names=["key", "n"])
+
+    return run
+
+
+def hot_keys(rows: DataFrame, buckets: int, span: int, gram: int, looked_at: int = LOOKED_AT) -> np.ndarray:
+    """Keys that more than a ``buckets``-th of the different texts looked at have: at most ``buckets`` times the keys of a mean text."""
+    # copies of a text are one: they have one context
+    some = rows.where(F.pmod("uid", F.lit(looked_at)) == 0).dropDuplicates(["uid"]).select("text")
+    texts = rows.where(F.pmod("uid", F.lit(looked_at)) == 0).select("uid").distinct().count()
+    counts = map_batches(some, keys_of(span, gram), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    least = max(8, -(-texts // buckets))
+    return np.sort(np.asarray([r["key"] for r in counts.where(F.col("n") > least).select("key").collect()], np.uint64))
+
+
 # -- step 1: keys that several documents have ----------------------------------------------------------
 
 
-def send_keys(buckets: int, span: int, gram: int):
+def send_keys(buckets: int, span: int, gram: int, hot: np.ndarray | None = None):
     """Batches of (uid, id, text) to key blocks per bucket; keys that repeat inside the batch also go straight to their documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             uid = batch.column(0).to_numpy()
             texts = [t.as_py() for t in batch.column(2)]
-            found = [(doc + first, key) for first, part in chunks(texts) for doc, _, _, key in [runs(part, span, gram)]]
+            found = [(doc + first, key) for first, part in chunks(texts) for doc, _, _, key in [runs(part, span, gram, hot)]]
             if not found:
                 continue
             names, number = np.unique(uid, return_inverse=True)
@@ -198,22 +238,32 @@ BLOCK_KIND = "bucket int, uid long, ranges binary, uids binary, ids binary, of_t
 
 
 def parts_of(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
-    """Consecutive rows of about HELD bytes of text."""
+    """Consecutive rows of about HELD bytes of text, at most ROWS."""
     for batch in batches:
         ends = np.cumsum(pa.compute.binary_length(batch.column(column)).to_numpy(zero_copy_only=False))
         first = 0
         while first < batch.num_rows:
-            stop = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + HELD, side="right")))
+            stop = max(first + 1, min(first + ROWS, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + HELD, side="right"))))
             yield batch.slice(first, stop - first)
             first = stop
 
 
 def settled_rows(uid: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, pa.Array]:
-    """Ranges by document."""
-    return by_value(uid, np.column_stack([low, high]).astype(np.int64).view("V16").ravel())
-
-
-def send_contexts(buckets: int, span: int, gram: int):
+    """Ranges by document; those that overlap or touch are one."""
+    order = np.lexsort((low, uid))
+    uid, low, high = uid[order], low[order], high[order]
+    _, number = np.unique(uid, return_inverse=True)
+    far = int(high.max(initial=0)) + 1
+    reach = np.maximum.accumulate(high + number * far)  # texts one behind the other, so that none reaches into the next
+    new = np.ones(len(uid), bool)
+    new[1:] = (low + number * far)[1:] > reach[:-1]
+    new[1:] |= uid[1:] != uid[:-1]
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(uid)) - 1
+    return by_value(uid[first], np.column_stack([low[first], reach[last] - number[last] * far]).astype(np.int64).view("V16").ravel())
+
+
+def send_contexts(buckets: int, span: int, gram: int, hot: np.ndarray | None = None):
     """Batches of (uid, id, text, keys) to blocks of contexts per bucket, and ranges that are settled already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,7 +276,7 @@ def send_contexts(buckets: int, span: int, gram: int):
             number: dict[bytes, int] = {}
             which, found = [], []
             for first, part in chunks(texts):
-                doc, start, count, key = runs(part, span, gram)
+                doc, start, count, key = runs(part, span, gram, hot)
                 doc = doc + first
                 mark = (doc.astype(np.uint64) << np.uint64(48)) | key
                 at = np.searchsorted(known, mark)
@@ -455,7 +505,9 @@ def left_over(batch: pa.RecordBatch, span: int) -> list[pa.Array]:
     return [batch.column(0), *[pa.array(r, pa.int64()) for r in rows[:3]], pa.array(digest, pa.string()), pa.array(rows[3], pa.binary())]
 
 
-def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, span: int = SPAN, gram: int = GRAM, looked_at: int = LOOKED_AT, id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept_sha256 and ``kept`` (the remaining bytes) of every row.
 
     A byte goes if a ``span``-byte string that covers it also starts in a document with a smaller id. Texts are whole, as UTF-8 bytes; a null
@@ -468,13 +520,14 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, id_col:
     number = F.coalesce(F.col(id_col).cast("long"), F.lit(int(NO_ID)))
     rows = docs.select(F.xxhash64(text, F.octet_length(text)).alias("uid"), number.alias("id"), text.alias("text"))
     buckets = tasks(docs)
-    sent = map_batches(rows, send_keys(buckets, span, gram), "bucket int, uid long, keys binary, docs binary, uids binary")
+    hot = hot_keys(rows, buckets, span, gram, looked_at)
+    sent = map_batches(rows, send_keys(buckets, span, gram, hot), "bucket int, uid long, keys binary, docs binary, uids binary")
     again = map_batches(sent.repartition(buckets, "bucket"), repeated_keys, "uid long, keys binary")
     # copies of one text have one uid: the smallest id stands for all of them
     least = rows.groupBy("uid").agg(F.min("id").alias("least"))
     wanted = again.groupBy("uid").agg(F.collect_list("keys").alias("keys")).join(least, "uid")
     # "<=" is "=" here, but leaves uid the only join key, so both joins with the texts share one exchange
-    contexts = map_batches(rows.join(wanted, "uid").where("id <= least").select("uid", "id", "text", "keys"), send_contexts(buckets, span, gram), BLOCK_KIND)
+    contexts = map_batches(rows.join(wanted, "uid").where("id <= least").select("uid", "id", "text", "keys"), send_contexts(buckets, span, gram, hot), BLOCK_KIND)
     ranges = map_batches(contexts.repartition(buckets, "bucket"), settle_contexts(span), "uid long, ranges binary")
     gone = least.join(ranges.groupBy("uid").agg(F.collect_list("ranges").alias("ranges")), "uid", "left")
     left = rows.join(gone, "uid").select("id", "text", "least", "ranges")
