@@ -32,14 +32,15 @@ TOKENS = re.compile(rb"[.,;:!?\x0a-\x0d]|[^\x20\x09.,;:!?\x0a-\x0d]+")
 BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
 #: Bytes of text counted at a time, sequences all tries of a task hold, words it numbers, sequences of a container.
 AT_ONCE = 2_000_000
-HELD = 400_000
+HELD = 700_000
 WORDS = 300_000
 BURST = 16_384
 #: Bits that tell frequent words or pairs.
 FILTER_BITS = 1 << 26
 RUNS = "part int, lang string, phrases string, counts string"
-#: Parts per shuffle partition, and the share of all words from which on a first word's phrases are split.
-PARTS = 4
+#: Parts of runs (more, if the session has more than half as many shuffle partitions), and the share of all words from which on
+#: a first word's phrases are split.
+PARTS = 4096
 HOT = 1000
 
 
@@ -76,7 +77,11 @@ class HatTrie:
         """Add keys, sorted by their first word, below a node; the node bursts if it gets too large."""
         if type(node) is not Branch:
             before = len(node)
-            node.update(keys)
+            if len(keys) > 8:
+                node.update(keys)
+            else:
+                for key in keys:
+                    node[key] = node.get(key, 0) + 1
             if len(node) > self.burst and words > 1:
                 parent[step] = self.burst_open(node)
             return len(node) - before
@@ -206,7 +211,7 @@ class PhraseCounter:
         """Sorted runs of whole subtrees, largest first, until at most ``keep`` sequences are left; words leave all at once."""
         names = pa.array(self.names, pa.binary())
         rank = np.empty(len(self.names), np.int64)
-        rank[sorted(range(len(rank)), key=self.names.__getitem__)] = np.arange(len(rank))
+        rank[pc.sort_indices(names).to_numpy()] = np.arange(len(rank))
         for lang, counts in self.word_counts.items():
             if len(own := np.flatnonzero(counts)):
                 yield self.run(lang, own[:, None], counts[own], names, rank)
@@ -228,7 +233,12 @@ class PhraseCounter:
             hot = np.fromiter((w in self.hot for w in self.names), bool, len(self.names))[ids[:, 0]]
             part = np.where(hot, mix(part ^ self.hash[ids[:, 1]]), part)
         part = (part % np.uint64(self.runs)).astype(np.int64)
-        order = np.lexsort((*rank[ids].T[::-1], part))
+        first, *more = rank[ids].T
+        if more and len(self.names) < 1 << 24 and self.runs <= 1 << 15:  # part and two words fit a number
+            first, more = first << 24 | more[0], more[1:]
+            order = np.argsort(part << 48 | first, kind="stable") if not more else np.lexsort((*more[::-1], part << 48 | first))
+        else:
+            order = np.lexsort((*more[::-1], first, part))
         words = [names.take(pa.array(column)) for column in ids[order].T]
         phrase = words[0] if len(words) == 1 else pc.binary_join_element_wise(*words, b" ")
         ends = np.flatnonzero(np.diff(part[order], append=-1)) + 1
@@ -240,7 +250,7 @@ class PhraseCounter:
 
 def count_phrases(texts: DataFrame, lengths: range, part: int, bitmap: bytes | None, hot: frozenset[bytes], bits: int) -> DataFrame:
     """part, lang, phrase and exact count ``n`` of all phrases whose parts may be frequent."""
-    parts = PARTS * tasks(texts)
+    parts = max(PARTS, 2 * tasks(texts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None if bitmap is None else np.frombuffer(zlib.decompress(bitmap), np.uint8)
