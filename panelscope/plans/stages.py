@@ -10,16 +10,19 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass
+from datetime import date
 from threading import RLock
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from panelscope.operators import (
     clicks, conversions, flooding, funnels, incrementality, panel, publisher, quality, scaling, seasonality, signals,
     summary, visits, working_set,
 )
 from panelscope.functions.days import PERSON_DAY
+from panelscope.plans.fingerprint import digest, of_function
 from panelscope.plans.store import Layout, TableStore
 
 
@@ -31,10 +34,12 @@ class Table:
     stored: bool = False
     export: bool = False
     layout: Layout | None = None
+    #: Rows of a day come from raw events of that day only, so that single days can be built anew.
+    by_day: bool = False
 
 
-def _table(step, build, *inputs, stored=False, export=False, layout=None) -> Table:
-    return Table(step, build, inputs, stored or layout is not None, export, layout)
+def _table(step, build, *inputs, stored=False, export=False, layout=None, by_day=False) -> Table:
+    return Table(step, build, inputs, stored or by_day or layout is not None, export, layout, by_day)
 
 
 # Inputs that a workspace is given rather than builds.
@@ -44,7 +49,7 @@ SOURCES = ("raw_clicks", "google_trends")
 INTERNAL = ("activity", "shared_events", "person_days", "us_users", "site_steps", "site_timeline")
 
 TABLES: dict[str, Table] = {
-    "activity": _table(2, quality.activity, "raw_clicks", stored=True),
+    "activity": _table(2, quality.activity, "raw_clicks", by_day=True),
     "dq_profile": _table(2, quality.dq_profile, "raw_clicks", "activity", "panel_users", export=True),
     "dq_hourly": _table(2, quality.dq_hourly, "activity", export=True),
 
@@ -148,16 +153,37 @@ class Workspace:
     """All tables of one input, built on demand."""
 
     def __init__(self, spark: SparkSession, raw_clicks: DataFrame, google_trends: DataFrame | None = None,
-                 store: TableStore | None = None, first_step: int = 0):
-        """``first_step``: stored tables of earlier steps are read from the store when it has them."""
+                 store: TableStore | None = None, first_step: int = 0, days: tuple[date, date] | None = None,
+                 sources: dict[str, str] | None = None):
+        """``first_step``: stored tables of earlier steps are read from the store when it has them.
+
+        ``days``: the raw input has a column ``day``, and of tables by day only these days are built, if the store has the others.
+        ``sources``: a text per source that changes with it. With these, stored tables count only if they were made of the
+        same sources, code and parameters.
+        """
         self.spark = spark
         self.store = store or TableStore(spark)
-        self.first_step = first_step
+        self.first_step, self.days, self.sources = first_step, days, sources
         self._lock, self._locks = RLock(), {}
-        self._ready: dict[str, DataFrame] = {"raw_clicks": raw_clicks}
+        self._fingerprints: dict[str, str] = {}
+        self._raw_by_day = raw_clicks if days else None
+        self._ready: dict[str, DataFrame] = {"raw_clicks": raw_clicks.drop("day") if days else raw_clicks}
         if google_trends is not None:
             self._ready["google_trends"] = google_trends
 
+    def fingerprint(self, name: str) -> str:
+        """What a table would be made of now."""
+        if name not in self._fingerprints:
+            if name in TABLES:
+                spec = TABLES[name]
+                text = digest(of_function(spec.build), repr(spec.layout), *[self.fingerprint(i) for i in spec.inputs])
+            elif name in DIMENSIONS:
+                text = of_function(DIMENSIONS[name])
+            else:
+                text = (self.sources or {}).get(name, "")
+            self._fingerprints[name] = digest(name, text)
+        return self._fingerprints[name]
+
     def table(self, name: str) -> DataFrame:
         """A table; whoever asks first builds it, others wait."""
         with self._lock:
@@ -173,15 +199,32 @@ class Workspace:
             return self._ready[name]
 
     def _kept(self, name: str) -> bool:
-        """Whether the store has the table from an earlier run."""
-        return name in TABLES and TABLES[name].step < self.first_step and self.store.exists(name)
+        """Whether the store has the table from an earlier run, made of what it would be made of now."""
+        if name not in TABLES or TABLES[name].step >= self.first_step or not self.store.exists(name):
+            return False
+        return self.sources is None or self.store.noted("fingerprints", name) == self.fingerprint(name)
 
     def build(self, name: str) -> DataFrame:
         if name not in TABLES:
             raise KeyError(f"unknown table {name!r}" if name not in SOURCES else f"this workspace has no {name!r}")
         spec = TABLES[name]
-        df = spec.build(*[self.table(i) for i in spec.inputs])
-        return self.store.write(name, df, spec.layout) if spec.stored else df
+        if not spec.stored:
+            return spec.build(*[self.table(i) for i in spec.inputs])
+        if spec.by_day:
+            days = self.days if self.days and self.store.exists(name) else None
+            inputs = [self.raw_of(days) if i == "raw_clicks" else self.table(i) for i in spec.inputs]
+            df = self.store.write_days(name, spec.build(*inputs), days)
+        else:
+            df = self.store.write(name, spec.build(*[self.table(i) for i in spec.inputs]), spec.layout)
+        if self.sources is not None:
+            self.store.note("fingerprints", name, self.fingerprint(name))
+        return df
+
+    def raw_of(self, days: tuple[date, date] | None) -> DataFrame:
+        """The raw events of some days; the files of others are not read."""
+        if days is None:
+            return self.table("raw_clicks")
+        return self._raw_by_day.where(F.col("day").between(F.lit(days[0]), F.lit(days[1]))).drop("day")
 
     def order(self, names: Iterable[str]) -> list[str]:
         """``names`` and all tables they are built from, inputs first. What the store has needs no inputs."""

@@ -15,6 +15,7 @@ import json
 import tempfile
 import uuid
 from dataclasses import dataclass
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -113,6 +114,41 @@ class TableStore:
         self.row_counts[name] = seen.get["rows"]
         return self.spark.table(self._table(name))
 
+    def write_days(self, name: str, df: DataFrame, days: tuple[date, date] | None = None) -> DataFrame:
+        """Write a table with a partition per value of its column ``day``. With ``days`` (first, last) only those are replaced.
+
+        A day of which ``df`` has no rows any more is taken away; a write that fails leaves the days as they were.
+        """
+        seen = Observation()
+        counted = df.observe(seen, F.count(F.lit(1)).alias("rows"), F.collect_set(F.col("day").cast("string")).alias("found"))
+        mode = "static" if days is None else "dynamic"
+        counted.write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy("day").parquet(self.path(name))
+        self.row_counts[name] = seen.get["rows"]
+        found = set(seen.get["found"])
+        at, last = days or (date.max, date.min)
+        while at <= last:
+            if str(at) not in found:
+                gone, files = self._file(f"{self.path(name)}/day={at}")
+                files.delete(gone, True)
+            at += timedelta(days=1)
+        return self.read(name, df.schema)
+
+    def files_of(self, name: str) -> str:
+        """Names of all files of a table: any write changes them."""
+        path, files = self._file(self.path(name))
+        found, every = [], files.listFiles(path, True)
+        while every.hasNext():
+            found.append(every.next().getPath().toString())
+        return "\n".join(sorted(f for f in found if f.endswith(".parquet")))
+
+    def noted(self, kind: str, name: str) -> str | None:
+        """What was noted on a table."""
+        note, files = self._file(f"{self.root}/_{kind}/{name}/_SUCCESS")
+        return self.spark.read.text(f"{self.root}/_{kind}/{name}").first()["value"] if files.exists(note) else None
+
+    def note(self, kind: str, name: str, text: str) -> None:
+        self._note(f"_{kind}/{name}", text)
+
     def read(self, name: str, schema=None) -> DataFrame:
         """A table; one with a layout is made known to this session's catalog first."""
         note, files = self._file(f"{self.root}/_layouts/{name}")
