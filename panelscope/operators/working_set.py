@@ -17,8 +17,11 @@ _DOMAINS = tuple(b.domain for b in C.BRANDS)
 _HOP_TARGET_RE = r"\b(" + "|".join(re.escape(d) for d in _DOMAINS) + r")\b"
 _TOKEN = ["created_time", "url"]
 
-# Ids of an event that are paired in one group.
+# Ids of an event that meet its first ids in one group.
 PAIR_BLOCK = 500
+# Ids of an event that are met in the first and second round of the search for mirrored ids.
+NEAR = 64
+FAR = 4096
 
 
 def brands(spark: SparkSession) -> DataFrame:
@@ -80,54 +83,70 @@ def shared_events(events: DataFrame) -> DataFrame:
     return shared.join(eligible, "user_id", "left_semi")
 
 
-def user_alias(shared: DataFrame) -> DataFrame:
-    """Mirrored ids: ``user_id`` -> ``person_id``, the smallest id it shares three or more events with.
-
-    One step only: the person id may itself be an alias of a third id.
+def _searched(shared: DataFrame, wanted: DataFrame, first: int | None, rare_only: bool) -> DataFrame:
+    """One round of the search for the smallest partner of the ids ``wanted`` (user_id, best, tried).
 
-    * The smallest id of an event is known from its aggregate; three events with the same smallest id
-      link an id to it. Nothing but a still smaller id can do better, so of an id that is settled so, only
-      events whose smallest id is lower stay open. Groups of copies are settled here without a pair.
-    * Of three events that two ids share, the rarest is outside the two most frequent events of either. So ids are
-      paired inside events other than their own two most frequent ones, and a pair with too few such
-      events is completed by looking those (at most four) up.
-    * An event seen by many ids is paired block by block: a block of its ids meets each other block in
-      a group of its own, so the pairs of one event are spread over as many groups.
+    Only the ``first`` smallest ids of each event are met (all, if not given), so a round costs at most so many candidates per
+    id and event. Up to the last id met in the fullest of its events (``tried``), an id has seen all shared events of all
+    candidates: a partner up to there is the smallest, and a later one only the ``best`` so far. An id is ``open`` while smaller
+    partners than the best may follow. With ``rare_only`` an id meets candidates in all but its two most frequent events, where
+    every partner must show up, and looks up in those two only whom it has met.
     """
     need = C.MIRROR_MIN_SHARED
-    rarer = W.partitionBy("user_id").orderBy(F.desc("seen_by"), *_TOKEN)
-    ranked = shared.withColumn("nth", F.row_number().over(rarer))
-
-    by_head = (
-        shared.where("head < user_id").groupBy("user_id", "head").agg(F.count("*").alias("n"))
-        .where(F.col("n") >= need)
-        .groupBy("user_id").agg(F.min("head").alias("best"))
-    )
+    mine = shared.join(wanted, "user_id")
+    if rare_only:
+        mine = mine.withColumn("nth", F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("seen_by"), *_TOKEN)))
+        top, mine = mine.where(F.col("nth") < need), mine.where(F.col("nth") >= need)
+    met = shared.select(F.col("user_id").alias("a"), *_TOKEN, "seen_by")
+    if first is not None:
+        met = met.withColumn("k", F.row_number().over(W.partitionBy(*_TOKEN).orderBy("a"))).where(F.col("k") <= first)
+    # a frequent event is met block by block: each block of the ids that search it meets its first ids in a group of its own
     blocks = F.ceil(F.col("seen_by") / PAIR_BLOCK)
-    own, all_blocks = F.pmod(F.xxhash64("user_id"), blocks), F.sequence(F.lit(0).cast("long"), blocks - 1)
-    tail = ranked.where(F.col("nth") >= need).withColumn("own", own)
-    left = tail.select(F.col("user_id").alias("a"), *_TOKEN, F.col("own").alias("i"), F.explode(all_blocks).alias("j"))
-    right = (
-        tail.join(by_head, "user_id", "left").withColumn("limit", F.coalesce("best", "user_id")).where("head < limit")
-        .select(F.col("user_id").alias("b"), "limit", *_TOKEN, F.explode(all_blocks).alias("i"), F.col("own").alias("j"))
-    )
-    pairs = left.join(right, [*_TOKEN, "i", "j"]).where("a < limit").groupBy("a", "b").agg(F.count("*").alias("n"))
-
-    token = F.struct(*_TOKEN)
-    top = ranked.where(F.col("nth") < need).groupBy("user_id").agg(F.collect_list(token).alias("top"))
-    top_of = lambda c: top.select(F.col("user_id").alias(c), F.col("top").alias(f"top_{c}"))
-    seen_by = lambda c: shared.select(F.col("user_id").alias(c), *_TOKEN)
-    completed = (
-        pairs.where(F.col("n") < need).join(top_of("a"), "a").join(top_of("b"), "b")
-        .select("a", "b", "n", F.explode(F.array_union("top_a", "top_b")).alias("t")).select("a", "b", "n", "t.*")
-        .join(seen_by("a"), ["a", *_TOKEN], "left_semi").join(seen_by("b"), ["b", *_TOKEN], "left_semi")
-        .groupBy("a", "b").agg((F.first("n") + F.count("*")).alias("n"))
+    met = met.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).drop("seen_by")
+    mine = mine.withColumn("block", F.pmod(F.xxhash64("user_id"), blocks))
+    limit = F.coalesce("best", "user_id")
+    pairs = (
+        mine.join(met, [*_TOKEN, "block"]).where((F.col("a") < limit) & (F.col("tried").isNull() | (F.col("a") > F.col("tried"))))
+        .groupBy("user_id", "a").agg(F.count("*").alias("n"))
     )
-    links = (
-        pairs.unionByName(completed).where(F.col("n") >= need).select("a", "b")
-        .unionByName(by_head.select(F.col("best").alias("a"), F.col("user_id").alias("b")))
-    )
-    return links.groupBy(F.col("b").alias("user_id")).agg(F.min("a").alias("person_id"))
+    if rare_only:
+        rest = (
+            pairs.where(F.col("n") < need).join(top.select("user_id", *_TOKEN), "user_id")
+            .join(shared.select(F.col("user_id").alias("a"), *_TOKEN), ["a", *_TOKEN]).groupBy("user_id", "a").agg(F.count("*").alias("more"))
+        )
+        pairs = pairs.join(rest, ["user_id", "a"], "left").withColumn("n", F.col("n") + F.coalesce("more", F.lit(0)))
+    found = pairs.where(F.col("n") >= need).groupBy("user_id").agg(F.min("a").alias("found"))
+    out = wanted.select("user_id", "best").join(found, "user_id", "left").withColumn("best", F.coalesce("found", "best"))
+    if first is None:
+        return out.select("user_id", "best", F.lit(None).cast(out.schema["user_id"].dataType).alias("tried"), F.lit(False).alias("open"))
+    last = shared.where(F.col("seen_by") > first).select("user_id", *_TOKEN).withColumn(
+        "k", F.row_number().over(W.partitionBy(*_TOKEN).orderBy("user_id"))).where(F.col("k") == first).select(*_TOKEN, F.col("user_id").alias("last"))
+    tried = mine.join(last, _TOKEN).groupBy("user_id").agg(F.min("last").alias("tried"))
+    return out.join(tried, "user_id", "left").select(
+        "user_id", "best", "tried", F.coalesce(F.col("tried") < F.coalesce("best", "user_id"), F.lit(False)).alias("open"))
+
+
+def alias_near(shared: DataFrame) -> DataFrame:
+    """First round: the smallest ids of each event. Ids whose events are all small are done, with or without a partner."""
+    kind = shared.schema["user_id"].dataType
+    everyone = shared.select("user_id").distinct().select("user_id", F.lit(None).cast(kind).alias("best"), F.lit(None).cast(kind).alias("tried"))
+    return _searched(shared, everyone, NEAR, rare_only=False)
+
+
+def alias_far(shared: DataFrame, alias_near: DataFrame) -> DataFrame:
+    """Second round, for the ids still open: many more ids of each event, but none of their own two most frequent events."""
+    return _searched(shared, alias_near.where("open").drop("open"), FAR, rare_only=True)
+
+
+def user_alias(shared: DataFrame, alias_near: DataFrame, alias_far: DataFrame) -> DataFrame:
+    """Mirrored ids: ``user_id`` -> ``person_id``, the smallest id it shares three or more events with.
+
+    One step only: the person id may itself be an alias of a third id. Candidates are met in ascending order, in rounds (see
+    ``_searched``), and an id leaves the search with its smallest partner. The last round meets all that is left.
+    """
+    rest = _searched(shared, alias_far.where("open").drop("open"), None, rare_only=True)
+    done = alias_near.where("NOT open").unionByName(alias_far.where("NOT open")).unionByName(rest)
+    return done.where(F.col("best").isNotNull()).select("user_id", F.col("best").alias("person_id"))
 
 
 def brand_user_events(events: DataFrame, alias: DataFrame) -> DataFrame:

@@ -39,14 +39,24 @@ def mirror_rows(seed):
     return [(i, u, day + dt.timedelta(seconds=s), url) for i, (u, s, url) in enumerate(sorted(keys))]
 
 
-@pytest.mark.parametrize("seed, block", [(1, 3), (1, 1000), (2, 7), (3, 500)])
-def test_user_alias(spark, seed, block, monkeypatch):
-    monkeypatch.setattr(working_set, "PAIR_BLOCK", block)
+def alias_of(spark, rows):
+    """The three rounds, each written and read again, and how many ids each left open."""
+    store = TableStore(spark)
+    shared = store.write("shared", working_set.shared_events(rows))
+    near = store.write("near", working_set.alias_near(shared))
+    far = store.write("far", working_set.alias_far(shared, near))
+    return working_set.user_alias(shared, near, far), near.where("open").count(), far.where("open").count()
+
+
+@pytest.mark.parametrize("seed, block, first, second", [(1, 3, 64, 4096), (1, 1000, 1, 2), (2, 7, 2, 5), (3, 500, 4, 9), (4, 5, 3, 4096)])
+def test_user_alias(spark, seed, block, first, second, monkeypatch):
+    for name, value in (("PAIR_BLOCK", block), ("NEAR", first), ("FAR", second)):
+        monkeypatch.setattr(working_set, name, value)
     rows = mirror_rows(seed)
-    shared = TableStore(spark).write("shared", working_set.shared_events(spark.createDataFrame(rows, EVENTS)))
-    got = {r["user_id"]: r["person_id"] for r in working_set.user_alias(shared).collect()}
+    alias, near, far = alias_of(spark, spark.createDataFrame(rows, EVENTS))
+    got = {r["user_id"]: r["person_id"] for r in alias.collect()}
     assert got == mirrors_by_hand(rows)
-    assert len(got) > 5
+    assert len(got) > 5 and (near > 5 if first < 5 else near == 0) and (far > 0 if second < 5 else True)
 
 
 def test_one_event_of_many_ids_costs_no_pairs(spark):
@@ -56,9 +66,18 @@ def test_one_event_of_many_ids_costs_no_pairs(spark):
     more = spark.range(300_000).selectExpr(
         "id + 100000 AS event_id", "id % 100000 AS user_id", "TIMESTAMP_NTZ'2026-05-02 00:00:00' AS created_time",
         "concat('/page', (id % 100000) div 2, '_', id div 100000) AS url")
-    shared = TableStore(spark).write("shared", working_set.shared_events(rows.unionByName(more)))
-    got = working_set.user_alias(shared)
+    got, near, far = alias_of(spark, rows.unionByName(more))
     assert got.count() == got.where("user_id = person_id + 1 AND person_id % 2 = 0").count() == 50_000
+    assert far == 0
+
+
+def test_three_events_of_many_ids_settle_early(spark):
+    """Three events that 30,000 ids share: each finds the smallest of them in the first round, without meeting the others."""
+    rows = spark.range(90_000).selectExpr(
+        "id AS event_id", "id % 30000 AS user_id", "TIMESTAMP_NTZ'2026-05-01 00:00:00' AS created_time", "concat('/popular', id div 30000) AS url")
+    got, near, far = alias_of(spark, rows)
+    assert (near, far) == (0, 0)
+    assert got.where("person_id = 0").count() == got.count() == 29_999
 
 
 def test_members_are_kept_with_their_rows(spark):
