@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelscope.llm.common import map_batches, stored, tasks, whole_text
+from panelscope.llm.common import KEPT, map_batches, stored, tasks, whole_text
 from panelscope.llm.packing import printable_bytes
 
 #: Bytes of text aligned at a time, and in a block.
@@ -41,7 +41,11 @@ LINKS = 2_000_000
 #: White space and joiners beyond blank, tab and line feed, which tokenizers may treat in their own ways: such texts are
 #: encoded as a whole, all others unit by unit.
 BEYOND = re.compile("[\r\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‏ -  ⁠▁　﻿]")
-UNIT = re.compile("[ \t\n]*[^ \t\n]+|[ \t\n]+")
+#: A word with the white space before it, a mark at its end apart; no piece of either side goes from a letter on to such a mark.
+MARKS = "[.,;:!?]{1,3}(?=[ \t\n]|\\Z)"
+UNIT = re.compile(f"[ \t\n]*[A-Za-z]+(?={MARKS})|{MARKS}|[ \t\n]*[^ \t\n]+|[ \t\n]+")
+
+_ENCODERS: dict[tuple[str, str], "Encoder"] = {}
 
 
 class ByteTokens:
@@ -74,7 +78,7 @@ class PieceTokens:
             bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.blank = self.model.piece_to_id("▁")
         #: Whether no piece goes on past a character that white space follows, so that units are encoded apart.
-        self.by_units = not any(re.search("[^ \t\n][ \t\n]", t.decode(errors="replace")) or re.search("[\t\n].", t.decode(errors="replace"), re.S)
+        self.by_units = not any(re.search("[^ \t\n][ \t\n]|[\t\n](?s:.)|[A-Za-z][.,;:!?]", t.decode(errors="replace"))
                                 for i, t in enumerate(self.token_bytes) if not self.model.is_byte(i))
 
     def encode(self, spaced: list[str]) -> list[list[int]]:
@@ -90,6 +94,7 @@ class Encoder:
         self.a, self.b = ByteTokens(path_a), PieceTokens(path_b)
         self.sizes = [np.fromiter(map(len, t.token_bytes), np.int64, len(t.token_bytes)) for t in (self.a, self.b)]
         self.units: dict[str, tuple[bytes, bytes] | None] = {}
+        self.by_units = self.b.by_units and all(len(side.encode([" a"])[0]) == 1 for side in (self.a, self.b))
 
     def _pairs(self, spaced: list[str]) -> Iterator[tuple[bytes, bytes] | None]:
         """Ids of each, or nothing where one side's bytes are not those of the text."""
@@ -124,7 +129,7 @@ class Encoder:
         split: dict[int, list[str]] = {}
         whole: list[int] = []
         for i, text in enumerate(texts):
-            if text and self.b.by_units and not BEYOND.search(text):
+            if text and self.by_units and not BEYOND.search(text):
                 split[i] = UNIT.findall(" " + text)
             elif text:
                 whole.append(i)
@@ -133,8 +138,11 @@ class Encoder:
         met = set().union(*split.values())
         known = self.units
         fresh = sorted(met.difference(known))
+        marks = [u for u in fresh if u[0] in ".,;:!?"]
+        after = [p for u in marks for p in self._bulk([f" a{u}"]) or ()]  # as they stand: after a letter
+        known.update(zip(marks, ((a[4:], b[4:]) for a, b in after), strict=True))
         rest = [u for u in fresh if u.isspace()]
-        inner = [u for u in fresh if not u.isspace()]
+        inner = [u for u in fresh if not u.isspace() and u[0] not in ".,;:!?"]
         for some in (inner[i:i + BULK] for i in range(0, len(inner), BULK)):
             if (pairs := self._bulk(some)) is None:
                 rest += some
@@ -151,6 +159,14 @@ class Encoder:
         return out
 
 
+def encoder(path_a: str, path_b: str) -> Encoder:
+    """The worker's encoder, with the units it has met in earlier tasks."""
+    KEPT[__name__] = _ENCODERS.clear
+    if (path_a, path_b) not in _ENCODERS:
+        _ENCODERS[path_a, path_b] = Encoder(path_a, path_b)
+    return _ENCODERS[path_a, path_b]
+
+
 def shared_cuts(a_ends: np.ndarray, b_ends: np.ndarray, a_bounds: np.ndarray, b_bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Tokens of A, and of B, that end where a token of the other ends, by divide and conquer from the given intervals.
 
@@ -240,9 +256,9 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str, id_col: str = "do
     schema = "doc_id long, a_ids array<int>, b_ids array<int>, groups array<struct<a_end: int, b_end: int, byte_end: long>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path_a, path_b)
+        both = encoder(path_a, path_b)
         for doc_ids, texts in parts(batches):
-            x = align(encoder, doc_ids, texts)
+            x = align(both, doc_ids, texts)
             groups = x.group_bounds()
             per_doc = np.diff(groups)
             before = np.concatenate([[0], x.bytes_end])[groups[:-1]]
@@ -361,11 +377,11 @@ def triples(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def aligned_blocks(docs: DataFrame, path_a: str, path_b: str, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path_a, path_b)
-        digests = Digests(encoder)
+        both = encoder(path_a, path_b)
+        digests = Digests(both)
         block, number = BlockBuilder(digests), TaskContext.get().partitionId() << 32
         for doc_ids, texts in parts(batches):
-            block.add(align(encoder, doc_ids, texts), sum(map(len, texts)) + 100 * len(texts))
+            block.add(align(both, doc_ids, texts), sum(map(len, texts)) + 100 * len(texts))
             if block.size >= BLOCK:
                 yield block.finish(number)
                 block, number = BlockBuilder(digests), number + 1
