@@ -150,12 +150,15 @@ def keys_of(span: int, gram: int):
 
 
 def hot_keys(rows: DataFrame, buckets: int, span: int, gram: int, looked_at: int = LOOKED_AT) -> np.ndarray:
-    """Keys that more than a ``buckets``-th of the different texts looked at have: at most ``buckets`` times the keys of a mean text."""
+    """Keys that so many of the different texts looked at have that their contexts would make about a task's share by themselves.
+
+    A text has some four contexts, so that is four ``buckets``-ths of the texts, and there are at most a quarter of ``buckets`` times the keys of a mean text.
+    """
     # copies of a text are one: they have one context
     some = rows.where(F.pmod("uid", F.lit(looked_at)) == 0).dropDuplicates(["uid"]).select("text")
     texts = rows.where(F.pmod("uid", F.lit(looked_at)) == 0).select("uid").distinct().count()
     counts = map_batches(some, keys_of(span, gram), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    least = max(8, -(-texts // buckets))
+    least = max(8, -(-4 * texts // buckets))
     return np.sort(np.asarray([r["key"] for r in counts.where(F.col("n") > least).select("key").collect()], np.uint64))
 
 
