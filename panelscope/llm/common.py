@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import os
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -50,6 +53,13 @@ def keep_only(module: str) -> None:
         gc.collect()
 
 
+def give_back() -> None:
+    """Hand memory that is free again back to the machine: a reused worker, also an idle one, would hold on to the most it ever had."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # not every C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_batches(df: DataFrame, function: Callable, schema: str | StructType) -> DataFrame:
     """``mapInArrow``, with this package on the path of Python workers of this machine; clusters get it by ``--py-files``."""
     environment, root = df.sparkSession.sparkContext.environment, str(Path(__file__).resolve().parents[2])
@@ -60,6 +70,9 @@ def map_batches(df: DataFrame, function: Callable, schema: str | StructType) ->
 
     def run(batches: Iterator) -> Iterator:
         keep_only(module)
-        yield from function(batches)
+        try:
+            yield from function(batches)
+        finally:
+            give_back()
 
     return df.mapInArrow(run, schema)
