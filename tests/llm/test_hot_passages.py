@@ -7,7 +7,6 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
 
 from panelscope.llm import suffix_dedup
 from panelscope.llm.suffix_dedup import GRAM, SPAN, hot_keys, packed, parts_of, remove_repeats, runs, send_contexts, settled_rows
