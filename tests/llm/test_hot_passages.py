@@ -106,3 +106,23 @@ def test_settled_ranges_are_joined():
     uid, blobs = settled_rows(np.asarray([7, 3, 7, 7, 3, 9]), np.asarray([10, 0, 0, 40, 60, 5]), np.asarray([60, 50, 12, 90, 110, 55]))
     found = {u: np.frombuffer(b, np.int64).reshape(-1, 2).tolist() for u, b in zip(uid.tolist(), blobs.to_pylist())}
     assert found == {3: [[0, 50], [60, 110]], 7: [[0, 90]], 9: [[5, 55]]}
+
+
+def test_texts_of_one_name_are_told_apart(spark, monkeypatch):
+    plain = suffix_dedup.text_name
+    monkeypatch.setattr(suffix_dedup, "text_name", lambda text, turn: plain(text, turn) % 3 if turn < 2 else plain(text, turn))
+    texts = around(40, 5, passage=90, total=200) + ["x" * 80, "x" * 80, "", "z"]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    got = sorted(map(tuple, remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).drop("kept").collect()))
+    assert got == by_hand([(i, t.encode()) for i, t in rows])
+
+
+def test_findings_come_back_in_few_rows():
+    """One row per task that gathers, however many documents a task has found something for."""
+    owner = np.random.default_rng(3).integers(-(1 << 62), 1 << 62, 5000).repeat(3)
+    values = np.arange(15_000).astype(np.uint64)
+    bucket, owners, counts, found = (a.to_pylist() for a in suffix_dedup.to_owners(owner, suffix_dedup.six(values), 7))
+    assert bucket == list(range(7))
+    who, what = suffix_dedup.from_blocks(owners, counts, found, "V6")
+    assert sorted(zip(who.tolist(), suffix_dedup.wide(what).tolist())) == sorted(zip(owner.tolist(), values.tolist()))
+    assert all((np.frombuffer(o, np.int64) % 7 == b).all() for b, o in zip(bucket, owners))
