@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelscope.llm.common import map_batches, whole_text
+from panelscope.llm.common import map_batches, stored, whole_text
 
 #: Character classes that are counted: letters a-z, capitals, digits, blanks, stops, exclamation, symbols, pipes, other marks, non-ASCII.
 CLASSES = 10
@@ -187,15 +187,24 @@ def fit(texts: list[bytes], labels: np.ndarray, rounds: int = 150, decay: float
 def learn(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = 3_000, longest: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> LineModel:
     """Fit on at most ``sample`` labelled documents outside the held-out fold, those with the least hash of the id, of up to ``longest`` characters.
 
-    Rows with a null id or label are not used. Without any usable row the model says 0.5 to everything.
+    Labels without such a document, and rows with a null id or label, are left out before the sample is drawn, so they take nobody's
+    place. Half of the sample is kept for each label (0 and 1), as far as
+    there are rows. Of several texts under one id the least counts. Without any usable row the model says 0.5 to everything.
     """
-    marks = labels.where(usable & F.col(label_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label"))
-    chosen = marks.distinct().orderBy(F.xxhash64("_id"), "_id", "_label").limit(sample)
     rows = docs.select(F.col(id_col).alias("_id"), whole_text(text_col).alias("_text")).where(F.length("_text") <= longest)
-    got = rows.join(F.broadcast(chosen), "_id").select("_id", "_label", F.col("_text").cast("binary").alias("_text")).collect()
-    got = sorted({(r["_id"], r["_label"], bytes(r["_text"])) for r in got})
-    if not got:
+    marks = labels.where(usable & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label"))
+    there = stored(marks.distinct().join(rows.select("_id"), "_id", "left_semi"), "line_labels")
+    first = [F.xxhash64("_id"), F.col("_id"), F.col("_label")]
+    sizes = {r["_label"]: r["count"] for r in there.groupBy("_label").count().collect()}
+    chosen = None
+    for label, n in sorted(sizes.items()):
+        others = sum(min(m, sample // 2) for k, m in sizes.items() if k != label)
+        some = there.where(F.col("_label") == label).orderBy(*first).limit(min(n, max(sample // 2, sample - others)))
+        chosen = some if chosen is None else chosen.unionByName(some)
+    if chosen is None:
         return LineModel(np.zeros(3 * OWN), np.zeros((2, 2)))
+    one = rows.join(F.broadcast(chosen), "_id").groupBy("_id", "_label").agg(F.min("_text").alias("_text"))
+    got = sorted((r["_id"], r["_label"], bytes(r["_text"])) for r in one.select("_id", "_label", F.col("_text").cast("binary").alias("_text")).collect())
     return fit([g[2] for g in got], np.asarray([g[1] for g in got]))
 
 

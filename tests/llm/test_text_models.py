@@ -210,3 +210,25 @@ def test_line_quality(spark, docs, edges, nothing):
     none = linecrf.learn(docs, spark.createDataFrame([], "doc_id long, quality int"), F.lit(True))
     assert {r["score"] for r in linecrf.quality(edges, none).collect()} == {0.5}
     assert linecrf.quality(nothing, none).count() == 0
+
+
+def test_labels_without_a_document_take_no_place(spark):
+    rows = [(i, f"good line number {i}\nand one more of them" if i % 2 else "$$ ## buy now\n$$ ##") for i in range(40)] + [(100 + i, "x " * 200) for i in range(20)]
+    docs = spark.createDataFrame([*rows, (7, "aaa of one id")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120)] + [(1000 + i, 1) for i in range(5000)] + [(None, 1), (3, None)], "doc_id long, quality int")
+    seen = {}
+    plain = linecrf.fit
+
+    def fit(texts, marks, **more):
+        seen["texts"], seen["marks"] = texts, marks
+        return plain(texts, marks, **more)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(linecrf, "fit", fit)
+        linecrf.learn(docs, labels, F.lit(True), sample=30, longest=100)
+    assert len(seen["texts"]) == 30 and np.bincount(seen["marks"]).tolist() == [15, 15]
+    assert all(len(t) <= 100 for t in seen["texts"])
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(linecrf, "fit", fit)
+        linecrf.learn(docs, labels.where("quality = 1 or doc_id < 4"), F.lit(True), sample=30, longest=100)
+    assert np.bincount(seen["marks"]).tolist() == [2, 20] and b"aaa of one id" in seen["texts"]
