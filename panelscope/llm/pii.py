@@ -1,10 +1,12 @@
 """Personal data by weak supervision, in Spark expressions only.
 
-Candidates are the matches of strict patterns, valid or not, and of looser ones. Labelers vote on each: the pattern's
-own check, a gazetteer, words before it, its borders, and the shape of its digits; each says yes, no or nothing.
-Expectation-maximisation over the counts of vote patterns estimates each labeler's reliability and each
-pattern's probability. These soft labels train the final classifier, naive Bayes over a candidate's own
-features, which is emitted as a Spark expression. Valid strict matches always count; the classifier adds to them.
+Candidates are the matches of strict patterns, valid or not, and of looser ones, which also match dates, serial numbers, fingerprints and
+plain sentences. Labelers vote on each: a check (Luhn, where a looser form has one), a gazetteer, the words around it, its borders, the
+shape of its digits, and the form that found it; each says yes, no or nothing. Valid strict matches are known to be true, addresses with
+parts over 255 and cards that fail Luhn are known to be false and are never added; all others are hidden.
+Expectation-maximisation over the counts of vote patterns estimates each labeler's reliability and each pattern's probability, first over all
+kinds together, then per kind, drawn to what was found for all. These soft labels train the final classifier, naive Bayes over a
+candidate's own features, which is emitted as a Spark expression. Valid strict matches always count; the classifier adds to them.
 
 Matches and their places come from one regular expression each: ``regexp_extract_all`` gives the matches,
 ``split`` the text between them, and a running sum of their lengths gives code point offsets.
@@ -36,14 +38,19 @@ NEEDS = {
     "email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){5}", "phone": r"\+[0-9]",
 }
 LOOSE = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?[\[(]at[\])] ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|[\[(]dot[\])]) ?[A-Za-z0-9-]{1,63}){1,8}+",
-    "ip": r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])",
-    "phone": r"(?<![0-9A-Za-z+.(-])(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9A-Za-z-])",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?: ?[\[(]at[\])] ?[A-Za-z0-9-]{1,63}(?:\.| ?[\[(]dot[\])] ?| dot )| at [A-Za-z0-9-]{1,63}(?: ?[\[(]dot[\])] ?| dot ))"
+             r"[A-Za-z0-9-]{1,63}(?:(?:\.| ?[\[(]dot[\])] ?| dot )[A-Za-z0-9-]{1,63}){0,7}+",
+    "ip": r"(?<![0-9A-Za-z:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:])",
+    "card": r"(?<![0-9])[0-9]{4}(?:[./_][0-9]{4}){3}(?![0-9])",
+    "phone": r"(?<![0-9+(.-])(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{2,4}[ .-][0-9]{2,4}(?![0-9]|[.-][0-9])",
+}
+LOOSE_NEEDS = {
+    "email": r"[\[(]at[\])]| at [A-Za-z0-9-]{1,63}(?: ?[\[(]dot| dot )", "ip": r"[0-9A-Fa-f]:[0-9A-Fa-f]{0,4}:[0-9A-Fa-f]", "card": r"[0-9]{4}[./_][0-9]{4}[./_]",
+    "phone": r"[0-9)][ .-][0-9]{2,4}[ .-][0-9]{2,4}(?![0-9])",
 }
-LOOSE_NEEDS = {"email": r"[\[(]at[\])]", "ip": r"[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:[0-9A-Fa-f]", "phone": r"[0-9][ .-][0-9]{3,4}(?![0-9])"}
 #: Gazetteer: what a kind's value ends or begins with.
 KNOWN = {
-    "email": r"(?i)\.(?:com|org|net|edu|gov|info|io|co|eu|de|fr|es|it|uk|us|ca|ch|at|be|nl|pl|pt|mx|ar|br|in|jp|cn|ru|example|test)$",
+    "email": r"(?i)(?:\.|\bdot[\])]? ?)(?:com|org|net|edu|gov|info|io|co|eu|de|fr|es|it|uk|us|ca|ch|at|be|nl|pl|pt|mx|ar|br|in|jp|cn|ru|example|test)$",
     "ip": r"^(?:[1-9][0-9]?|1[0-9][0-9]|2[01][0-9]|22[0-3])\.|:",
     "card": r"^[3-6]",
     "phone": r"^(?:\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])|\(?[2-9])",
@@ -56,9 +63,18 @@ CUES = {
     "phone": r"(?i)(?:tel|phone|call|fax|mobil|handy|cell|whatsapp|ruf|appel|llam)",
 }
 OTHER = r"(?i)(?:isbn|issn|order|invoice|serial|version|part no|item|sku|doi|build|rev\.?|commit|sha|key)[^\n]{0,12}$"
-VOTES = ("check", "gazetteer", "context", "border", "shape")
-FEATURES = ("f_digits", "f_marks", "f_cue", "f_border", "f_known")
+#: Units after a number, and shapes that belong to something else: a date, a fingerprint in pairs.
+UNITS = r"^ ?(?:px|kg|km|cm|mm|ms|[KMGT]i?B|%|\u20ac|\$|EUR|USD)(?![A-Za-z])"
+NOT_A = {
+    "email": r"(?i)^(?:look|meet|arrive|stay|is|was|be|are|were|stop|start|end)\b",
+    "ip": r"^[0-9A-Fa-f]{2}(?::[0-9A-Fa-f]{2})+$",
+    "card": r"^0",
+    "phone": r"^(?:(?:19|20)[0-9]{2}[ .-](?:0[1-9]|1[0-2])[ .-][0-3][0-9]|[0-3]?[0-9][ .-][0-3]?[0-9][ .-](?:19|20)[0-9]{2})$",
+}
+VOTES = ("check", "gazetteer", "context", "border", "shape", "form")
+FEATURES = ("f_digits", "f_marks", "f_cue", "f_border", "f_known", "f_shape", "f_form")
 CONTEXT = 40
+AFTER = 8
 
 
 def _let(value: Column, body) -> Column:
@@ -76,7 +92,7 @@ def matches(text: Column, pattern: str, needs: str) -> Column:
         def step(s: Column, r: Column) -> Column:
             begin = s["at"] + F.length(r["p"])
             end = begin + F.length(r["m"])
-            item = F.struct(begin.alias("start"), end.alias("end"), r["m"].alias("value"), F.right(r["p"], F.lit(CONTEXT)).alias("before"), F.left(r["q"], F.lit(1)).alias("after"))
+            item = F.struct(begin.alias("start"), end.alias("end"), r["m"].alias("value"), F.right(r["p"], F.lit(CONTEXT)).alias("before"), F.left(r["q"], F.lit(AFTER)).alias("after"))
             return F.struct(end.alias("at"), F.concat(s["out"], F.array(item)).alias("out"))
 
         return F.aggregate(rows, start, step, lambda s: s["out"])
@@ -111,22 +127,25 @@ def valid(kind: str, value: Column) -> Column:
 
 
 def described(kind: str, strict: bool, m: Column) -> Column:
-    """A candidate: kind, place, whether it is a valid strict match, votes (1 yes, 0 no, null nothing) and features."""
+    """A candidate: kind, place, whether it is a valid strict match (``base``) or cannot be true (``never``), votes (1 yes, 0 no, null nothing) and features."""
     count = F.length(digits(m["value"]))
     marks = F.length(F.regexp_replace(m["value"], "[A-Za-z0-9]", ""))
-    letter_before, letter_after = m["before"].rlike(r"[\p{L}0-9_/=:#]$"), m["after"].rlike(r"^[\p{L}0-9_/=]")
+    letter_before, letter_after = m["before"].rlike(r"[\p{L}0-9_/=#]$"), m["after"].rlike(r"^[\p{L}0-9_/=]")
     border = ~(letter_before | letter_after)
-    cue = F.when(m["before"].rlike(OTHER), 0).when(m["before"].rlike(CUES[kind]), 1)
+    cue = F.when(m["before"].rlike(OTHER) | m["after"].rlike(UNITS), 0).when(m["before"].rlike(CUES[kind]), 1)
     known = m["value"].rlike(KNOWN[kind]).cast("int")
     typical = {"email": count <= 12, "ip": count.between(4, 32), "card": count.between(13, 16), "phone": count.between(10, 12)}[kind]
     flat = m["value"].rlike(r"^[^0-9]*+([0-9])(?:[^0-9]*+\1)++[^0-9]*+$")
-    check = valid(kind, m["value"]) if strict else F.lit(False)
+    right = valid(kind, m["value"]) if strict or kind == "card" else F.lit(None).cast("boolean")
+    never = ~right if kind in ("ip", "card") and (strict or kind == "card") else F.lit(False)
+    shape = F.when(flat | m["value"].rlike(NOT_A[kind]), 0).when(typical, 1).when(F.lit(kind == "phone"), 0).cast("int")
     return F.struct(
-        F.lit(KINDS.index(kind)).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), check.alias("base"),
-        (check.cast("int") if strict else F.lit(None).cast("int")).alias("check"), known.alias("gazetteer"), cue.cast("int").alias("context"),
-        border.cast("int").alias("border"), F.when(flat, 0).when(typical, 1).cast("int").alias("shape"),
+        F.lit(KINDS.index(kind)).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), (right if strict else F.lit(False)).alias("base"), never.alias("never"),
+        right.cast("int").alias("check"), known.alias("gazetteer"), cue.cast("int").alias("context"),
+        border.cast("int").alias("border"), shape.alias("shape"), F.lit(int(strict)).alias("form"),
         F.least(count / 3, F.lit(7)).cast("int").alias("f_digits"), F.least(marks, F.lit(5)).cast("int").alias("f_marks"),
         F.coalesce(cue.cast("int"), F.lit(2)).alias("f_cue"), border.cast("int").alias("f_border"), known.alias("f_known"),
+        F.coalesce(shape, F.lit(2)).alias("f_shape"), F.lit(int(strict)).alias("f_form"),
     )
 
 
@@ -163,53 +182,67 @@ class SpanModel:
         return 1 / (1 + F.exp(-total))
 
 
-def expectation_maximisation(counts: list[tuple[tuple, int]], rounds: int = 60) -> tuple[list[tuple[float, float]], float, list[float]]:
+def expectation_maximisation(
+    counts: list[tuple[tuple, int]], known: list[float | None] | None = None, drawn_to: list[tuple[float, float]] | None = None, rounds: int = 60,
+) -> tuple[list[tuple[float, float]], float, list[float]]:
     """(P(yes | true), P(yes | false)) per labeler, P(true), and P(true) of each vote pattern.
 
-    ``counts``: vote patterns of one kind with their number; a vote is 1, 0 or None. Estimates start where yes is
-    more likely for true ones, and are held by two imaginary votes per labeler and class.
+    ``counts``: vote patterns with their number; a vote is 1, 0 or None. ``known``: P(true) of patterns where it is no question.
+    Estimates start where yes is more likely for true ones, and are held by two imaginary votes per labeler and class, or by
+    twenty that vote as ``drawn_to`` says. P(true) is held by one imaginary candidate of each class.
     """
-    rates, prior, post = [(0.8, 0.3)] * len(VOTES), 0.5, [0.5] * len(counts)
+    labelers = len(counts[0][0]) if counts else len(VOTES)
+    known = known or [None] * len(counts)
+    weight, held = (20, drawn_to) if drawn_to else (2, [(0.8, 0.3)] * labelers)
+    rates, prior, post = held, 0.5, [0.5] * len(counts)
     for _ in range(rounds):
         for i, (votes, _n) in enumerate(counts):
             odds = math.log(prior / (1 - prior))
             for v, (t, f) in zip(votes, rates, strict=True):
                 if v is not None:
                     odds += math.log(t / f) if v else math.log((1 - t) / (1 - f))
-            post[i] = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
+            post[i] = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds)))) if known[i] is None else known[i]
         new = []
-        for j in range(len(VOTES)):
+        for j, (t, f) in enumerate(held):
             given = [(p, n, votes[j]) for (votes, n), p in zip(counts, post, strict=True) if votes[j] is not None]
             true, false = sum(p * n for p, n, _ in given), sum((1 - p) * n for p, n, _ in given)
-            new.append(((sum(p * n for p, n, v in given if v) + 1.6) / (true + 2), (sum((1 - p) * n for p, n, v in given if v) + 0.6) / (false + 2)))
+            new.append(((sum(p * n for p, n, v in given if v) + weight * t) / (true + weight), (sum((1 - p) * n for p, n, v in given if v) + weight * f) / (false + weight)))
         total = sum(n for _, n in counts)
-        rates, prior = new, min(0.99, max(0.01, (sum(p * n for (_, n), p in zip(counts, post, strict=True)) + 1) / (total + 2)))
+        rates, prior = new, (sum(p * n for (_, n), p in zip(counts, post, strict=True)) + 1) / (total + 2)
     return rates, prior, post
 
 
 def learn(found: DataFrame) -> SpanModel:
     """Reliabilities and classifier from a table with an array ``candidates``.
 
-    One aggregation counts votes and features; the driver sees its groups, at most 4 * 3**5 * 8 * 6 * 3 * 2 * 2 whatever the input.
+    One aggregation counts votes and features; the driver sees its groups: their number is bounded by the values that votes and features take, whatever the input.
     """
-    each = found.select(F.explode("candidates").alias("c")).groupBy("c.kind", *[f"c.{v}" for v in VOTES], *[F.col(f"c.{f}").alias(f) for f in FEATURES])
-    rows = each.count().collect()
+    fields = ["kind", "base", "never", *VOTES, *FEATURES]
+    rows = found.select(F.explode("candidates").alias("c")).groupBy(*[F.col(f"c.{f}").alias(f) for f in fields]).count().collect()
+    key = lambda r: (r["base"], r["never"], tuple(r[v] for v in VOTES))
+
+    def estimate(mine: list, drawn_to: list | None) -> tuple:
+        patterns: dict[tuple, int] = {}
+        for r in mine:
+            patterns[key(r)] = patterns.get(key(r), 0) + r["count"]
+        ordered = sorted(patterns, key=lambda x: (*x[:2], *(-1 if v is None else v for v in x[2])))
+        # whether a strict match is true is known by its check, so the check tells nothing of other labelers: it votes on looser forms only
+        votes = lambda x: (None if x[0] or x[1] else x[2][0], *x[2][1:])
+        known = [1.0 if base else 0.0 if never else None for base, never, _ in ordered]
+        rates, share, post = expectation_maximisation([(votes(x), patterns[x]) for x in ordered], known, drawn_to)
+        return rates, share, dict(zip(ordered, post, strict=True))
+
+    pooled = estimate(rows, None)[0]
     reliability, prior, odds = [], [], []
     for k in range(len(KINDS)):
         mine = [r for r in rows if r["kind"] == k]
-        patterns: dict[tuple, int] = {}
-        for r in mine:
-            votes = tuple(r[v] for v in VOTES)
-            patterns[votes] = patterns.get(votes, 0) + r["count"]
-        ordered = sorted(patterns.items(), key=lambda x: tuple(-1 if v is None else v for v in x[0]))
-        rates, share, post = expectation_maximisation(ordered)
-        soft = {votes: p for (votes, _), p in zip(ordered, post, strict=True)}
+        rates, share, soft = estimate(mine, pooled)
         tables = []
         for name in FEATURES:
             true: dict[int, float] = {}
             false: dict[int, float] = {}
             for r in mine:
-                p = soft[tuple(r[v] for v in VOTES)]
+                p = soft[key(r)]
                 true[r[name]] = true.get(r[name], 0.0) + p * r["count"]
                 false[r[name]] = false.get(r[name], 0.0) + (1 - p) * r["count"]
             width, all_true, all_false = len(true), sum(true.values()), sum(false.values())
@@ -235,7 +268,7 @@ def base_spans(found: Column) -> Column:
 def all_spans(found: Column, model: SpanModel, least: float = 0.9) -> Column:
     """Base spans, and candidates of probability ``least`` or more that overlap none of them, nor an added one before."""
     base = F.filter(found, lambda c: c["base"])
-    more = F.filter(found, lambda c: ~c["base"] & ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])) & (model.probability(c) >= least))
+    more = F.filter(found, lambda c: ~c["base"] & ~c["never"] & ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])) & (model.probability(c) >= least))
     kind = "array<struct<start:int,kind:int,end:int>>"
     kept = F.aggregate(_ordered(more), F.array().cast(kind), lambda s, c: F.when(F.exists(s, lambda x: c["start"] < x["end"]), s).otherwise(F.concat(s, F.array(c))))
     return F.array_sort(F.concat(base_spans(found), kept))
