@@ -64,3 +64,34 @@ def test_chains_are_followed_in_every_round(spark, monkeypatch):
         monkeypatch.setattr(nearcopies, "ROUNDS", rounds)
         kept = nearcopies.first_of_near_copies(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA))
         assert [r["doc_id"] for r in kept.collect()] == plain_first(rows)
+
+
+def test_unlike_members_of_a_large_group_make_no_pairs(spark, monkeypatch):
+    draw, sizes, stored = np.random.default_rng(13), {}, nearcopies.stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        sizes[name] = max(out.count(), sizes.get(name, 0))
+        return out
+
+    words = [f"w{i}" for i in range(150)]
+    rows = [(i, " ".join(edited(draw, words, int(draw.integers(2, 8))))) for i in range(500)]  # most are nearer to the text they come from than to each other
+    monkeypatch.setattr(nearcopies, "stored", counted)
+    for block in (nearcopies.BLOCK, 1 << 14):  # in one block, and in several
+        monkeypatch.setattr(nearcopies, "BLOCK", block)
+        kept = nearcopies.first_of_near_copies(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA))
+        assert sorted((r["doc_id"] for r in kept.collect()), key=str) == plain_first(rows)
+        assert sizes["near_pairs"] <= nearcopies.BANDS * len(rows) and sizes["near_links"] <= nearcopies.BANDS * len(rows)
+
+
+def test_fingerprints_give_candidates(spark):
+    """The SimHash index pairs most texts that differ in one of 800 words, and verified pairs are near copies only."""
+    draw = np.random.default_rng(14)
+    rows = []
+    for base in range(20):
+        words = [f"w{draw.integers(3000)}" for _ in range(800)]
+        rows += [(2 * base, " ".join(words)), (2 * base + 1, " ".join(edited(draw, words, 1)))]
+    found = nearcopies.described(spark.createDataFrame(rows, "_key long, _text string"), 5)
+    of = {bytes(r["node"]): r["_key"] for r in found.collect()}
+    pairs = {frozenset((of[bytes(r["a"])], of[bytes(r["b"])])) for r in nearcopies.fingerprint_pairs(found.select("node", "fp")).collect()}
+    assert len(pairs & {frozenset((2 * b, 2 * b + 1)) for b in range(20)}) >= 15
