@@ -38,12 +38,16 @@ def lists_by_day(rows: DataFrame, *columns: str) -> DataFrame:
 def with_lists(person_days: DataFrame, lists: DataFrame, how: str = "inner") -> DataFrame:
     """Events of person-days, the first one of each carrying the list ``beside``, all others an empty one.
 
-    Events lie by (person, day) already, so only the lists are dealt out.
+    Events lie by (person, day) already, so only the lists are dealt out. A list meets its one event only: joined with every event
+    of a day, it would be copied as often as the day has events, and rows would grow with the square of a busy day.
     """
     first = F.row_number().over(W.partitionBy(*PERSON_DAY).orderBy("sec")) == 1
-    beside = F.when(first, F.col("beside"))
+    days = person_days if how == "left" else person_days.join(lists.select(*PERSON_DAY), list(PERSON_DAY), "left_semi")
+    events, beside = days.withColumn("_first", first).alias("events"), lists.select(*PERSON_DAY, "beside").alias("lists")
+    same = [F.col(f"events.{c}") == F.col(f"lists.{c}") for c in PERSON_DAY]
     nothing = F.array().cast(lists.schema["beside"].dataType)
-    return person_days.join(lists, list(PERSON_DAY), how).withColumn("beside", F.coalesce(beside, nothing))
+    return events.join(beside, [*same, F.col("events._first")], "left").select(
+        *[F.col(f"events.{c}") for c in person_days.columns], F.coalesce("lists.beside", nothing).alias("beside"))
 
 
 def row_of(kind: str, **columns: Column) -> Column:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from oracle import sql
-from panelscope.functions.days import DAY_S, LOOK_AHEAD_S, LOOK_BACK_S, by_day
+from panelscope.functions.days import DAY_S, LOOK_AHEAD_S, LOOK_BACK_S, by_day, lists_by_day, with_lists
 from panelscope.operators import clicks, conversions, flooding, funnels, quality, signals, visits
 from panelscope.plans.stages import TABLES, Workspace
 from panelscope.plans.store import TableStore
@@ -155,3 +155,16 @@ def test_reports_on_rows_and_users_read_the_activity(spark, ninety_days):
         assert "raw_clicks" not in TABLES[name].inputs
     assert sum(line.count("event_id") > 0 for line in plan_of(quality.dq_profile(raw, activity, users)).split("\n") if "FileScan" in line) == 1
     assert scans(quality.dq_hourly(activity)) == 0
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_a_list_meets_one_event_of_its_day(spark, how):
+    """A busy day's list is not copied to each of its events before all but the first drop it."""
+    seconds = by_day(spark.range(3000).selectExpr("CASE WHEN id % 3 = 2 THEN NULL ELSE id % 3 END AS user_id", "40000 + id AS sec", "'x' AS url"))
+    lists = lists_by_day(spark.range(500).selectExpr("0L AS user_id", "40000 + id AS sec", "id AS click"), "click")
+    got = with_lists(seconds, lists, how)
+    assert got.columns == [*seconds.columns, "beside"]
+    sizes = sorted(r[0] for r in got.select(F.size("beside")).collect())
+    assert sizes == [0] * ((1000 if how == "inner" else 3000) - 1) + [500]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftOuter" in plan and plan.index("Join LeftOuter") < plan.index("Window [row_number")
