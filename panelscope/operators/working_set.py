@@ -19,7 +19,8 @@ _TOKEN = ["created_time", "url"]
 
 # Ids of an event that meet its first ids in one group.
 PAIR_BLOCK = 500
-# Ids of an event that are met in the first and second round of the search for mirrored ids.
+# Ids of an event that are met in the first, second and third round of the search for mirrored ids.
+HEADS = 4
 NEAR = 64
 FAR = 4096
 
@@ -126,15 +127,29 @@ def _searched(shared: DataFrame, wanted: DataFrame, first: int | None, rare_only
         "user_id", "best", "tried", F.coalesce(F.col("tried") < F.coalesce("best", "user_id"), F.lit(False)).alias("open"))
 
 
-def alias_near(shared: DataFrame) -> DataFrame:
-    """First round: the smallest ids of each event. Ids whose events are all small are done, with or without a partner."""
+def _everyone(shared: DataFrame) -> DataFrame:
     kind = shared.schema["user_id"].dataType
-    everyone = shared.select("user_id").distinct().select("user_id", F.lit(None).cast(kind).alias("best"), F.lit(None).cast(kind).alias("tried"))
-    return _searched(shared, everyone, NEAR, rare_only=False)
+    return shared.select("user_id").distinct().select("user_id", F.lit(None).cast(kind).alias("best"), F.lit(None).cast(kind).alias("tried"))
+
+
+def alias_heads(shared: DataFrame) -> DataFrame:
+    """First round: the very smallest ids of each event. Where many ids share all their events, all find the smallest here."""
+    return _searched(shared, _everyone(shared), HEADS, rare_only=False)
+
+
+def alias_near(shared: DataFrame, alias_heads: DataFrame | None = None) -> DataFrame:
+    """Second round: more of the smallest ids of each event, for the ids still open; without a first round, for all ids.
+
+    Ids whose events are all small are done, with or without a partner. Those of the first round that were done are given, too.
+    """
+    if alias_heads is None:
+        return _searched(shared, _everyone(shared), NEAR, rare_only=False)
+    rest = _searched(shared, alias_heads.where("open").drop("open"), NEAR, rare_only=False)
+    return alias_heads.where("NOT open").unionByName(rest)
 
 
 def alias_far(shared: DataFrame, alias_near: DataFrame) -> DataFrame:
-    """Second round, for the ids still open: many more ids of each event, but none of their own two most frequent events."""
+    """Third round, for the ids still open: many more ids of each event, but none of their own two most frequent events."""
     return _searched(shared, alias_near.where("open").drop("open"), FAR, rare_only=True)
 
 

@@ -46,7 +46,7 @@ def _table(step, build, *inputs, stored=False, export=False, layout=None, by_day
 SOURCES = ("raw_clicks", "google_trends")
 
 # Intermediate tables that are stored for their readers but are no result of their own.
-INTERNAL = ("activity", "shared_events", "alias_near", "alias_far", "person_days", "us_users", "site_steps", "site_timeline")
+INTERNAL = ("activity", "shared_events", "alias_heads", "alias_near", "alias_far", "person_days", "us_users", "site_steps", "site_timeline")
 
 TABLES: dict[str, Table] = {
     "activity": _table(2, quality.activity, "raw_clicks", by_day=True),
@@ -57,7 +57,8 @@ TABLES: dict[str, Table] = {
     "brand_users": _table(3, working_set.brand_users, "brand_tagging", stored=True),
     "brand_user_events_raw": _table(3, working_set.brand_user_events_raw, "brand_tagging", "brand_users", stored=True),
     "shared_events": _table(3, working_set.shared_events, "brand_user_events_raw", stored=True),
-    "alias_near": _table(3, working_set.alias_near, "shared_events", stored=True),
+    "alias_heads": _table(3, working_set.alias_heads, "shared_events", stored=True),
+    "alias_near": _table(3, working_set.alias_near, "shared_events", "alias_heads", stored=True),
     "alias_far": _table(3, working_set.alias_far, "shared_events", "alias_near", stored=True),
     "user_alias": _table(3, working_set.user_alias, "shared_events", "alias_near", "alias_far", stored=True),
     "brand_user_events": _table(3, working_set.brand_user_events, "brand_user_events_raw", "user_alias", stored=True),

@@ -80,6 +80,27 @@ def test_three_events_of_many_ids_settle_early(spark):
     assert got.where("person_id = 0").count() == got.count() == 29_999
 
 
+@pytest.mark.parametrize("heads, first, second", [(4, 64, 4096), (1, 2, 4), (2, 5, 9)])
+def test_a_round_of_few_ids_comes_first(spark, heads, first, second, monkeypatch):
+    for name, value in (("HEADS", heads), ("NEAR", first), ("FAR", second)):
+        monkeypatch.setattr(working_set, name, value)
+    rows, store = mirror_rows(3), TableStore(spark)
+    shared = store.write("shared", working_set.shared_events(spark.createDataFrame(rows, EVENTS)))
+    few = store.write("heads", working_set.alias_heads(shared))
+    near = store.write("near", working_set.alias_near(shared, few))
+    far = store.write("far", working_set.alias_far(shared, near))
+    assert {r["user_id"]: r["person_id"] for r in working_set.user_alias(shared, near, far).collect()} == mirrors_by_hand(rows)
+    assert few.count() == near.count() and near.where("open").count() <= few.where("open").count()
+
+
+def test_copies_settle_among_few_ids(spark):
+    """Three events that 5,000 ids share, and as many of their own in pairs: no id needs more than the smallest of each event."""
+    rows = spark.range(15_000).selectExpr(
+        "id AS event_id", "id % 5000 AS user_id", "TIMESTAMP_NTZ'2026-05-01 00:00:00' AS created_time", "concat('/popular', id div 5000) AS url")
+    few = working_set.alias_heads(working_set.shared_events(rows))
+    assert few.where("open").count() == 0 and few.where("best = 0").count() == 4_999
+
+
 def test_members_are_kept_with_their_rows(spark):
     rows = spark.range(5000).selectExpr("id AS event_id", "CASE WHEN id % 3 = 0 THEN 7 ELSE id % 100 END AS user_id")
     members = spark.range(5, 40).selectExpr("id AS user_id")
