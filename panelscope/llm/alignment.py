@@ -2,8 +2,9 @@
 
 Both tokenizers' tokens cover the same bytes. An interval of tokens is divided at a byte where tokens of both end: the
 end of the middle token of A is looked up among the ends of B by bisection, then those of its neighbours, nearest first.
-Both halves are divided in turn; an interval without a shared end inside is a group. All intervals of a block of texts
-are divided side by side, level by level.
+Both halves are divided in turn; an interval without a shared end inside is a group. All intervals are divided side by
+side, level by level. Tokens of both sides end where units of a text meet, so a unit is encoded, divided and written out
+once, and a text is put together from its units' tokens and groups.
 
 Links of a group are all pairs of its tokens. Their document frequencies are needed of every block of texts, so distinct
 pairs travel once per block: to be summed over the corpus, and back to the block, whose documents add them up.
@@ -17,7 +18,8 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,7 @@ from panelscope.llm.packing import printable_bytes
 #: Bytes of text aligned at a time, and in a block.
 AT_ONCE = 2_000_000
 BLOCK = 16_000_000
-#: Units whose ids a task remembers, and the longest of them.
+#: Units a task remembers, and the longest of them.
 UNITS = 200_000
 LONG_UNIT = 60
 #: New units encoded at a time.
@@ -43,7 +45,7 @@ LINKS = 2_000_000
 BEYOND = re.compile("[\r\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‏ -  ⁠▁　﻿]")
 #: A word with the white space before it, a mark at its end apart; no piece of either side goes from a letter on to such a mark.
 MARKS = "[.,;:!?]{1,3}(?=[ \t\n]|\\Z)"
-UNIT = re.compile(f"[ \t\n]*[A-Za-z]+(?={MARKS})|{MARKS}|[ \t\n]*[^ \t\n]+|[ \t\n]+")
+UNIT = re.compile(f"{MARKS}|[ \t\n]*+(?:[A-Za-z]++(?:(?={MARKS})|[^ \t\n]*+)|[^ \t\n]++)|[ \t\n]++")
 
 _ENCODERS: dict[tuple[str, str], "Encoder"] = {}
 
@@ -87,86 +89,6 @@ class PieceTokens:
         return [ids if t[0] == " " and len(t) > 1 else [self.blank] if t == " " else ids[1:] for t, ids in zip(spaced, found, strict=True)]
 
 
-class Encoder:
-    """Texts as ids of both tokenizers."""
-
-    def __init__(self, path_a: str, path_b: str):
-        self.a, self.b = ByteTokens(path_a), PieceTokens(path_b)
-        self.sizes = [np.fromiter(map(len, t.token_bytes), np.int64, len(t.token_bytes)) for t in (self.a, self.b)]
-        self.units: dict[str, tuple[bytes, bytes] | None] = {}
-        self.by_units = self.b.by_units and all(len(side.encode([" a"])[0]) == 1 for side in (self.a, self.b))
-
-    def _pairs(self, spaced: list[str]) -> Iterator[tuple[bytes, bytes] | None]:
-        """Ids of each, or nothing where one side's bytes are not those of the text."""
-        found = self.a.encode(spaced), self.b.encode(spaced)
-        raw = [t.encode() for t in spaced]
-        good = [True] * len(raw)
-        for side, ids in zip((self.a, self.b), found, strict=True):
-            back = [b"".join(map(side.token_bytes.__getitem__, x)) for x in ids]
-            if back != raw:
-                good = [g and x == y for g, x, y in zip(good, back, raw, strict=True)]
-        for ok, x, y in zip(good, *found, strict=True):
-            yield (array("I", x).tobytes(), array("I", y).tobytes()) if ok else None
-
-    def _bulk(self, units: list[str]) -> Iterator[tuple[bytes, bytes]] | None:
-        """Ids of units that start with white space and end without, encoded as one text and cut where units meet; nothing if that is not exact."""
-        text = " a" + "".join(units)
-        raw = text.encode()
-        ends = np.cumsum([2, *map(len, map(str.encode, units))])
-        sides = []
-        for side, sizes in zip((self.a, self.b), self.sizes, strict=True):
-            ids = np.asarray(side.encode([text])[0], np.uint32)
-            upto = np.cumsum(sizes[ids])
-            at = np.searchsorted(upto, ends)
-            if len(ids) == 0 or at[-1] != len(ids) - 1 or not np.array_equal(upto[at], ends) or b"".join(map(side.token_bytes.__getitem__, ids.tolist())) != raw:
-                return None
-            sides.append((ids.tobytes(), (4 * (at + 1)).tolist()))
-        (a, i), (b, j) = sides
-        return zip((a[x:y] for x, y in zip(i, i[1:])), (b[x:y] for x, y in zip(j, j[1:])))
-
-    def encode(self, texts: list[str]) -> list[tuple[bytes, bytes] | None]:
-        out: list[tuple[bytes, bytes] | None] = [None] * len(texts)
-        split: dict[int, list[str]] = {}
-        whole: list[int] = []
-        for i, text in enumerate(texts):
-            if text and self.by_units and not BEYOND.search(text):
-                split[i] = UNIT.findall(" " + text)
-            elif text:
-                whole.append(i)
-        for i, pair in zip(whole, self._pairs([" " + texts[i] for i in whole]) if whole else (), strict=True):
-            out[i] = pair
-        met = set().union(*split.values())
-        known = self.units
-        fresh = sorted(met.difference(known))
-        marks = [u for u in fresh if u[0] in ".,;:!?"]
-        after = [p for u in marks for p in self._bulk([f" a{u}"]) or ()]  # as they stand: after a letter
-        known.update(zip(marks, ((a[4:], b[4:]) for a, b in after), strict=True))
-        rest = [u for u in fresh if u.isspace()]
-        inner = [u for u in fresh if not u.isspace() and u[0] not in ".,;:!?"]
-        for some in (inner[i:i + BULK] for i in range(0, len(inner), BULK)):
-            if (pairs := self._bulk(some)) is None:
-                rest += some
-            else:
-                known.update(zip(some, pairs, strict=True))
-        known.update(zip(rest, self._pairs(rest) if rest else (), strict=True))
-        for i, units in split.items():
-            pairs = [known[u] for u in units]
-            if None not in pairs:
-                a, b = zip(*pairs, strict=True)
-                out[i] = b"".join(a), b"".join(b)
-        if len(known) > UNITS:
-            self.units = {u: known[u] for u in sorted(met)[:UNITS] if len(u) <= LONG_UNIT}
-        return out
-
-
-def encoder(path_a: str, path_b: str) -> Encoder:
-    """The worker's encoder, with the units it has met in earlier tasks."""
-    KEPT[__name__] = _ENCODERS.clear
-    if (path_a, path_b) not in _ENCODERS:
-        _ENCODERS[path_a, path_b] = Encoder(path_a, path_b)
-    return _ENCODERS[path_a, path_b]
-
-
 def shared_cuts(a_ends: np.ndarray, b_ends: np.ndarray, a_bounds: np.ndarray, b_bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Tokens of A, and of B, that end where a token of the other ends, by divide and conquer from the given intervals.
 
@@ -214,21 +136,212 @@ class Aligned:
     b_ends: np.ndarray
     #: Byte, among all the texts' bytes in a row, where each group ends.
     bytes_end: np.ndarray
+    #: Hash of each text's groups, written ``a1,a2|b1;a3|b2``; nothing for texts without tokens.
+    hashes: list[str] = field(default_factory=list)
 
     def group_bounds(self) -> np.ndarray:
         """Number of groups before each text."""
         return np.searchsorted(self.a_ends, self.a_bounds, side="right")
 
 
-def align(encoder: Encoder, doc_ids: pa.Array, texts: list[str]) -> Aligned:
-    pairs = [p or (b"", b"") for p in encoder.encode(texts)]
-    bounds = [np.concatenate([[0], np.cumsum([len(p[side]) // 4 for p in pairs], dtype=np.int64)]) for side in (0, 1)]
-    ids = [np.frombuffer(b"".join([p[side] for p in pairs]), np.uint32).astype(np.int64) for side in (0, 1)]
-    ends = [np.cumsum(encoder.sizes[side][ids[side]]) for side in (0, 1)]
-    some = np.flatnonzero(np.diff(bounds[0]))  # texts with tokens
-    keep = np.concatenate([[0], some + 1]).astype(np.int64)
-    a_cut, b_cut = shared_cuts(ends[0], ends[1], bounds[0][keep], bounds[1][keep]) if len(some) else (np.zeros(0, np.int64),) * 2
-    return Aligned(doc_ids, ids[0], ids[1], bounds[0], bounds[1], a_cut + 1, b_cut + 1, ends[0][a_cut] if len(a_cut) else a_cut)
+class Digits:
+    """``a1,a2|b1;a3|b2;`` of each unit; the text of every id with every separator is made once."""
+
+    def __init__(self, size: int):
+        self.size = size
+        self.texts = [f"{i}{mark}".encode() for mark in (",", "|", ";") for i in range(size)]
+
+    def of(self, a: np.ndarray, b: np.ndarray, a_bounds: np.ndarray, b_bounds: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarray) -> list[bytes]:
+        """From ids, bounds of units in them, and where groups end (token numbers past the last)."""
+        n = len(a) + len(b)
+        group_a, group_b = (np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0)) for ends in (a_ends, b_ends))
+        # a group's tokens of A, then those of B: a token moves on by the other side's tokens before it
+        b_before = np.concatenate([[0], b_ends])
+        keys = np.empty(n, np.int64)
+        at_a, at_b = np.arange(len(a)) + b_before[group_a], np.arange(len(b)) + a_ends[group_b]
+        keys[at_a], keys[at_b] = a, b
+        keys[at_a[a_ends - 1]] += self.size
+        keys[at_b[b_ends - 1]] += 2 * self.size
+        shown = [*map(self.texts.__getitem__, keys.tolist())]
+        bounds = (a_bounds + b_bounds).tolist()
+        return [b"".join(shown[i:j]) for i, j in zip(bounds, bounds[1:])]
+
+
+def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as it counts, in a row."""
+    return np.arange(counts.sum()) + np.repeat(starts - np.cumsum(counts) + counts, counts)
+
+
+class Rows:
+    """Rows of numbers of different lengths, in columns that are as long as each other."""
+
+    def __init__(self, columns: int):
+        self.counts = np.zeros(0, np.int64)
+        self.columns = [np.zeros(0, np.int32)] * columns
+
+    def extend(self, counts: np.ndarray, *columns: np.ndarray) -> None:
+        self.counts = np.concatenate([self.counts, counts])
+        self.columns = [np.concatenate([c, more.astype(np.int32)]) for c, more in zip(self.columns, columns, strict=True)]
+
+    def of(self, rows: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """How many numbers these rows have, and the numbers."""
+        counts = self.counts[rows]
+        at = spread((np.cumsum(self.counts) - self.counts)[rows], counts)
+        return counts, [c[at] for c in self.columns]
+
+    def keep(self, rows: np.ndarray) -> None:
+        self.counts, self.columns = self.of(rows)
+
+
+class Encoder:
+    """Units of texts as ids of both tokenizers, with their groups."""
+
+    def __init__(self, path_a: str, path_b: str):
+        self.a, self.b = ByteTokens(path_a), PieceTokens(path_b)
+        self.sizes = [np.fromiter(map(len, t.token_bytes), np.int64, len(t.token_bytes)) for t in (self.a, self.b)]
+        self.by_units = self.b.by_units and all(len(side.encode([" a"])[0]) == 1 for side in (self.a, self.b))
+        self.digits = Digits(max(map(len, self.sizes)))
+        #: Rows of the units: their ids, groups (tokens of A, of B and bytes up to their ends) and these written out; which do not
+        #: come back byte by byte; how often each was met.
+        self.units: dict[str, int] = {}
+        self.ids = Rows(1), Rows(1)
+        self.groups = Rows(3)
+        self.shown: list[bytes] = []
+        self.bad = np.zeros(0, bool)
+        self.met = np.zeros(0, np.int64)
+
+    def _pairs(self, spaced: list[str]) -> Iterator[tuple[bytes, bytes] | None]:
+        """Ids of each, or nothing where one side's bytes are not those of the text."""
+        found = self.a.encode(spaced), self.b.encode(spaced)
+        raw = [t.encode() for t in spaced]
+        good = [True] * len(raw)
+        for side, ids in zip((self.a, self.b), found, strict=True):
+            back = [b"".join(map(side.token_bytes.__getitem__, x)) for x in ids]
+            if back != raw:
+                good = [g and x == y for g, x, y in zip(good, back, raw, strict=True)]
+        for ok, x, y in zip(good, *found, strict=True):
+            yield (array("I", x).tobytes(), array("I", y).tobytes()) if ok else None
+
+    def _bulk(self, units: list[str]) -> list[tuple[np.ndarray, np.ndarray]] | None:
+        """Of both sides, how many ids units have that start with white space and end without, and the ids: encoded as one text
+        and cut where units meet; nothing if that is not exact."""
+        text = " a" + "".join(units)
+        raw = text.encode()
+        ends = np.cumsum([2, *(map(len, units) if len(raw) == len(text) else map(len, map(str.encode, units)))])
+        sides = []
+        for side, sizes in zip((self.a, self.b), self.sizes, strict=True):
+            found = side.encode([text])[0]
+            ids = np.asarray(found, np.uint32)
+            upto = np.cumsum(sizes[ids])
+            at = np.searchsorted(upto, ends)
+            if len(ids) == 0 or at[-1] != len(ids) - 1 or not np.array_equal(upto[at], ends) or b"".join(map(side.token_bytes.__getitem__, found)) != raw:
+                return None
+            sides.append((np.diff(at), ids[at[0] + 1:]))
+        return sides
+
+    def _learn(self, fresh: set[str], whole: set[str] = frozenset()) -> None:
+        """Add rows of units, and of whole texts, not met before."""
+        marks = [u for u in fresh if u[0] in ".,;:!?"]
+        after = [x for u in marks for x in self._bulk([f" a{u}"]) or ()]  # as they stand: after a letter
+        order, sides = marks, ([], [])
+        for i, (_, ids) in enumerate(after):
+            sides[i % 2].append((np.asarray([len(ids) - 1]), ids[1:]))
+        rest = [u for u in fresh if u.isspace()]
+        inner = [u for u in fresh if u[0] not in ".,;:!?" and not u.isspace()]
+        for some in (inner[i:i + BULK] for i in range(0, len(inner), BULK)):
+            if (pairs := self._bulk(some)) is None:
+                rest += some
+            else:
+                order += some
+                for side, pair in zip(sides, pairs, strict=True):
+                    side.append(pair)
+        rest += whole
+        found = [*self._pairs(rest)] if rest else []
+        for side, ids in zip(sides, zip(*(p or (b"", b"") for p in found), strict=True)):
+            side.append((np.fromiter(map(len, ids), np.int64, len(ids)) // 4, np.frombuffer(b"".join(ids), np.uint32)))
+        order += rest
+        if not order:
+            return
+        self.units.update(zip(order, range(len(self.units), len(self.units) + len(order)), strict=True))
+        self.bad = np.concatenate([self.bad, np.zeros(len(order) - len(found), bool), np.fromiter((p is None for p in found), bool, len(found))])
+        self.met = np.concatenate([self.met, np.zeros(len(order), np.int64)])
+        counts, ids = zip(*((np.concatenate([x[0] for x in side]), np.concatenate([x[1] for x in side]).astype(np.int64)) for side in sides), strict=True)
+        for rows, n, own in zip(self.ids, counts, ids, strict=True):
+            rows.extend(n, own)
+        some = np.flatnonzero(counts[0])  # units with tokens
+        bounds = [np.concatenate([[0], np.cumsum(n)]) for n in counts]
+        ends = [np.cumsum(sizes[own]) for sizes, own in zip(self.sizes, ids, strict=True)]
+        keep = np.concatenate([[0], some + 1])
+        cuts = shared_cuts(*ends, *(x[keep] for x in bounds)) if len(some) else (np.zeros(0, np.int64),) * 2
+        until = [cut + 1 for cut in cuts]
+        unit = np.searchsorted(bounds[0], cuts[0], side="right") - 1
+        before = np.concatenate([[0], ends[0]])[bounds[0][unit]]
+        self.groups.extend(np.bincount(unit, minlength=len(order)), until[0] - bounds[0][unit], until[1] - bounds[1][unit], ends[0][cuts[0]] - before)
+        self.shown += self.digits.of(*ids, *bounds, *until)
+
+    def _forget(self, last: int) -> None:
+        """The rows from the given one on go, and if there are too many, those met least."""
+        rows = np.arange(last)
+        if last > UNITS:
+            rows = np.sort(np.argsort(-self.met[:last], kind="stable")[:UNITS // 2])
+            self.met //= 2
+        elif last == len(self.units):
+            return
+        names = [*self.units]
+        self.units = {names[i]: k for k, i in enumerate(rows.tolist())}
+        for x in (*self.ids, self.groups):
+            x.keep(rows)
+        self.shown = [self.shown[i] for i in rows.tolist()]
+        self.bad, self.met = self.bad[rows], self.met[rows]
+
+    def align(self, doc_ids: pa.Array, texts: list[str]) -> Aligned:
+        split, whole, units = [], [], set()
+        for text in texts:
+            if not text:
+                split.append([])
+            elif self.by_units and not BEYOND.search(text):
+                split.append(UNIT.findall(" " + text))
+                units.update(split[-1])
+            else:
+                split.append([" " + text])
+                whole += split[-1]
+        fresh = units.difference(self.units)
+        long = {u for u in fresh if len(u) > LONG_UNIT}
+        self._learn(fresh - long if long else fresh)
+        stay = len(self.units)  # the others are dropped again
+        if long or whole:
+            self._learn(long, {*whole}.difference(self.units, long))
+        rows = np.fromiter(map(self.units.__getitem__, chain.from_iterable(split)), np.int64)
+        bounds = np.concatenate([[0], np.cumsum([*map(len, split)], dtype=np.int64)])
+        self.met += np.bincount(rows, minlength=len(self.met))
+        if self.bad[rows].any():  # texts with such a unit have no tokens
+            lost = np.diff(np.concatenate([[0], np.cumsum(self.bad[rows])])[bounds]) > 0
+            rows = rows[~np.repeat(lost, np.diff(bounds))]
+            bounds = np.concatenate([[0], np.cumsum(np.where(lost, 0, np.diff(bounds)))])
+        at = rows.tolist()
+        hashes = [hashlib.sha256(b"".join(map(self.shown.__getitem__, at[i:j]))[:-1]).hexdigest() if i < j else "" for i, j in zip(bounds.tolist(), bounds[1:].tolist())]
+        (n_a, (a,)), (n_b, (b,)) = (side.of(rows) for side in self.ids)
+        n, ends = self.groups.of(rows)
+        last = np.cumsum(n) - 1
+        upto = [np.concatenate([[0], np.cumsum(x)]) for x in (n_a, n_b, ends[2][last].astype(np.int64))]
+        a_ends, b_ends, bytes_end = (end + np.repeat(x[:-1], n) for end, x in zip(ends, upto, strict=True))
+        out = Aligned(doc_ids, a.astype(np.int64), b.astype(np.int64), upto[0][bounds], upto[1][bounds], a_ends, b_ends, bytes_end, hashes)
+        self._forget(stay)
+        return out
+
+    def encode(self, texts: list[str]) -> list[tuple[bytes, bytes] | None]:
+        """Ids of both sides of each text; nothing where it has no tokens."""
+        x = self.align(pa.nulls(len(texts), pa.int64()), texts)
+        a, b = x.a.astype(np.uint32), x.b.astype(np.uint32)
+        return [(a[i:j].tobytes(), b[k:m].tobytes()) if j > i else None for i, j, k, m in zip(x.a_bounds, x.a_bounds[1:], x.b_bounds, x.b_bounds[1:])]
+
+
+def encoder(path_a: str, path_b: str) -> Encoder:
+    """The worker's encoder, with the units it has met in earlier tasks."""
+    KEPT[__name__] = _ENCODERS.clear
+    if (path_a, path_b) not in _ENCODERS:
+        _ENCODERS[path_a, path_b] = Encoder(path_a, path_b)
+    return _ENCODERS[path_a, path_b]
 
 
 def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str]]]:
@@ -258,7 +371,7 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str, id_col: str = "do
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = encoder(path_a, path_b)
         for doc_ids, texts in parts(batches):
-            x = align(both, doc_ids, texts)
+            x = both.align(doc_ids, texts)
             groups = x.group_bounds()
             per_doc = np.diff(groups)
             before = np.concatenate([[0], x.bytes_end])[groups[:-1]]
@@ -289,39 +402,22 @@ def links(x: Aligned) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
             yield np.full(len(code), doc_of[g]), code, (a_times[i:i + step, None] * b_times).reshape(-1)
     groups = np.flatnonzero(~large)
     many = np.cumsum(na[groups] * nb[groups])
+    b_bits = int(x.b.max()).bit_length()
+    bits = int(x.a.max()).bit_length() + b_bits
     for some in np.split(groups, np.searchsorted(many, np.arange(LINKS, many[-1], LINKS))) if len(groups) else ():
         count = na[some] * nb[some]
-        nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        nth = spread(np.zeros(len(count), np.int64), count)
         wide = np.repeat(nb[some], count)
-        code = x.a[np.repeat(a_start[some], count) + nth // wide] << 32 | x.b[np.repeat(b_start[some], count) + nth % wide]
-        doc = np.repeat(doc_of[some], count)
-        order = np.lexsort((code, doc))
-        code, doc = code[order], doc[order]
-        first = np.flatnonzero(np.concatenate([[True], (np.diff(code) != 0) | (np.diff(doc) != 0)])) if len(code) else np.zeros(0, np.int64)
-        yield doc[first], code[first], np.diff(np.append(first, len(code)))
-
-
-class Digests:
-    """``a1,a2|b1;a3|b2`` of each text, hashed; the text of every id with every separator is made once."""
-
-    def __init__(self, encoder: Encoder):
-        self.size = max(map(len, encoder.sizes))
-        self.texts = [f"{i}{mark}".encode() for mark in (",", "|", ";") for i in range(self.size)]
-
-    def of(self, x: Aligned) -> list[str]:
-        n = len(x.a) + len(x.b)
-        group_a, group_b = np.searchsorted(x.a_ends, np.arange(len(x.a)), side="right"), np.searchsorted(x.b_ends, np.arange(len(x.b)), side="right")
-        # a group's tokens of A, then those of B: a token moves on by the other side's tokens before it
-        b_before, a_until = np.concatenate([[0], x.b_ends]), x.a_ends
-        keys = np.empty(n, np.int64)
-        at_a, at_b = np.arange(len(x.a)) + b_before[group_a], np.arange(len(x.b)) + a_until[group_b] if len(x.b) else np.zeros(0, np.int64)
-        keys[at_a], keys[at_b] = x.a, x.b
-        keys[at_a[x.a_ends - 1]] += self.size
-        keys[at_b[x.b_ends - 1]] += 2 * self.size
-        shown = keys.tolist()
-        bounds = (x.a_bounds + x.b_bounds).tolist()
-        text = self.texts.__getitem__
-        return ["" if i == j else hashlib.sha256(b"".join(map(text, shown[i:j]))[:-1]).hexdigest() for i, j in zip(bounds, bounds[1:])]
+        of_a = nth // wide
+        of_b = nth - of_a * wide
+        of_a += np.repeat(a_start[some], count)
+        of_b += np.repeat(b_start[some], count)
+        key = np.sort(np.repeat(doc_of[some] << bits, count) | x.a[of_a] << b_bits | x.b[of_b])
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        times = np.diff(first, append=len(key))
+        key = key[first]
+        pair = key & (1 << bits) - 1
+        yield key >> bits, pair >> b_bits << 32 | pair & (1 << b_bits) - 1, times
 
 
 BLOCKS = (
@@ -332,8 +428,7 @@ BLOCKS = (
 class BlockBuilder:
     """Documents of a block with their links: (document, place of the pair among the block's pairs, times)."""
 
-    def __init__(self, digests: Digests):
-        self.digests = digests
+    def __init__(self):
         self.columns: list[list] = [[], [], [], [], [], []]
         self.doc, self.code, self.times = [], [], []
         self.size = self.rows = 0
@@ -348,7 +443,7 @@ class BlockBuilder:
             self.times.append(times)
             codes.append(code)
         self.code.extend(codes[1:])
-        values = (x.doc_ids.to_pylist(), np.diff(x.a_bounds), np.diff(x.b_bounds), np.diff(x.group_bounds()), total, self.digests.of(x))
+        values = (x.doc_ids.to_pylist(), np.diff(x.a_bounds), np.diff(x.b_bounds), np.diff(x.group_bounds()), total, x.hashes)
         for column, value in zip(self.columns, values, strict=True):
             column.extend(value if isinstance(value, list) else value.tolist())
         self.size += size
@@ -378,13 +473,12 @@ def triples(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def aligned_blocks(docs: DataFrame, path_a: str, path_b: str, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = encoder(path_a, path_b)
-        digests = Digests(both)
-        block, number = BlockBuilder(digests), TaskContext.get().partitionId() << 32
+        block, number = BlockBuilder(), TaskContext.get().partitionId() << 32
         for doc_ids, texts in parts(batches):
-            block.add(align(both, doc_ids, texts), sum(map(len, texts)) + 100 * len(texts))
+            block.add(both.align(doc_ids, texts), sum(map(len, texts)) + 100 * len(texts))
             if block.size >= BLOCK:
                 yield block.finish(number)
-                block, number = BlockBuilder(digests), number + 1
+                block, number = BlockBuilder(), number + 1
         if block.rows:
             yield block.finish(number)
 
