@@ -13,7 +13,7 @@ one of the at most a thousand words that make a thousandth of the corpus each);
 
 from __future__ import annotations
 
-import re
+import string
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 
 from panelscope.llm.common import map_batches, stored, tasks, whole_text
 
-#: A word, or a character that ends a piece.
-TOKENS = re.compile(rb"[.,;:!?\x0a-\x0d]|[^\x20\x09.,;:!?\x0a-\x0d]+")
+#: A-Z as a-z, a character that ends a piece as line feed, tab as blank.
 BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
+PLAIN = bytes.maketrans(string.ascii_uppercase.encode() + BREAKS + b"\t", string.ascii_lowercase.encode() + b"\n" * len(BREAKS) + b" ")
 #: Bytes of text counted at a time, sequences all tries of a task hold, words it numbers, sequences of a container.
 AT_ONCE = 2_000_000
 HELD = 700_000
@@ -149,6 +149,16 @@ def held_at(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
+def tokens_of(text: bytes) -> pa.LargeBinaryArray:
+    """The words of a text, and a line feed where a piece ends."""
+    letters = np.frombuffer(text.translate(PLAIN), np.uint8)
+    kept, breaks = letters != ord(" "), letters == ord("\n")
+    starts = kept.copy()
+    starts[1:] &= ~kept[:-1] | breaks[:-1] | breaks[1:]
+    letters, starts = letters[kept], np.flatnonzero(starts[kept])
+    return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(letters)).astype(np.int64)), pa.py_buffer(letters)])
+
+
 class PhraseCounter:
     """What one task counts: phrases of ``lengths`` words whose parts of ``part`` words the bitmap holds; with part 0, words."""
 
@@ -163,22 +173,24 @@ class PhraseCounter:
         self.word_counts: dict[str, np.ndarray] = {}
         self.size = 0
         self.names: list[bytes] = [b""]
-        self.ids: dict[bytes, int] = {bytes([c]): 0 for c in BREAKS}
+        self.ids: dict[bytes, int] = {b"\n": 0}
         self.hash = np.zeros(1, np.uint64)
 
-    def numbered(self, tokens: list[bytes]) -> np.ndarray:
-        """Ids of tokens; 0 where a piece ends."""
+    def numbered(self, text: bytes) -> np.ndarray:
+        """Ids of a text's words; 0 where a piece ends."""
+        tokens = tokens_of(text).dictionary_encode()
         ids, names = self.ids, self.names
-        for word in set(tokens).difference(ids):
-            ids[word] = len(names)
-            names.append(word)
+        met = tokens.dictionary.to_numpy(zero_copy_only=False).tolist()
+        fresh = [w for w in met if w not in ids]
+        ids.update(zip(fresh, range(len(names), len(names) + len(fresh)), strict=True))
+        names += fresh
         if len(names) > len(self.hash):
             self.hash = np.concatenate([self.hash, hashes(names[len(self.hash):])])
-        return np.fromiter(map(ids.__getitem__, tokens), np.int64, len(tokens))
+        return np.fromiter(map(ids.__getitem__, met), np.int64, len(met))[tokens.indices.to_numpy()]
 
     def add(self, lang: str, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
         """Count some texts of one language; yields runs as the tries fill."""
-        ids = self.numbered(TOKENS.findall(b"\n".join(texts).lower()))
+        ids = self.numbered(b"\n".join(texts))
         if self.part:
             self.add_phrases(lang, ids)
         elif len(ids):
@@ -230,8 +242,9 @@ class PhraseCounter:
         """Sequences as one row per part, in the order of their words; tabs are between words, so never in them."""
         part = mix(self.hash[ids[:, 0]])
         if ids.shape[1] > 1 and self.hot:
-            hot = np.fromiter((w in self.hot for w in self.names), bool, len(self.names))[ids[:, 0]]
-            part = np.where(hot, mix(part ^ self.hash[ids[:, 1]]), part)
+            hot = np.zeros(len(self.names), bool)
+            hot[[self.ids[w] for w in self.hot if w in self.ids]] = True
+            part = np.where(hot[ids[:, 0]], mix(part ^ self.hash[ids[:, 1]]), part)
         part = (part % np.uint64(self.runs)).astype(np.int64)
         first, *more = rank[ids].T
         if more and len(self.names) < 1 << 24 and self.runs <= 1 << 15:  # part and two words fit a number
