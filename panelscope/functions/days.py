@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from panelscope import config as C
+from panelscope.functions.exprs import event_second
 
 DAY_S = 86_400
 #: How far rows of a day look back into the day before, and ahead into the day after.
@@ -30,6 +31,11 @@ def by_day(rows: DataFrame, sec: str = "sec") -> DataFrame:
     return rows.withColumn("day", F.explode(days)).withColumn("own", F.col("day") == day)
 
 
+def days_of(events: DataFrame) -> DataFrame:
+    """Person-days as they are; events that are not dealt out by day yet, dealt out."""
+    return events if "day" in events.columns else by_day(events.withColumn("sec", event_second("created_time")))
+
+
 def lists_by_day(rows: DataFrame, *columns: str) -> DataFrame:
     """One row per (person, day) with the list ``beside`` of its rows: ``sec``, ``own`` and ``columns``. For rows far rarer than events."""
     return by_day(rows).groupBy(*PERSON_DAY).agg(F.collect_list(F.struct("sec", "own", *columns)).alias("beside"))

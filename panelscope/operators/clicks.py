@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from panelscope import config as C
-from panelscope.functions.days import lists_by_day, row_of, with_lists
+from panelscope.functions.days import days_of, lists_by_day, row_of, with_lists
 from panelscope.functions.exprs import (
     event_second, extract, first_by, first_match, has_affiliate_marker, host_in, param_value, raw_param,
     second_to_ts,
@@ -82,7 +82,7 @@ def affiliate_hops(events: DataFrame) -> DataFrame:
         _hop_network().alias("network"), _hop_publisher().alias("publisher"))
 
 
-def hop_clicks(person_days: DataFrame, landing_clicks: DataFrame) -> DataFrame:
+def hop_clicks(person_days: DataFrame, landing_clicks: DataFrame, events: DataFrame | None = None) -> DataFrame:
     """Hops that are clicks of their own.
 
     A hop is dropped when a tagged landing of the same person and brand follows within a
@@ -92,7 +92,13 @@ def hop_clicks(person_days: DataFrame, landing_clicks: DataFrame) -> DataFrame:
     Nothing is looked at more than a minute away, so (person, day) groups with the minutes around midnight are enough. Hops,
     landings and pages are first reduced to one row per (person, day, brand, second): the windows see at most
     86,400 rows per group and a little more, however busy a person is. Only landings are dealt out.
+
+    With ``events`` (by no day yet) the first table holds hops, those of ``affiliate_hops``, and pages are the events'.
     """
+    if events is not None:
+        both = ["user_id", "created_time", "session_id", "host", "url"]
+        pages = events.where("is_brand_page").select(*both, "brand", "is_brand_page", F.lit(None).cast("string").alias("hop_brand"))
+        person_days = days_of(pages.unionByName(person_days.select(*both, F.col("brand").alias("hop_brand")), allowMissingColumns=True))
     keys = ["user_id", "day", "brand", "sec"]
     ids = {c: person_days.schema[c].dataType.simpleString() for c in ("session_id",)}
     kind = f"brand: string; sec: bigint; own: boolean; hop: struct<host:string,url:string,session_id:{ids['session_id']},network:string,publisher:string>; landing: boolean; page: boolean"

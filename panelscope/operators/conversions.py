@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from panelscope import config as C
+from panelscope.functions.days import days_of
 from panelscope.functions.exprs import (
     count_where, decoded_or_raw, event_second, host_in, is_cart_path, is_checkout_path, second_to_ts, url_path,
 )
@@ -24,9 +25,9 @@ def conversions(person_days: DataFrame) -> DataFrame:
     """One order per brand, person and run of confirmation rows no more than 30 minutes apart.
 
     A confirmation is an order if none came in the 30 minutes before it, so a (person, day) with the end of the
-    day before is all it takes.
+    day before is all it takes. Events without days are dealt out first.
     """
-    confirmed = person_days.where(F.col("brand").isNotNull()).where(url_path("url").rlike(C.CONVERSION_RE))
+    confirmed = days_of(person_days).where(F.col("brand").isNotNull()).where(url_path("url").rlike(C.CONVERSION_RE))
     seconds = confirmed.groupBy("user_id", "day", "brand", "sec", "own").agg(F.min("url").alias("url"))
     gap = F.col("sec") - F.lag("sec").over(W.partitionBy("user_id", "day", "brand").orderBy("sec"))
     return (

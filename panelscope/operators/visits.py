@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from panelscope import config as C
+from panelscope.functions.days import days_of
 from panelscope.functions.exprs import first_match, has_affiliate_marker, second_to_ts
 
 
@@ -15,10 +16,10 @@ def brand_visits(person_days: DataFrame) -> DataFrame:
 
     Pageviews collapse to one row per second, and visits are found within a day: a page starts one if none came
     in the 30 minutes before it, which may be in the day before. What a day has before its first start goes on from
-    there. Those parts, not events, are then numbered and put together per person.
+    there. Those parts, not events, are then numbered and put together per person. Events without days are dealt out first.
     """
     keys = ["user_id", "day", "brand"]
-    seconds = person_days.where("is_brand_page").groupBy(*keys, "sec", "own").agg(
+    seconds = days_of(person_days).where("is_brand_page").groupBy(*keys, "sec", "own").agg(
         F.count("*").alias("pageviews"),
         F.min("url").alias("url"),
         F.bool_or(has_affiliate_marker("url")).alias("marked"),
