@@ -15,6 +15,9 @@ from panelscope.llm import langid, mixing, nearcopies, packing, pii
 from panelscope.llm.common import stored
 from panelscope.llm.queries import documents, tokenizer_path
 
+#: Pieces of words a worker remembers, twice: a tenth of what packing takes by itself, as executors hold on to the heap of the stages before.
+REMEMBERED = 50_000
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages that the labelled ones are in."""
@@ -39,7 +42,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in windows of 2048 ids."""
-    return packing.pack_documents(docs, tokenizer_path(), added_tokens=True)
+    return packing.pack_documents(docs, tokenizer_path(), added_tokens=True, remembered=REMEMBERED)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

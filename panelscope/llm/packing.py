@@ -33,7 +33,7 @@ BEYOND = re.compile("[^\t\n\r -~\u00df-\u00f6\u00f8-\u024f]")
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = f"{PIECES}, sequence_id long, offset long"
 
-_ENCODERS: dict[tuple[str, bool], "WordEncoder"] = {}
+_ENCODERS: dict[tuple[str, bool, int], "WordEncoder"] = {}
 
 
 def printable_bytes() -> dict[int, int]:
@@ -67,7 +67,7 @@ class WordEncoder:
     tokenizer's added tokens takes the tokenizer's own way, which gives it the token's id; without, such a token is text like any other.
     """
 
-    def __init__(self, path: str, added_tokens: bool = False):
+    def __init__(self, path: str, added_tokens: bool = False, remembered: int = PIECE_CACHE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -77,7 +77,7 @@ class WordEncoder:
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.model, self.normalizer, self.splitter = tokenizer.model, tokenizer.normalizer, tokenizer.pre_tokenizer
         self.shown = printable_bytes()
-        self.of_piece = Recent(self.piece, PIECE_CACHE)
+        self.of_piece = Recent(self.piece, remembered)
 
     def piece(self, piece: str) -> bytes:
         mapped = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.shown)
@@ -101,11 +101,12 @@ class WordEncoder:
                 yield b"".join(map(self.of_piece.__getitem__, PLAIN_PIECES.findall(low)))
 
 
-def encoder(path: str, added_tokens: bool) -> WordEncoder:
+def encoder(path: str, added_tokens: bool, remembered: int = PIECE_CACHE) -> WordEncoder:
     KEPT[__name__] = _ENCODERS.clear
-    if (path, added_tokens) not in _ENCODERS:
-        _ENCODERS[path, added_tokens] = WordEncoder(path, added_tokens)
-    return _ENCODERS[path, added_tokens]
+    key = path, added_tokens, remembered
+    if key not in _ENCODERS:
+        _ENCODERS[key] = WordEncoder(*key)
+    return _ENCODERS[key]
 
 
 def cut(tokens: int, capacity: int, piece: int) -> list[tuple[int, int]]:
@@ -121,12 +122,12 @@ def cut(tokens: int, capacity: int, piece: int) -> list[tuple[int, int]]:
     return out
 
 
-def pieces_of(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, piece: int, added_tokens: bool, id_col: str, text_col: str) -> DataFrame:
+def pieces_of(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, piece: int, added_tokens: bool, remembered: int, id_col: str, text_col: str) -> DataFrame:
     """One row per piece of every document, with the checksum of its ids."""
     end = np.asarray([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = encoder(tokenizer_path, added_tokens)
+        words = encoder(tokenizer_path, added_tokens, remembered)
         schema = pa.schema([(c.split()[0], pa.int64()) for c in PIECES.split(", ")])
         for batch in batches:
             columns: list[list] = [[], [], [], [], []]
@@ -205,6 +206,7 @@ def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
 def pack_documents(
     docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = 2048, piece: int = 512,
     group_tokens: int = 1_000_000, group_pieces: int = 8_192, id_col: str = "doc_id", text_col: str = "text", added_tokens: bool = False,
+    remembered: int = PIECE_CACHE,
 ) -> DataFrame:
     """Pieces of all documents with their window and place: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
@@ -212,11 +214,12 @@ def pack_documents(
     occur. Very long texts give full windows of their own. A group of pieces has about ``group_tokens`` ids and at most
     about ``group_pieces`` pieces, so its packing time and memory are bounded whatever the input; pieces are dealt
     by count, not by key. With ``added_tokens`` ids are those of the tokenizer with its defaults, also of texts that hold its added tokens;
-    without, these are text like any other. An empty table gives an empty result.
+    without, these are text like any other. A worker remembers the ids of up to twice ``remembered`` pieces: fewer take less memory
+    and more time, the result is the same. An empty table gives an empty result.
     """
     if piece > capacity:
         raise ValueError("a piece must fit into a window")
-    pieces = stored(pieces_of(docs, tokenizer_path, end_id, capacity, piece, added_tokens, id_col, text_col), "pieces")
+    pieces = stored(pieces_of(docs, tokenizer_path, end_id, capacity, piece, added_tokens, remembered, id_col, text_col), "pieces")
     short = F.col("length") < capacity
     ids, rows = pieces.where(short).agg(F.coalesce(F.sum("length"), F.lit(0)), F.count(F.lit(1))).first()
     groups = max(1, -(-ids // group_tokens), -(-rows // group_pieces))
