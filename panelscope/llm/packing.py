@@ -26,10 +26,16 @@ from panelscope.llm.common import KEPT, map_batches, stored, whole_text
 
 #: Pieces whose ids a worker remembers, twice: those met lately and those met before.
 PIECE_CACHE = 500_000
-#: The tokenizer's own split of text into pieces, written out for lower-case text of ASCII and Latin letters
-#: (fixed by its vocabulary file), and the characters beyond those, whose texts take the tokenizer's own way.
-PLAIN_PIECES = re.compile("[\t\n\r ]*([a-z\u00df-\u00f6\u00f8-\u024f]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\t\n\r a-z0-9\u00df-\u00f6\u00f8-\u024f]+)")
+#: Characters of the texts that are split into pieces together.
+BLOCK = 2_000_000
+#: Characters beyond lower-case text of ASCII and Latin letters, whose texts take the tokenizer's own way.
 BEYOND = re.compile("[^\t\n\r -~\u00df-\u00f6\u00f8-\u024f]")
+#: What a byte of other texts is: all that are not ASCII are of letters; blanks and the end of a text are in no piece.
+BLANK, LETTER, DIGIT, MARK = range(4)
+KIND = np.full(256, MARK, np.uint8)
+KIND[list(b"\0\t\n\r ")] = BLANK
+KIND[[*range(ord("a"), ord("z") + 1), *range(128, 256)]] = LETTER
+KIND[list(b"0123456789")] = DIGIT
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = f"{PIECES}, sequence_id long, offset long"
 
@@ -59,6 +65,31 @@ class Recent(dict):
         return value
 
 
+def plain_pieces(texts: Iterable[str]) -> tuple[pa.Array, np.ndarray]:
+    """The pieces of all texts in turn, and how many there are up to the end of each text.
+
+    The tokenizer's own split, written out for texts without characters ``BEYOND``: runs of letters, single digits, runs of other
+    marks; an apostrophe that begins such a run takes a following s, t, re, ve, m, ll or d as its piece.
+    """
+    data = np.frombuffer("".join(f"{t}\0" for t in texts).encode(), np.uint8)
+    kind = KIND[data]
+    starts = kind == DIGIT
+    starts[:1] = True
+    starts[1:] |= kind[1:] != kind[:-1]
+    quote = np.flatnonzero((data == ord("'")) & starts)
+    quote = quote[kind[quote + 1] == LETTER]
+    one, two = data[quote + 1], data[quote + 2]
+    short = quote[np.isin(one, list(b"stmd"))]
+    double = quote[(np.isin(one, list(b"rv")) & (two == ord("e"))) | ((one == ord("l")) & (two == ord("l")))]
+    starts[short + 1] = starts[double + 1] = False
+    starts[short + 2] = starts[double + 3] = True
+    used = kind != BLANK
+    inside = starts[used]
+    offsets = np.append(np.flatnonzero(inside), len(inside))
+    pieces = pa.Array.from_buffers(pa.large_string(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data[used])])
+    return pieces, np.searchsorted(np.flatnonzero(starts & used), np.flatnonzero(data == 0))
+
+
 class WordEncoder:
     """Ids of a text, piece by piece.
 
@@ -87,18 +118,49 @@ class WordEncoder:
         ids = [t.id for t in self.model.tokenize(mapped)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def whole(self, text: str, added: bool) -> bytes:
+        """Ids of a text by the tokenizer's own way."""
+        if added:
+            ids = self.encode(text, add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}I", *ids)
+        found = self.splitter.pre_tokenize_str(self.normalizer.normalize_str(text))
+        return b"".join(self.merged(mapped) for mapped, _ in found)
+
+    def plain(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """Ids of lower-case texts without characters ``BEYOND``: different pieces are looked up once for all texts."""
+        pieces, upto = plain_pieces(texts)
+        named = pieces.dictionary_encode()
+        found = [self.of_piece[p] for p in named.dictionary.to_numpy(zero_copy_only=False)]
+        held = np.frombuffer(b"".join(found), "<u4")
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        of = named.indices.to_numpy()
+        each = lengths[of]
+        ends = np.append(0, np.cumsum(each))
+        at = np.repeat((np.cumsum(lengths) - lengths)[of] - ends[:-1], each)
+        at += np.arange(len(at))
+        ids, start = held[at], 0
+        for end in ends[upto].tolist():
+            yield ids[start:end].tobytes()
+            start = end
+
+    def block(self, texts: list[str]) -> Iterator[bytes]:
+        low = [text.lower() for text in texts]
+        added = [bool(self.added and self.added.search(x)) for x in low]
+        own = [a or bool(BEYOND.search(x)) for a, x in zip(added, low, strict=True)]
+        plain = self.plain([x for x, o in zip(low, own, strict=True) if not o])
+        for text, a, o in zip(texts, added, own, strict=True):
+            yield self.whole(text, a) if o else next(plain)
+
     def ids(self, texts: Iterable[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
+        held, size = [], 0
         for text in texts:
-            low = text.lower()
-            if self.added and self.added.search(low):
-                ids = self.encode(text, add_special_tokens=False).ids
-                yield struct.pack(f"<{len(ids)}I", *ids)
-            elif BEYOND.search(low):
-                found = self.splitter.pre_tokenize_str(self.normalizer.normalize_str(text))
-                yield b"".join(self.merged(mapped) for mapped, _ in found)
-            else:
-                yield b"".join(map(self.of_piece.__getitem__, PLAIN_PIECES.findall(low)))
+            held.append(text)
+            size += len(text)
+            if size >= BLOCK:
+                yield from self.block(held)
+                held, size = [], 0
+        yield from self.block(held)
 
 
 def encoder(path: str, added_tokens: bool, remembered: int = PIECE_CACHE) -> WordEncoder:
@@ -151,19 +213,29 @@ def differencing(sizes: np.ndarray, windows: int) -> tuple[np.ndarray, np.ndarra
     the heaviest windows of one with the lightest of the other, so that imbalances cancel.
     """
     n = len(sizes)
-    # while windows are empty, the heaviest partition takes the next heaviest item into one of them: those merges at once
+    # while windows are empty, the heaviest partition takes the next heaviest item into one of them: those merges at once, here and below
     order = np.argsort(-sizes, kind="stable")
     first, rest = order[:windows], order[windows:].tolist()
-    loads = {n: sizes[first].astype(np.int64), **{i: sizes[i:i + 1].astype(np.int64) for i in rest}}
-    nodes = {n: first, **{i: np.asarray([i], np.int64) for i in rest}}
+    loads, nodes = {n: sizes[first].astype(np.int64)}, {n: first}  # of partitions; an item alone is in the heap only
     parent = list(range(n))  # of a window that was joined with another: the joint one
     spread = lambda x: int(x[0]) - (int(x[-1]) if len(x) == windows else 0)
-    heap = [(-spread(x), i) for i, x in loads.items()]
+    taken = lambda i: (loads.pop(i), nodes.pop(i)) if i in loads else (sizes[i:i + 1].astype(np.int64), np.asarray([i], np.int64))
+    heap = [(-spread(loads[n]), n), *((-spread(sizes[i:i + 1]), i) for i in rest)]
     heapq.heapify(heap)
     while len(heap) > 1:
         _, a = heapq.heappop(heap)
+        la, na = taken(a)
+        items = []  # until its windows are full, the partition's spread is its heaviest window: it stays the heaviest
+        while heap and len(la) + len(items) < windows and heap[0][1] not in loads:
+            items.append(heapq.heappop(heap)[1])
+        if items:
+            la, na = np.concatenate([la, sizes[items]]), np.concatenate([na, items])
+            order = np.argsort(-la, kind="stable")
+            loads[a], nodes[a] = la[order], na[order]
+            heapq.heappush(heap, (-spread(loads[a]), a))
+            continue
         _, b = heapq.heappop(heap)
-        la, lb, na, nb = loads.pop(a), loads.pop(b), nodes.pop(a), nodes.pop(b)
+        lb, nb = taken(b)
         shared = max(0, len(la) + len(lb) - windows)
         if shared:  # b's heaviest fall to a's empty windows, the lightest of both meet in between
             la, lb, na, nb = la.copy(), lb.copy(), na.copy(), nb.copy()
