@@ -27,7 +27,7 @@ from panelscope.llm.common import KEPT, map_batches, stored, whole_text
 #: Pieces whose ids a worker remembers, twice: those met lately and those met before.
 PIECE_CACHE = 500_000
 #: Characters of the texts that are split into pieces together.
-BLOCK = 2_000_000
+BLOCK = 1_000_000
 #: Characters beyond lower-case text of ASCII and Latin letters, whose texts take the tokenizer's own way.
 BEYOND = re.compile("[^\t\n\r -~\u00df-\u00f6\u00f8-\u024f]")
 #: What a byte of other texts is: all that are not ASCII are of letters; blanks and the end of a text are in no piece.
